@@ -151,7 +151,7 @@ class Tree:
                     up.append((e, child))
             body[key] = dict(zip(value, ids)) if named else ids if t is list else ids[0]
         text = _encode(body)
-        ident = blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+        ident = blake2b(text.encode(), digest_size=16).hexdigest()
         leads = max(leads, len(up))
         if ident not in self.seen:
             self.seen.add(ident)
