@@ -95,14 +95,14 @@ class Mixture:
         want = F.col("target_share") * F.col("total")
         plan = plan.withColumn("short", F.col("size") * F.col("max_repeats") < want)
         self.plan = materialize(plan.withColumn("rate", F.when(F.col("size") > 0, F.least(want / F.col("size"), F.col("max_repeats").cast("double"))).otherwise(F.lit(0.0))), "plan")
-        # as many groups as the largest source needs; levels until one group per source is left
-        groups = max(1, -(-(self.plan.agg(F.max("records")).first()[0] or 0) // group_rows))
-        rated = sized.join(small(self.plan.select("source", "rate")), "source")
-        units = rated.select("source", "doc_id", "tokens", "row", random_group(groups, seed, "source", "doc_id").alias("grp"), F.floor("rate").cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("pi"))
+        # each source has as many groups as its records need; levels until one group per source is left
+        rated = sized.join(small(self.plan.select("source", "rate", F.greatest(F.lit(1), F.ceil(F.col("records") / group_rows)).cast("int").alias("groups"))), "source")
+        units = rated.select("source", "doc_id", "tokens", "row", random_group(F.col("groups"), seed, "source", "doc_id", "row").alias("grp"), "groups", F.floor("rate").cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("pi"))
         schema = units.schema
+        most = max(1, -(-(self.plan.agg(F.max("records")).first()[0] or 0) // group_rows))
         settled, level = [], 0
         while True:
-            last = groups == 1
+            last = most == 1
             flown = units.groupBy("source", "grp").applyInPandas(_fly(seed + level, last), schema)
             if last:
                 settled.append(flown)
@@ -110,8 +110,9 @@ class Mixture:
             flown = materialize(flown, f"flight{level}")
             done = (F.col("pi") <= 0) | (F.col("pi") >= 1)
             settled.append(flown.where(done))
-            groups, level = -(-groups * 2 // group_rows), level + 1
-            units = flown.where(~done).withColumn("grp", F.pmod("grp", F.lit(groups)).cast("int"))
+            most, level = -(-most * 2 // group_rows), level + 1
+            fewer = F.ceil(F.col("groups") * 2 / group_rows).cast("int")
+            units = flown.where(~done).withColumn("grp", F.pmod("grp", fewer).cast("int")).withColumn("groups", fewer)
         every = settled[0]
         for s in settled[1:]:
             every = every.unionByName(s)

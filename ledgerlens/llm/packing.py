@@ -49,9 +49,9 @@ def first_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def random_group(groups: int, seed: int, *columns: str) -> Column:
-    """A group for each row; equal rows are spread by their place in the scan, which a task that runs again repeats."""
-    return F.pmod(F.xxhash64(F.lit(seed), *columns, F.monotonically_increasing_id()), F.lit(groups)).cast("int")
+def random_group(groups: int | Column, seed: int, *columns: str | Column) -> Column:
+    """A group for each row by a hash of the columns, which have to tell equal rows apart for these to be spread."""
+    return F.pmod(F.xxhash64(F.lit(seed), *columns), groups if isinstance(groups, Column) else F.lit(groups)).cast("int")
 
 
 def _packer(capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -81,9 +81,11 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP
 
     Null and empty texts are items of size 0 and lie in a container like others; repeated
     doc_ids are items of their own; other columns are ignored. The number of groups follows
-    the number of rows (read from file footers), so that a group stays small."""
+    the number of rows (read from file footers), so that a group stays small. Equal rows are
+    spread by their place in the scan, which a task that runs again repeats: documents have to be
+    a scan or a written table, not the result of an exchange."""
     groups = max(1, -(-documents.count() // group_rows))
-    sized = documents.select("doc_id", token_count(F.col("text"), vocabulary).alias("tokens")).withColumn("grp", random_group(groups, seed, "doc_id"))
+    sized = documents.select("doc_id", token_count(F.col("text"), vocabulary).alias("tokens")).withColumn("grp", random_group(groups, seed, "doc_id", F.monotonically_increasing_id()))
     return sized.groupBy("grp").applyInPandas(_packer(capacity), "doc_id bigint, piece bigint, pieces bigint, size bigint, container bigint")
 
 

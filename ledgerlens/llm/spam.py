@@ -133,9 +133,9 @@ class _Classes(dict):
         return v
 
 
-# Transition weights (log): labels persist; prose and lists meet at line ends
-STAY, MOVE = np.log(0.82), np.log(0.18 / 4)
-START = np.log([0.9, 0.025, 0.025, 0.025, 0.025])  # a page tells something until its lines say otherwise
+# A chain is (probabilities of the first label, probabilities of the next label by label)
+PLAIN = ((0.9, 0.025, 0.025, 0.025, 0.025), tuple(tuple(0.82 if i == j else 0.045 for j in range(5)) for i in range(5)))
+CHAIN = PLAIN
 
 
 def emissions(n: np.ndarray, chars: np.ndarray, repeated: np.ndarray, peak: np.ndarray, ended: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -169,15 +169,14 @@ def emissions(n: np.ndarray, chars: np.ndarray, repeated: np.ndarray, peak: np.n
     return e * weight[:, None] * 0.6
 
 
-def viterbi(score: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def viterbi(score: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chain: tuple = CHAIN) -> np.ndarray:
     """The most likely labels of each page's lines, pages side by side."""
+    begin, move = np.log(np.array(chain[0])), np.log(np.array(chain[1]))
     order = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[order], sizes[order]
     k, longest = score.shape[1], int(sizes.max(initial=0))
     back = np.zeros((len(score), k), np.int8)
-    best = score[starts] + START if len(starts) else np.zeros((0, k))
-    move = np.full((k, k), MOVE)
-    np.fill_diagonal(move, STAY)
+    best = score[starts] + begin if len(starts) else np.zeros((0, k))
     ends = np.zeros((len(starts), k))
     for step in range(1, longest + 1):
         n = int(np.searchsorted(-sizes, -step, side="right"))  # pages with at least `step` lines
@@ -199,7 +198,7 @@ def viterbi(score: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return label
 
 
-def _chunk(texts: list[str], classes: _Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _chunk(texts: list[str], classes: _Classes, chain: tuple = CHAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(page of each line, label, characters, first line of each page)"""
     tokens, counts = [], np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
@@ -229,39 +228,74 @@ def _chunk(texts: list[str], classes: _Classes) -> tuple[np.ndarray, np.ndarray,
     line_page = page[begins]
     starts = np.flatnonzero(np.r_[True, line_page[1:] != line_page[:-1]]) if n_lines else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[starts, n_lines])
-    return line_page, viterbi(score, starts, sizes), chars.sum(axis=1), starts
-
-
-def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    classes = _Classes()
-    names = ["doc_id", "chars", "lines", *LABELS]
-    for b in batches:
-        ids, texts = b.column("doc_id"), b.column("text").to_pylist()
-        lo = 0
-        while lo < len(texts):
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") < CHUNK_CHARS):
-                size += len(texts[hi] or "")
-                hi += 1
-            some = [t or "" for t in texts[lo:hi]]
-            page, label, chars, _ = _chunk(some, classes)
-            by = np.bincount(page * 5 + label, weights=chars, minlength=5 * len(some)).reshape(len(some), 5).astype(np.int64)
-            lines = np.bincount(page, minlength=len(some))
-            arrays = [ids.slice(lo, hi - lo), pa.array(by.sum(axis=1)), pa.array(lines), *[pa.array(by[:, j]) for j in range(5)]]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-            lo = hi
-
-
-def label_pages(documents: DataFrame) -> DataFrame:
+    return line_page, viterbi(score, starts, sizes, chain), chars.sum(axis=1), starts
+
+
+def _chunks(ids: pa.Array, texts: list[str | None]) -> Iterator[tuple[pa.Array, list[str]]]:
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") < CHUNK_CHARS):
+            size += len(texts[hi] or "")
+            hi += 1
+        yield ids.slice(lo, hi - lo), [t or "" for t in texts[lo:hi]]
+        lo = hi
+
+
+def _labeller(chain: tuple):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = _Classes()
+        names = ["doc_id", "chars", "lines", *LABELS]
+        for b in batches:
+            for ids, some in _chunks(b.column("doc_id"), b.column("text").to_pylist()):
+                page, label, chars, _ = _chunk(some, classes, chain)
+                by = np.bincount(page * 5 + label, weights=chars, minlength=5 * len(some)).reshape(len(some), 5).astype(np.int64)
+                lines = np.bincount(page, minlength=len(some))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(by.sum(axis=1)), pa.array(lines), *[pa.array(by[:, j]) for j in range(5)]], names=names)
+
+    return run
+
+
+def _counter(chain: tuple):
+    """Counts of first labels (row 5) and of label pairs on the most likely paths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, n = _Classes(), np.zeros((6, 5), np.int64)
+        for b in batches:
+            for _, some in _chunks(b.column("doc_id"), b.column("text").to_pylist()):
+                page, label, _, starts = _chunk(some, classes, chain)
+                same = page[1:] == page[:-1]
+                np.add.at(n, (label[:-1][same], label[1:][same]), 1)
+                np.add.at(n, (5, label[starts]), 1)
+        i, j = np.indices(n.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(x.ravel().astype(np.int64)) for x in (i, j, n)], names=["i", "j", "n"])
+
+    return run
+
+
+def fit_chain(documents: DataFrame, rounds: int = 4, chain: tuple = PLAIN) -> tuple:
+    """Transition probabilities by Viterbi training over all pages: label with the chain so far,
+    count, add one to every count, divide; the emissions stay. Only 30 sums reach the driver."""
+    for _ in range(rounds):
+        counted = documents.select("doc_id", "text").mapInArrow(_counter(chain), "i bigint, j bigint, n bigint")
+        n = np.ones((6, 5))
+        for r in counted.groupBy("i", "j").sum("n").collect():
+            n[r[0], r[1]] += r[2]
+        p = n / n.sum(axis=1, keepdims=True)
+        chain = (tuple(p[5].tolist()), tuple(map(tuple, p[:5].tolist())))
+    return chain
+
+
+def label_pages(documents: DataFrame, chain: tuple = CHAIN) -> DataFrame:
     """(doc_id, chars, lines, prose, links, tags, menu, records): characters per label of each page.
 
     A null or empty text has 0 everywhere. One row per input row, repeated ids included; no
     shuffle; other columns are ignored."""
     schema = "doc_id bigint, chars bigint, lines bigint, " + ", ".join(f"{x} bigint" for x in LABELS)
-    return documents.select("doc_id", "text").mapInArrow(_label, schema)
+    return documents.select("doc_id", "text").mapInArrow(_labeller(chain), schema)
 
 
-def spam_pages(documents: DataFrame) -> DataFrame:
+def spam_pages(documents: DataFrame, chain: tuple = CHAIN) -> DataFrame:
     """(doc_id) of the pages with more than half of their characters in links, tags and menus."""
-    p = label_pages(documents)
+    p = label_pages(documents, chain)
     return p.where((p["links"] + p["tags"] + p["menu"]) * 2 > p["chars"]).select("doc_id")
