@@ -66,7 +66,7 @@ def rule_error_column(history_s: int = HISTORY_S, device_s: int = DEVICE_S) -> C
     for c in ints[1:]:
         missing = missing | c
     good = (
-        F.col("rule_id").rlike("^R00[1-5]$")
+        F.col("rule_id").rlike(r"^R00[1-5]\z")
         & (F.col("version") >= 1)
         & F.col("score").between(0, 100)
         & F.col("window_seconds").between(F.lit(1), longest)

@@ -215,7 +215,7 @@ def one_of_each(deliveries: DataFrame, id_column: str = "evaluation_id", prefix:
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-deliveries.count() // shard_rows))  # the count comes from file footers
     shard_bits = (shards - 1).bit_length() + 1
     ident = F.col(id_column)
-    is_hex = ident.rlike(f"^{prefix}[0-9a-f]{{64}}$")
+    is_hex = ident.rlike(f"^{prefix}[0-9a-f]{{64}}\\z")
     rows = deliveries.where(ident != "").select(
         F.when(is_hex, F.lit(HEX)).otherwise(F.octet_length(ident)).cast("int").alias("kind"),
         F.when(is_hex, F.unhex(F.substring(ident, len(prefix) + 1, 64))).otherwise(F.encode(ident, "utf-8")).alias("key"),

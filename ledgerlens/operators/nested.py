@@ -5,7 +5,8 @@ canonical form, in which child objects are replaced by their identities, and equ
 are stored once. One pass writes a table of parts, partitioned by kind:
 
   object       id, body, leads: a distinct object, its scalars in canonical JSON
-  part         id, child, name, ordinal: an object inside an object
+  part         id, child, name, ordinal: an object inside an object, unless it is a rule or entry
+               right below the root, which its own kind of bridge says
   rule         id, child, rule_id, rule_version, ordinal: a rule of the snapshot with root id
   entry        the same for an evidence entry of the evidence text with root id; leads is the
                number of contributors below it
@@ -143,7 +144,8 @@ class Tree:
                             self.out["contributor"] += [(child, c, e, j) for j, (e, c) in enumerate(above)]
                     else:
                         up += above
-                    parts.append((child, key, i))
+                    if not (is_typed and depth == 0):  # a rule or entry right below the root has its bridge already
+                        parts.append((child, key, i))
                     ids.append("#" + child)
                 else:
                     ids.append(x)
@@ -200,7 +202,7 @@ class Flat:
         none = F.lit(None)
         snaps = snaps.select(none.cast("string").alias("evaluation_id"), none.cast("int").alias("p"), none.cast("bigint").alias("o"), "text_id", "text", F.lit("rule").alias("kind"))
         evs = deliveries.select("evaluation_id", F.col("source_partition").cast("int").alias("p"), F.col("source_offset").cast("bigint").alias("o"), digest.alias("text_id"), F.col("rule_evidence").alias("text"), F.lit("entry").alias("kind"))
-        self.parts = materialize(evs.unionByName(snaps).mapInArrow(_store, SCHEMA), "nested", ("kind",))
+        self.parts = materialize(evs.unionByName(snaps).mapInArrow(_store, SCHEMA), "nested", ("kind",), compression="zstd")
 
     def of(self, kind: str, *columns: str) -> DataFrame:
         """The rows of a kind. Bridges and objects that several tasks stored come once."""

@@ -101,6 +101,6 @@ def storable(deliveries: DataFrame) -> DataFrame:
         F.when(~ok(F.col("decision").isin("APPROVE", "REVIEW", "REJECT")), "DECISION")
         .when(~ok(F.col("risk_score").between(0, 100)), "SCORE")
         .when(~ok(F.col("processed_at") > 0), "PROCESSED_AT")
-        .when(~ok(F.col("evaluation_id").rlike("^eval_[0-9a-f]{64}$")), "IDENTITY_FORM")
+        .when(~ok(F.col("evaluation_id").rlike(r"^eval_[0-9a-f]{64}\z")), "IDENTITY_FORM")
         .when(~ok(F.col("evaluation_id") == right), "IDENTITY"),
     )

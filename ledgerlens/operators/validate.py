@@ -21,7 +21,7 @@ def error_code(observed_at: Column, countries: tuple[str, ...] | None = None, cu
     missing = F.lit(False)
     for f in IDS:
         missing = missing | c(f).isNull() | (F.trim(f) == "") | (F.length(f) > 128)
-    country = c("country").isin(*countries) if countries else c("country").rlike("^[A-Z]{2}$")
+    country = c("country").isin(*countries) if countries else c("country").rlike(r"^[A-Z]{2}\z")
     fails = lambda ok: ~F.coalesce(ok, F.lit(False))
     return (
         F.when(missing, "MISSING_REQUIRED_FIELD")

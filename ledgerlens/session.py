@@ -57,12 +57,12 @@ def _forget() -> None:
 atexit.register(_forget)
 
 
-def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), compression: str = "snappy") -> DataFrame:
     """Writes df as a Parquet table into the shared folder and reads it back: the lineage
     ends there, several consumers read it, and it outlives lost executors."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/ledgerlens/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
-    w = df.write
+    w = df.write.option("compression", compression)
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
