@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benches on one machine; on a cluster, use the cluster's own."""
+    here = str(Path(__file__).resolve().parents[1])  # stateful streams look their functions up on PYTHONPATH only
+    os.environ["PYTHONPATH"] = os.pathsep.join([here, *filter(None, [os.environ.get("PYTHONPATH")])])
     b = SparkSession.builder.master(f"local[{cpus}]").appName("ledgerlens")
     settings = {
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
@@ -24,9 +29,25 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, **conf: str)
     } | conf
     spark = b.config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the session's Python workers, once per context: functions that run
+    there are found by name, wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgerlens_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="ledgerlens-")) / "ledgerlens.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._ledgerlens_shipped = True  # type: ignore[attr-defined]
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where
     the setting is absent and Spark runs in a single process."""

@@ -136,6 +136,7 @@ def score_stream(payments: DataFrame, policy: Policy, out_of_order_ms: int = OUT
     millisecond more than the allowed disorder: a time is final once the highest time exceeds it
     by more than that. Payments behind the last watermark stay buffered; nothing is flushed."""
     timed = payments.select(*_FIELDS).withColumn("ts", F.timestamp_millis("event_time")).withWatermark("ts", f"{out_of_order_ms + 1} milliseconds")
+    timed = timed.select(*_FIELDS)  # without the watermark's column, so that Spark hands late rows over instead of dropping them
     return timed.groupBy("customer_id").transformWithState(statefulProcessor=Customer(policy), outputStructType=SCORED, outputMode="Append", timeMode="EventTime")
 
 

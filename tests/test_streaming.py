@@ -1,5 +1,6 @@
 """Streams against the batch operators."""
 
+import time
 from dataclasses import replace
 
 import pytest
@@ -17,10 +18,15 @@ def tx(i, t, amount=10, device="d0", customer="C1"):
     return (f"{i}", f"txn-{i}", customer, "M1", amount, "EUR", "IT", device, "APPROVED", t, t)
 
 
-def drain(spark, df, name):
+def drain(spark, df, name, rows):
+    """Runs a stream until `rows` input rows and one batch more are through: in processing time it never idles."""
     q = df.writeStream.format("memory").queryName(name).outputMode("append").start()
     try:
-        q.processAllAvailable()
+        for _ in range(240):
+            seen = [p["numInputRows"] for p in q.recentProgress]
+            if q.exception() or sum(seen) >= rows and seen[-1] == 0:
+                break
+            time.sleep(0.25)
     finally:
         q.stop()
     return spark.table(name).collect()
@@ -60,7 +66,7 @@ def test_once(spark, tmp_path):
     other = list(tx("a", 1))
     other[2] = "C2"
     feed(spark, path, [tx("a", 1), tx("a", 1), tx("b", 2), tuple(other)])
-    got = drain(spark, scoring.once_stream(streams.file_stream(spark, path, schemas.TRANSACTION)), "once")
+    got = drain(spark, scoring.once_stream(streams.file_stream(spark, path, schemas.TRANSACTION)), "once", 4)
     kinds = sorted((r.event_id, r.kind) for r in got)
     assert kinds in ([("a", "CONFLICT"), ("a", "FIRST"), ("b", "FIRST")], [("a", "CONFLICT"), ("a", "CONFLICT"), ("a", "FIRST"), ("b", "FIRST")])
 
@@ -70,7 +76,7 @@ def test_session_stream_has_the_same_gap(spark, tmp_path):
     times = [10**12, 10**12 + gap, 10**12 + 2 * gap + 1, 10**12 + 9 * gap]
     feed(spark, path, [tx(i, t) for i, t in enumerate(times)], [tx("x", 10**12 + 100 * gap)])
     src = streams.file_stream(spark, path, schemas.TRANSACTION)
-    got = {(r.started_at, r.ended_at, r.n) for r in drain(spark, periods.session_stream(src, ["customer_id"]), "sess")}
+    got = {(r.started_at, r.ended_at, r.n) for r in drain(spark, periods.session_stream(src, ["customer_id"]), "sess", 5)}
     want = {(r.started_at, r.ended_at, r.n) for r in sessions.sessions(spark.read.parquet(path), ["customer_id"]).collect()}
     assert got == {w for w in want if w[0] < 10**12 + 50 * gap}
 
