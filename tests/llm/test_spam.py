@@ -1,4 +1,4 @@
-from ledgerlens.llm.spam import label_pages, spam_pages
+from ledgerlens.llm.spam import fit_chain, label_pages, spam_pages
 
 SPAM = [
     "buy sun hat, cheap sun hat, sun hat best price, discount sun hat, wholesale sun hat, sun hat online",
@@ -47,3 +47,11 @@ def test_labels_do_not_depend_on_the_pages_around(spark):
     one = {tuple(r) for r in label_pages(docs.coalesce(1)).collect()}
     many = {tuple(r) for r in label_pages(docs.repartition(7)).collect()}
     assert one == many
+
+
+def test_training_counts_all_pages_and_keeps_probabilities(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    begin, move = fit_chain(docs, rounds=2)
+    assert abs(sum(begin) - 1) < 1e-9 and all(abs(sum(row) - 1) < 1e-9 and row[i] > 0.5 for i, row in enumerate(move[:3]))
+    assert {r.doc_id for r in spam_pages(docs, (begin, move)).collect()} == {r.doc_id for r in spam_pages(docs).collect()}
+    assert fit_chain(docs.limit(0), 1)[0] == (0.2,) * 5
