@@ -78,6 +78,29 @@ _RULES = f"""WITH {_KEPT}, pairs AS (
          max(CASE WHEN greatest(r.updated_at, r.source_timestamp) <= k.event_time THEN r.version END) AS version,
          max(CASE WHEN r.policy_version <= k.policy_version THEN r.version END) AS implied
   FROM kept k JOIN risk_rules r ON r.policy_id = k.policy_id GROUP BY 1, 2)"""
+def _json(text: str) -> str:
+    """A JSON text as JSON, unwrapped once from a JSON string; null if unreadable."""
+    one = f"CASE WHEN json_valid({text}) THEN CASE WHEN json_type({text}) = 'VARCHAR' THEN {text}::JSON ->> '$' ELSE {text} END END"
+    return f"(SELECT CASE WHEN json_valid(t) THEN t::JSON END FROM (SELECT {one} AS t))"
+
+
+_NESTED = f"""WITH docs AS (
+  SELECT row_number() OVER () AS rid, evaluation_id, {_json('policy_snapshot')} AS s, {_json('rule_evidence')} AS e FROM evaluations WHERE evaluation_id <> ''),
+sides AS (
+  SELECT rid, coalesce(s -> '$.rules', s -> '$.policy.rules') AS r, coalesce(e -> '$.evidence', e) AS e FROM docs WHERE s IS NOT NULL AND e IS NOT NULL),
+rules AS (
+  SELECT rid, x ->> '$.rule_id' AS rule_id, CAST(x ->> '$.version' AS BIGINT) AS version FROM (SELECT rid, unnest(json_extract(r, '$[*]')) AS x FROM sides WHERE json_type(r) = 'ARRAY')
+  UNION SELECT rid, k, CAST(json_extract_string(r, '$.' || k || '.version') AS BIGINT) FROM (SELECT rid, r, unnest(json_keys(r)) AS k FROM sides WHERE json_type(r) = 'OBJECT')),
+entries AS (
+  SELECT rid, x ->> '$.rule_id' AS rule_id, x FROM (SELECT rid, unnest(json_extract(e, '$[*]')) AS x FROM sides WHERE json_type(e) = 'ARRAY')
+  UNION ALL SELECT rid, k, json_extract(e, '$.' || k) FROM (SELECT rid, e, unnest(json_keys(e)) AS k FROM sides WHERE json_type(e) = 'OBJECT')),
+listed AS (
+  SELECT rid, rule_id, CAST(x ->> '$.rule_version' AS BIGINT) AS rule_version, unnest([x -> '$.contributors', x -> '$.lookback.contributors']) AS c FROM entries),
+members AS (
+  SELECT rid, rule_id, rule_version, unnest(json_extract(c, '$[*]')) AS c FROM listed WHERE json_type(c) = 'ARRAY'
+  UNION ALL SELECT rid, rule_id, rule_version, c FROM listed WHERE json_type(c) = 'OBJECT'),
+named AS (
+  SELECT rid, rule_id, rule_version, CASE json_type(c) WHEN 'VARCHAR' THEN c ->> '$' WHEN 'OBJECT' THEN coalesce(c ->> '$.event_id', c ->> '$.payment.event_id') END AS event_id FROM members)"""
 _USABLE = "(event_time > 0 AND event_time <= producer_time + 300000)"
 _ADMIT = f"""admitted AS (
   SELECT *, coalesce({_USABLE}, false) AS usable,
@@ -122,6 +145,7 @@ SQL: dict[str, str] = {
   SELECT event_id, any_value(event_time) AS event_time, any_value(CASE WHEN amount_minor BETWEEN 1 AND 1000000000000 THEN amount_minor END) AS amount
   FROM admitted WHERE usable AND NOT coalesce(event_time <= frontier - 7200000, false) AND trim(customer_id) <> '' GROUP BY event_id)
 SELECT event_time - event_time % 3600000 AS period_start, count(*) AS n, CAST(coalesce(sum(amount), 0) AS BIGINT) AS amount_minor FROM firsts GROUP BY 1""",
+    "p3_found": f"{_NESTED} SELECT DISTINCT evaluation_id, rule_id, rule_version, event_id FROM named JOIN docs USING (rid) JOIN rules r USING (rid, rule_id) WHERE r.version = rule_version AND event_id <> ''",
     "p4_found": f"{_TRAILING} SELECT customer_id, strftime(DATE '1970-01-01' + CAST(day AS INTEGER), '%Y-%m-%d') AS day FROM windowed WHERE NOT active AND day >= first_day + 29 AND total_30 > 0 AND total_7 * 30 >= 21 * total_30",
     "p4_trailing": f"{_TRAILING} SELECT customer_id, CAST(day AS INTEGER) AS day, total_7, n_7, total_30, n_30, round(total_7 / 7, 4) AS avg_7, round(total_30 / 30, 4) AS avg_30 FROM windowed",
     "p5_found": f"{_LATENCY}, m AS (SELECT decision, quantile_disc(latency, 0.5) AS med FROM lat GROUP BY 1) SELECT evaluation_id FROM lat JOIN m USING (decision) WHERE latency > 10 * med",

@@ -225,3 +225,29 @@ def test_counted_payments(spark):
     rows = [pay("a", "c", 10), pay("a", "c", 10, 1), pay("b", " ", 10), pay("d", None, 10), pay("e", "c", 0), pay("f", "c", 10, made=-400_000), pay("f", "c", 10, 3), pay("g", "c", None), pay(None, "c", 10), pay("h", "c", 300_010, made=10), pay("i", "c", 300_011, made=10)]
     got = counted_payments(spark.createDataFrame(rows, PAYMENT), "customer_id")
     assert sorted(r[0] for r in got.collect()) == ["a", "f", "h"]
+
+
+# --- beyond the size that is broadcast -------------------------------------------------------
+def test_large_sides_are_joined_by_exchange(spark, monkeypatch):
+    from ledgerlens.operators import nested
+    from ledgerlens.sources.tables import table
+
+    e, r = (table(spark, "/root/testdata/sf0.001", n) for n in ("evaluations", "risk_rules"))
+    results = lambda: [sorted(map(tuple, df.collect())) for df in (bitemporal.other_version_than_implied(e, r), evaluations.slow_evaluations(e), nested.Flat(e).contributors())]
+    small = results()
+    for m in (bitemporal, evaluations, nested):
+        monkeypatch.setattr(m, "BROADCAST_ROWS", 0)
+    assert results() == small and all(small)
+
+
+def test_hot_keys_are_split(spark):
+    """A third of all rows under one key: no task of the interval, frontier or look-back stages gets them all."""
+    n = 30_000
+    rows = spark.range(n).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 500)).alias("k"), (F.col("id") * 250_000).alias("t"))
+    s = sessions.sessions(rows, ["k"], "t")
+    assert s.agg(F.sum("n")).first()[0] == n
+    cells = rows.where("k = 'hot'").select(F.floor(F.col("t") / sessions.CELL_MS)).distinct().count()
+    assert cells > 80
+    copies = spark.range(n).select(F.when(F.col("id") % 3 == 0, "eval_" + "0" * 64).otherwise(F.concat(F.lit("eval_"), F.sha2(F.col("id").cast("string"), 256))).alias("evaluation_id"), F.timestamp_seconds(F.col("id")).alias("ingested_at"), F.lit(0).alias("source_partition"), F.col("id").alias("source_offset"))
+    got = delivery.one_of_each(copies.repartition(4))
+    assert got.count() == n - n // 3 + 1 and got.where("copies > 1").select("copies", "source_offset").collect() == [(n // 3, 0)]
