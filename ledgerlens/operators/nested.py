@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.session import materialize
+from ledgerlens.session import materialize, spread
 
 DEPTH = 200  # texts nested deeper are unreadable
 SEEN = 100_000  # identities a task remembers to write equal objects once; Flat drops what several tasks wrote
@@ -202,7 +202,7 @@ class Flat:
         none = F.lit(None)
         snaps = snaps.select(none.cast("string").alias("evaluation_id"), none.cast("int").alias("p"), none.cast("bigint").alias("o"), "text_id", "text", F.lit("rule").alias("kind"))
         evs = deliveries.select("evaluation_id", F.col("source_partition").cast("int").alias("p"), F.col("source_offset").cast("bigint").alias("o"), digest.alias("text_id"), F.col("rule_evidence").alias("text"), F.lit("entry").alias("kind"))
-        self.parts = materialize(evs.unionByName(snaps).mapInArrow(_store, SCHEMA), "nested", ("kind",), compression="zstd")
+        self.parts = materialize(spread(evs).unionByName(snaps).mapInArrow(_store, SCHEMA), "nested", ("kind",), compression="zstd")
 
     def of(self, kind: str, *columns: str) -> DataFrame:
         """The rows of a kind. Bridges and objects that several tasks stored come once."""

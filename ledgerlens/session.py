@@ -62,6 +62,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or made
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over at least as many tasks as there are cores, for work in Python: a table of one
+    row group would keep one core busy. A scan that has enough partitions is left alone, so that
+    large tables are never exchanged for this."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
