@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.packing import random_group
 from ledgerlens.llm.tokens import VOCABULARY, token_count
-from ledgerlens.session import materialize
+from ledgerlens.session import materialize, spread
 
 GROUP_ROWS = 8192
 SOURCES = 100_000  # targets beyond this are joined by exchange, not broadcast
@@ -86,8 +86,9 @@ class Mixture:
         t = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("target_share"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))).alias("max_repeats"))
         few = t.limit(SOURCES + 1).count() <= SOURCES
         small = lambda df: F.broadcast(df) if few else df
-        mine = documents.where(F.col("source").isNotNull()).join(small(t.select("source")), "source", "left_semi")
-        sized = mine.select("source", "doc_id", token_count(F.col("text"), vocabulary).alias("tokens"), F.monotonically_increasing_id().alias("row"))
+        placed = spread(documents.where(F.col("source").isNotNull()).select("source", "doc_id", "text", F.monotonically_increasing_id().alias("row")))
+        mine = placed.join(small(t.select("source")), "source", "left_semi")
+        sized = mine.select("source", "doc_id", token_count(F.col("text"), vocabulary).alias("tokens"), "row")
         sized = materialize(sized, "sized")
         sums = sized.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum("tokens").alias("size"))
         plan = t.join(sums, "source", "left").na.fill(0, ["records", "size"])

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.tokens import VOCABULARY, token_count
+from ledgerlens.session import spread
 
 CAPACITY = 4096
 GROUP_ROWS = 8192
@@ -85,7 +86,8 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP
     spread by their place in the scan, which a task that runs again repeats: documents have to be
     a scan or a written table, not the result of an exchange."""
     groups = max(1, -(-documents.count() // group_rows))
-    sized = documents.select("doc_id", token_count(F.col("text"), vocabulary).alias("tokens")).withColumn("grp", random_group(groups, seed, "doc_id", F.monotonically_increasing_id()))
+    placed = spread(documents.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
+    sized = placed.select("doc_id", token_count(F.col("text"), vocabulary).alias("tokens"), random_group(groups, seed, "doc_id", "row").alias("grp"))
     return sized.groupBy("grp").applyInPandas(_packer(capacity), "doc_id bigint, piece bigint, pieces bigint, size bigint, container bigint")
 
 

@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ledgerlens.session import spread
+
 LABELS = ("prose", "links", "tags", "menu", "records")
 CHUNK_CHARS = 4_000_000  # texts are handled in chunks of about this size, one very long text on its own
 REMEMBERED = 300_000
@@ -298,7 +300,7 @@ def fit_chain(documents: DataFrame, rounds: int = 4, chain: tuple = PLAIN) -> tu
     """Transition probabilities by Viterbi training over all pages: label with the chain so far,
     count, add one to every count, divide; the emissions stay. Only 30 sums reach the driver."""
     for _ in range(rounds):
-        counted = documents.select("doc_id", "text").mapInArrow(_counter(chain), "i bigint, j bigint, n bigint")
+        counted = spread(documents.select("doc_id", "text")).mapInArrow(_counter(chain), "i bigint, j bigint, n bigint")
         n = np.ones((6, 5))
         for r in counted.groupBy("i", "j").sum("n").collect():
             n[r[0], r[1]] += r[2]
@@ -313,7 +315,7 @@ def label_pages(documents: DataFrame, chain: tuple = CHAIN) -> DataFrame:
     A null or empty text has 0 everywhere. One row per input row, repeated ids included; no
     shuffle; other columns are ignored."""
     schema = "doc_id bigint, chars bigint, lines bigint, " + ", ".join(f"{x} bigint" for x in LABELS)
-    return documents.select("doc_id", "text").mapInArrow(_labeller(chain), schema)
+    return spread(documents.select("doc_id", "text")).mapInArrow(_labeller(chain), schema)
 
 
 def spam_pages(documents: DataFrame, chain: tuple = CHAIN) -> DataFrame:
