@@ -25,7 +25,7 @@ def latencies(deliveries: DataFrame) -> DataFrame:
     """(evaluation_id, decision, latency) of kept copies with decision and processing time."""
     k = kept_copies(deliveries, "decision", "event_time", "processed_at")
     k = k.where(F.col("decision").isNotNull() & F.col("processed_at").isNotNull() & F.col("event_time").isNotNull())
-    return k.select("evaluation_id", "decision", (F.col("processed_at") - F.col("event_time")).alias("latency"))
+    return k.select("evaluation_id", "decision", F.try_subtract("processed_at", "event_time").alias("latency")).where(F.col("latency").isNotNull())
 
 
 def latency_percentiles(deliveries: DataFrame, probabilities=(0.5, 0.9, 0.95, 0.99), bits: int | None = quantiles.BITS) -> DataFrame:

@@ -34,14 +34,14 @@ def admit(
     frontier (null before the first usable time) and refused, besides the given columns.
 
     Nulls: rows without partition or offset have no place in the order and are left out; an
-    unusable event time neither moves the frontier nor is it refused. Equal offsets do not see
-    each other's times only if unique, as offsets are. An empty table gives an empty result.
+    unusable event time neither moves the frontier nor is it refused. Offsets are unique within a
+    partition; of equal ones, one would see the other's time. An empty table gives an empty result.
     """
     keys = ["source_partition", "arrival_batch"]
     placed = deliveries.where(F.col("source_partition").isNotNull() & F.col("source_offset").isNotNull())
     rows = placed.select(
         "source_partition",
-        F.floor(F.col("source_offset") / F.lit(batch_rows)).alias("arrival_batch"),
+        F.expr(f"source_offset div {int(batch_rows)}").alias("arrival_batch"),
         "source_offset",
         "event_time",
         usable_event_time().alias("usable"),

@@ -11,7 +11,7 @@ AHEAD_MS = 300_000
 def usable_event_time(event_time: str = "event_time", producer_time: str = "producer_time") -> Column:
     """Not null, above 0 and at most five minutes ahead of the producer's clock (false if that is null)."""
     t, p = F.col(event_time), F.col(producer_time)
-    return F.coalesce((t > 0) & (t <= p + F.lit(AHEAD_MS)), F.lit(False))
+    return F.coalesce((t > 0) & (F.try_subtract(t, F.lit(AHEAD_MS)) <= p), F.lit(False))  # whatever the times, nothing overflows
 
 
 def counted_payments(deliveries: DataFrame, *columns: str) -> DataFrame:

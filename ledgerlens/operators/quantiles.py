@@ -29,7 +29,7 @@ def rounded(value: Column, bits: int | None = BITS) -> Column:
     """value (bigint) cut to its leading bits, towards 0; exact below 2**bits, and everywhere if bits is None."""
     if bits is None:
         return value
-    size = F.length(F.bin(F.abs(value)))
+    size = F.length(F.bin(F.when(value < 0, -(value + 1)).otherwise(value)))  # no magnitude overflows
     shift = F.greatest(size - F.lit(bits), F.lit(0))
     unit = F.pow(F.lit(2.0), shift).cast("bigint")
     return F.when(shift > 0, (value.cast("bigint") - value % unit)).otherwise(value.cast("bigint"))

@@ -72,19 +72,22 @@ def offset_gaps(records: DataFrame) -> DataFrame:
 
 
 def position_digest(records: DataFrame, block: int = 65_536) -> DataFrame:
-    """(source_topic, source_partition, records, first, last, digest): tells whether two readers read
-    the same positions, whatever the order of arrival. A hash over sorted blocks of offsets: the
-    offsets of a block are hashed together, then the blocks' hashes. Negative or repeated offsets
-    are an error of the reader; they change `records` against last - first + 1 and raise the
-    `repeated` count."""
+    """(source_topic, source_partition, records, repeated, first, last, digest): tells whether two
+    readers read the same positions, whatever the order of arrival.
+
+    A hash tree: the sorted offsets of a block are hashed together, then the hashes of 65,536
+    neighbouring blocks, three times over, so that no task lists more than a block. Repeated
+    offsets count in `repeated`; rows without coordinates are left out."""
     keys = ["source_topic", "source_partition"]
-    o = records.groupBy(*keys, "source_offset").agg(F.count(F.lit(1)).alias("_n"))
-    per = o.groupBy(*keys, F.floor(F.col("source_offset") / block).alias("_b")).agg(
+    o = records.where(F.col("source_offset").isNotNull()).groupBy(*keys, "source_offset").agg(F.count(F.lit(1)).alias("_n"))
+    level = o.groupBy(*keys, F.expr(f"source_offset div {int(block)}").alias("_b")).agg(
         F.sha2(F.array_join(F.sort_array(F.collect_list("source_offset")).cast("array<string>"), "\n"), 256).alias("_h"),
-        F.count(F.lit(1)).alias("_records"), F.sum(F.col("_n") - 1).alias("_more"), F.min("source_offset").alias("_lo"), F.max("source_offset").alias("_hi"),
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("_b", "_h")))
-    return per.groupBy(*keys).agg(
-        F.sum("_records").alias("records"), F.sum("_more").alias("repeated"), F.min("_lo").alias("first"), F.max("_hi").alias("last"),
-        F.sha2(F.array_join(F.transform(ordered, lambda x: x["_h"]), "\n"), 256).alias("digest"),
+        F.count(F.lit(1)).alias("records"), F.sum(F.col("_n") - 1).alias("repeated"), F.min("source_offset").alias("first"), F.max("source_offset").alias("last"),
     )
+    for _ in range(3):
+        below = F.sort_array(F.collect_list(F.struct("_b", "_h")))
+        level = level.groupBy(*keys, F.expr("_b div 65536").alias("_up")).agg(
+            F.sha2(F.array_join(F.transform(below, lambda x: x["_h"]), "\n"), 256).alias("_h"),
+            F.sum("records").alias("records"), F.sum("repeated").alias("repeated"), F.min("first").alias("first"), F.max("last").alias("last"),
+        ).withColumnRenamed("_up", "_b")
+    return level.select(*keys, "records", "repeated", "first", "last", F.col("_h").alias("digest"))

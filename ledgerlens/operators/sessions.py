@@ -29,7 +29,7 @@ def merge_intervals(intervals: DataFrame, keys: Sequence[str], gap_ms: int = GAP
     keys = list(keys)
     order = Window.partitionBy(*keys).orderBy("started_at", "ended_at")
     reached = F.max("ended_at").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(reached.isNull() | (F.col("started_at") > reached + F.lit(gap_ms)), 1).otherwise(0)
+    opens = F.when(reached.isNull() | (F.try_subtract("started_at", F.lit(gap_ms)) > reached), 1).otherwise(0)
     numbered = intervals.withColumn("_opens", opens).withColumn("_session", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(*keys, "_session").agg(F.min("started_at").alias("started_at"), F.max("ended_at").alias("ended_at"), F.sum("n").alias("n")).drop("_session")
 
@@ -49,12 +49,13 @@ def sessions(events: DataFrame, keys: Sequence[str], time: str = "event_time", g
     points = rows.groupBy(*k, "started_at").agg(F.count(F.lit(1)).alias("n"))
     cells = points.withColumns({"ended_at": F.col("started_at"), "_cell": F.floor(F.col("started_at") / F.lit(cell_ms))})
     local = merge_intervals(cells, [*k, "_cell"], gap_ms)
-    lower = F.col("_cell") * cell_ms
-    edge = (F.col("started_at") - lower <= gap_ms) | (lower + cell_ms - F.col("ended_at") <= gap_ms)
+    lower = F.try_multiply("_cell", F.lit(cell_ms))
+    edge = (F.try_subtract("started_at", lower) <= gap_ms) | (F.try_subtract("ended_at", lower) >= cell_ms - gap_ms)
+    edge = F.coalesce(edge, F.lit(True))  # at the ends of the 64-bit range
     # one exchange for both kinds: a closed interval has its cell as a key of its own and stays as it is
     local = local.withColumn("_own", F.when(edge, F.lit(None).cast("bigint")).otherwise(F.col("started_at"))).drop("_cell")
     whole = merge_intervals(local, [*k, "_own"], gap_ms)
-    return whole.select(*[F.col(v).alias(c) for c, v in named.items()], "started_at", "ended_at", (F.col("ended_at") - F.col("started_at")).alias("duration_ms"), "n")
+    return whole.select(*[F.col(v).alias(c) for c, v in named.items()], "started_at", "ended_at", F.try_subtract("ended_at", "started_at").alias("duration_ms"), "n")
 
 
 def device_sessions(deliveries: DataFrame, **settings: int) -> DataFrame:

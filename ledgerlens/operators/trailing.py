@@ -50,7 +50,8 @@ def trailing_totals(daily: DataFrame, last_day: int, periods: tuple[int, ...] =
 
 def customer_days(deliveries: DataFrame, last_day: int, periods: tuple[int, ...] = (7, 30)) -> DataFrame:
     """Trailing totals per customer of the counted payments in EUR with amounts from 1 to 10^12."""
-    paid = counted_payments(deliveries.where((F.col("currency") == "EUR") & F.col("amount_minor").between(1, 1_000_000_000_000)), "customer_id", "amount_minor", "event_time")
+    until = F.col("event_time") < (last_day + 1) * DAY_MS
+    paid = counted_payments(deliveries.where(until & (F.col("currency") == "EUR") & F.col("amount_minor").between(1, 1_000_000_000_000)), "customer_id", "amount_minor", "event_time")
     daily = paid.groupBy(F.col("customer_id").alias("entity"), F.floor(F.col("event_time") / F.lit(DAY_MS)).cast("int").alias("day")).agg(F.sum("amount_minor").alias("total"), F.count(F.lit(1)).alias("n"))
     return trailing_totals(daily, last_day, periods)
 
@@ -59,5 +60,6 @@ def concentrated_idle_days(deliveries: DataFrame, last_day: int) -> DataFrame:
     """(customer_id, day) of idle days from a customer's 30th day on of whose trailing 30-day
     total at least 70 % lies in the last 7 days."""
     t = customer_days(deliveries, last_day)
-    hit = ~F.col("active") & (F.col("day") >= F.col("first_day") + 29) & (F.col("total_30") > 0) & (F.col("total_7") * 30 >= F.col("total_30") * 21)
+    wide = lambda c: F.col(c).cast("decimal(30,0)")
+    hit = ~F.col("active") & (F.col("day") >= F.col("first_day") + 29) & (F.col("total_30") > 0) & (wide("total_7") * 30 >= wide("total_30") * 21)
     return t.where(hit).select(F.col("entity").alias("customer_id"), F.date_format(F.date_from_unix_date("day"), "yyyy-MM-dd").alias("day"))

@@ -127,7 +127,8 @@ windowed AS (
 _LATENCY = f"""WITH {_KEPT}, lat AS (
   SELECT evaluation_id, decision, processed_at - event_time AS latency FROM kept
   WHERE decision IS NOT NULL AND processed_at IS NOT NULL)"""
-_ROUNDED = "CASE WHEN abs(latency) < 65536 THEN latency ELSE latency - latency % CAST(pow(2, length(bin(abs(latency))) - 16) AS BIGINT) END"
+_MAGNITUDE = "(CASE WHEN latency < 0 THEN -(latency + 1) ELSE latency END)"
+_ROUNDED = f"CASE WHEN {_MAGNITUDE} < 65536 THEN latency ELSE latency - latency % CAST(pow(2, length(bin({_MAGNITUDE})) - 16) AS BIGINT) END"
 _SESSIONS = f"""WITH {_COUNTED}, marked AS (
   SELECT *, CASE WHEN event_time - lag(event_time) OVER w <= 1800000 THEN 0 ELSE 1 END AS opens
   FROM counted WHERE device_id IS NOT NULL WINDOW w AS (PARTITION BY customer_id, device_id ORDER BY event_time)),

@@ -260,7 +260,7 @@ def offset_gaps(spark, d):
 
 @query("""WITH b AS (
   SELECT source_topic, source_partition, source_offset // 65536 AS b, sha256(string_agg(CAST(source_offset AS VARCHAR), chr(10) ORDER BY source_offset)) AS h, count(*) AS n, min(source_offset) AS lo, max(source_offset) AS hi FROM payments GROUP BY 1, 2, 3)
-SELECT source_topic, source_partition, CAST(sum(n) AS BIGINT) AS records, CAST(0 AS BIGINT) AS repeated, min(lo) AS first, max(hi) AS last, sha256(string_agg(h, chr(10) ORDER BY b)) AS digest FROM b GROUP BY 1, 2""")
+SELECT source_topic, source_partition, CAST(sum(n) AS BIGINT) AS records, CAST(0 AS BIGINT) AS repeated, min(lo) AS first, max(hi) AS last, sha256(sha256(sha256(string_agg(h, chr(10) ORDER BY b)))) AS digest FROM b GROUP BY 1, 2""")
 def source_position_digest(spark, d):
     return reconcile.position_digest(table(spark, d, "payments"))
 

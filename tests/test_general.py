@@ -227,6 +227,16 @@ def test_counted_payments(spark):
     assert sorted(r[0] for r in got.collect()) == ["a", "f", "h"]
 
 
+def test_extreme_times_and_amounts_do_not_overflow(spark):
+    top, low = (1 << 63) - 1, -(1 << 63)
+    rows = [pay("a", "c", top, 1, made=top), pay("b", "c", low, 2, made=low), pay("d", "c", 10, 3, made=top), pay("e", "c", 5_000_000, 4, a=10**12), pay("f", "c", top, 5, made=low)]
+    df = spark.createDataFrame(rows, PAYMENT)
+    assert sorted(r[0] for r in counted_payments(df, "customer_id").collect()) == ["a", "d", "e"]
+    assert {r.day for r in trailing.customer_days(df, 3).collect()} == {0, 1, 2, 3}
+    assert late_periods.refused_deliveries(df).count() == 2
+    assert sorted(r.started_at for r in sessions.device_sessions(df).collect()) == [10, 5_000_000, top]
+
+
 # --- beyond the size that is broadcast -------------------------------------------------------
 def test_large_sides_are_joined_by_exchange(spark, monkeypatch):
     from ledgerlens.operators import nested
