@@ -1,4 +1,4 @@
-"""Queries p8..p10 over the tables of a directory, and their SQL where there is any."""
+"""Queries p5 and p8..p10 over the tables of a directory, and their SQL where there is any."""
 
 from __future__ import annotations
 
@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import mixing, packing, spam
+from ledgerlens.llm import latency, mixing, packing, spam
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return latency.slow_evaluations(_table(spark, d, "evaluations"))
+
+
+def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return latency.latency_percentiles(_table(spark, d, "evaluations"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return packing.split_documents(packing.pack(_table(spark, d, "documents")))
 
@@ -42,6 +50,22 @@ def p10_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p8_found, p8_containers, p9_found, p9_shares, p9_records, p10_found, p10_labels)
+    f.__name__: f for f in (p5_found, p5_percentiles, p8_found, p8_containers, p9_found, p9_shares, p9_records, p10_found, p10_labels)
+}
+_KEPT = """kept AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY evaluation_id ORDER BY ingested_at, source_partition, source_offset) AS rn,
+           count(*) OVER (PARTITION BY evaluation_id) AS copies
+    FROM evaluations WHERE evaluation_id <> '') WHERE rn = 1)"""
+_LATENCY = f"""WITH {_KEPT}, lat AS (
+  SELECT evaluation_id, decision, processed_at - event_time AS latency FROM kept
+  WHERE decision IS NOT NULL AND processed_at IS NOT NULL)"""
+_MAGNITUDE = "(CASE WHEN latency < 0 THEN -(latency + 1) ELSE latency END)"
+_ROUNDED = f"CASE WHEN {_MAGNITUDE} < 65536 THEN latency ELSE latency - latency % CAST(pow(2, length(bin({_MAGNITUDE})) - 16) AS BIGINT) END"
+SQL: dict[str, str] = {
+    "p5_found": f"{_LATENCY}, m AS (SELECT decision, quantile_disc(latency, 0.5) AS med FROM lat GROUP BY 1) SELECT evaluation_id FROM lat JOIN m USING (decision) WHERE latency > 10 * med",
+    "p5_percentiles": f"""{_LATENCY}, ranked AS (
+  SELECT decision, {_ROUNDED} AS value, row_number() OVER (PARTITION BY decision ORDER BY {_ROUNDED}) AS rank, count(*) OVER (PARTITION BY decision) AS count FROM lat),
+targets AS (SELECT unnest([0.5, 0.9, 0.95, 0.99])::DOUBLE AS p)
+SELECT decision, p, value, count FROM ranked, targets WHERE rank = greatest(1, CAST(ceil(p * count) AS BIGINT))""",
 }
-SQL: dict[str, str] = {}
