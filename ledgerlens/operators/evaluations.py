@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import quantiles
-from ledgerlens.session import materialize
-
-BROADCAST_ROWS = 100_000
 ORDER = ("ingested_at", "source_partition", "source_offset")
 
 
@@ -26,18 +22,3 @@ def latencies(deliveries: DataFrame) -> DataFrame:
     k = kept_copies(deliveries, "decision", "event_time", "processed_at")
     k = k.where(F.col("decision").isNotNull() & F.col("processed_at").isNotNull() & F.col("event_time").isNotNull())
     return k.select("evaluation_id", "decision", F.try_subtract("processed_at", "event_time").alias("latency")).where(F.col("latency").isNotNull())
-
-
-def latency_percentiles(deliveries: DataFrame, probabilities=(0.5, 0.9, 0.95, 0.99), bits: int | None = quantiles.BITS) -> DataFrame:
-    return quantiles.percentiles(quantiles.value_counts(latencies(deliveries), ["decision"], "latency", bits), ["decision"], probabilities)
-
-
-def slow_evaluations(deliveries: DataFrame, times: int = 10) -> DataFrame:
-    """Kept copies whose latency is more than `times` the median of their decision. The
-    median table has one row per decision; it is broadcast as the join's small side."""
-    every = materialize(latencies(deliveries), "latencies")
-    medians = quantiles.percentiles(quantiles.value_counts(every, ["decision"], "latency"), ["decision"], [0.5])
-    m = medians.select(F.col("decision").alias("_d"), F.col("value").alias("_median"))
-    few = m.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hit = every.join(F.broadcast(m) if few else m, F.col("decision") == F.col("_d"))
-    return hit.where(F.col("latency") > F.col("_median") * times).select("evaluation_id")

@@ -22,6 +22,7 @@ from ledgerlens.operators.payments import usable_event_time
 CUTOFF_MS = 7_200_000
 PERIOD_MS = 3_600_000
 BATCH_ROWS = 16_384
+FIELDS = ("event_id", "customer_id", "amount_minor")
 
 
 def admit(
@@ -29,9 +30,12 @@ def admit(
     *columns: str,
     cutoff_ms: int = CUTOFF_MS,
     batch_rows: int = BATCH_ROWS,
+    reached: DataFrame | None = None,
 ) -> DataFrame:
     """Deliveries with source_partition, source_offset, event_time, arrival_batch, usable,
     frontier (null before the first usable time) and refused, besides the given columns.
+    reached: (source_partition, top), the highest usable time of all earlier deliveries, if these
+    are not among the rows; one row per partition of the source.
 
     Nulls: rows without partition or offset have no place in the order and are left out; an
     unusable event time neither moves the frontier nor is it refused. Offsets are unique within a
@@ -50,6 +54,10 @@ def admit(
     # one row per batch: 1/batch_rows of the input
     earlier = Window.partitionBy("source_partition").orderBy("arrival_batch").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(*keys).agg(F.max("_t").alias("_top")).select(*keys, F.max("_top").over(earlier).alias("_start"))
+    if reached is not None:
+        r = reached.select(F.col("source_partition").alias("_p"), F.col("top").alias("_reached"))
+        joined = starts.join(r, F.col("source_partition") == F.col("_p"), "left")
+        starts = joined.select(*keys, F.greatest("_start", "_reached").alias("_start"))
     within = Window.partitionBy(*keys).orderBy("source_offset").rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("_before", F.max("_t").over(within))
@@ -65,22 +73,24 @@ def refused_deliveries(deliveries: DataFrame, cutoff_ms: int = CUTOFF_MS, batch_
     return admit(deliveries, cutoff_ms=cutoff_ms, batch_rows=batch_rows).where("refused").select("source_partition", "source_offset")
 
 
-def partial_aggregates(admitted: DataFrame, period_ms: int = PERIOD_MS) -> DataFrame:
-    """Mergeable partials (period_start, source_partition, arrival_batch, n, amount_minor) of the
-    accepted, counted payments. A payment delivered again counts at its first accepted
-    delivery, so that partials of different batches add up. Amounts that are null or outside
-    1..10^12 count as a payment without amount."""
+def accepted(admitted: DataFrame) -> DataFrame:
+    """(event_id, event_time, amount_minor, source_partition, arrival_batch) of the counted payments
+    at their first accepted delivery. Amounts that are null or outside 1..10^12 become null: such
+    a payment counts without amount."""
     amount = F.when(F.col("amount_minor").between(1, 1_000_000_000_000), F.col("amount_minor"))
     good = admitted.where(F.col("usable") & ~F.col("refused") & F.col("event_id").isNotNull() & (F.trim("customer_id") != ""))
     first = (
-        good.select("event_id", (F.col("event_time") - F.pmod("event_time", F.lit(period_ms))).alias("period_start"), amount.alias("_a"), F.struct("source_offset", "source_partition", "arrival_batch").alias("_at"))
-        .groupBy("event_id", "period_start", "_a")
+        good.select("event_id", "event_time", amount.alias("amount_minor"), F.struct("source_offset", "source_partition", "arrival_batch").alias("_at"))
+        .groupBy("event_id", "event_time", "amount_minor")
         .agg(F.min("_at").alias("_at"))
     )
-    return (
-        first.groupBy("period_start", F.col("_at.source_partition").alias("source_partition"), F.col("_at.arrival_batch").alias("arrival_batch"))
-        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_a"), F.lit(0)).alias("amount_minor"))
-    )
+    return first.select("event_id", "event_time", "amount_minor", "_at.source_partition", "_at.arrival_batch")
+
+
+def partial_aggregates(payments: DataFrame, period_ms: int = PERIOD_MS) -> DataFrame:
+    """Mergeable partials (period_start, source_partition, arrival_batch, n, amount_minor) of accepted payments."""
+    start = F.col("event_time") - F.pmod("event_time", F.lit(period_ms))
+    return payments.groupBy(start.alias("period_start"), "source_partition", "arrival_batch").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("amount_minor"), F.lit(0)).alias("amount_minor"))
 
 
 def combine(*partials: DataFrame) -> DataFrame:
@@ -95,4 +105,4 @@ def combine(*partials: DataFrame) -> DataFrame:
 
 def hourly(deliveries: DataFrame, **settings: int) -> DataFrame:
     """Counts and amounts per hour of event time, late payments included up to the cut-off."""
-    return combine(partial_aggregates(admit(deliveries, "event_id", "customer_id", "amount_minor", **settings)))
+    return combine(partial_aggregates(accepted(admit(deliveries, *FIELDS, **settings))))

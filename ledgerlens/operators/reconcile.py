@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import quantiles
-
 
 def outcomes(inputs: DataFrame, evaluated: DataFrame, invalid: DataFrame, late: DataFrame) -> DataFrame:
     """One row per distinct input event_id with evaluated, invalid, late (flags) and state:
@@ -40,10 +38,13 @@ def set_difference(expected: DataFrame, actual: DataFrame, key: str, value: str)
     return j.withColumn("difference", what).where(F.col("difference").isNotNull()).select(key, "difference")
 
 
-def nearest_rank(df: DataFrame, value: str, probabilities=(0.5, 0.95, 0.99, 1.0)) -> DataFrame:
-    """(p, value, count) over a whole table, exact, without sorting it in one task."""
-    one = df.select(F.lit("all").alias("_g"), F.col(value).cast("bigint").alias("_v"))
-    return quantiles.percentiles(quantiles.value_counts(one, ["_g"], "_v", bits=None), ["_g"], probabilities).drop("_g")
+def nearest_rank(df: DataFrame, value: str, probabilities=(0.5, 0.95, 0.99, 1.0), sketch: int = 1_000_000) -> DataFrame:
+    """(p, value, count): the value of rank ceil(p * count), from a mergeable sketch whose rank error
+    is count / sketch at most, so exact below that many rows. Nulls are left out."""
+    ps = [float(p) for p in probabilities]
+    v = F.col(value).cast("bigint")
+    one = df.agg(F.percentile_approx(v, ps, sketch).alias("_v"), F.count(v).alias("count")).where(F.col("count") > 0)
+    return one.select("count", F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in ps]).alias("p"), F.col("_v").alias("value"))).alias("_z")).select("_z.p", "_z.value", "count")
 
 
 def confusion(labelled: DataFrame, alert_score: int = 30) -> DataFrame:

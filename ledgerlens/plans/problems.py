@@ -1,4 +1,4 @@
-"""Queries p1..p7 over the tables of a directory, and their SQL."""
+"""Queries of the general problems (p1..p4, p6, p7) over the tables of a directory, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import bitemporal, delivery, evaluations, late_periods, nested, sessions, trailing
+from ledgerlens.operators import bitemporal, delivery, late_periods, nested, sessions, trailing
 from ledgerlens.sources.tables import table
 
 LAST_DAY = 20_237  # 2025-05-29, the last day of the data
@@ -42,14 +42,6 @@ def p4_trailing(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("entity").alias("customer_id"), "day", "total_7", "n_7", "total_30", "n_30", F.round("avg_7", 4).alias("avg_7"), F.round("avg_30", 4).alias("avg_30"))
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return evaluations.slow_evaluations(table(spark, d, "evaluations"))
-
-
-def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return evaluations.latency_percentiles(table(spark, d, "evaluations"))
-
-
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return delivery.repeated(table(spark, d, "evaluations"))
 
@@ -124,11 +116,6 @@ windowed AS (
          CAST(sum(total) OVER w30 AS BIGINT) AS total_30, CAST(sum(n) OVER w30 AS BIGINT) AS n_30
   FROM filled WINDOW w7 AS (PARTITION BY customer_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW),
                      w30 AS (PARTITION BY customer_id ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))"""
-_LATENCY = f"""WITH {_KEPT}, lat AS (
-  SELECT evaluation_id, decision, processed_at - event_time AS latency FROM kept
-  WHERE decision IS NOT NULL AND processed_at IS NOT NULL)"""
-_MAGNITUDE = "(CASE WHEN latency < 0 THEN -(latency + 1) ELSE latency END)"
-_ROUNDED = f"CASE WHEN {_MAGNITUDE} < 65536 THEN latency ELSE latency - latency % CAST(pow(2, length(bin({_MAGNITUDE})) - 16) AS BIGINT) END"
 _SESSIONS = f"""WITH {_COUNTED}, marked AS (
   SELECT *, CASE WHEN event_time - lag(event_time) OVER w <= 1800000 THEN 0 ELSE 1 END AS opens
   FROM counted WHERE device_id IS NOT NULL WINDOW w AS (PARTITION BY customer_id, device_id ORDER BY event_time)),
@@ -149,11 +136,6 @@ SELECT event_time - event_time % 3600000 AS period_start, count(*) AS n, CAST(co
     "p3_found": f"{_NESTED} SELECT DISTINCT evaluation_id, rule_id, rule_version, event_id FROM named JOIN docs USING (rid) JOIN rules r USING (rid, rule_id) WHERE r.version = rule_version AND event_id <> ''",
     "p4_found": f"{_TRAILING} SELECT customer_id, strftime(DATE '1970-01-01' + CAST(day AS INTEGER), '%Y-%m-%d') AS day FROM windowed WHERE NOT active AND day >= first_day + 29 AND total_30 > 0 AND total_7 * 30 >= 21 * total_30",
     "p4_trailing": f"{_TRAILING} SELECT customer_id, CAST(day AS INTEGER) AS day, total_7, n_7, total_30, n_30, round(total_7 / 7, 4) AS avg_7, round(total_30 / 30, 4) AS avg_30 FROM windowed",
-    "p5_found": f"{_LATENCY}, m AS (SELECT decision, quantile_disc(latency, 0.5) AS med FROM lat GROUP BY 1) SELECT evaluation_id FROM lat JOIN m USING (decision) WHERE latency > 10 * med",
-    "p5_percentiles": f"""{_LATENCY}, ranked AS (
-  SELECT decision, {_ROUNDED} AS value, row_number() OVER (PARTITION BY decision ORDER BY {_ROUNDED}) AS rank, count(*) OVER (PARTITION BY decision) AS count FROM lat),
-targets AS (SELECT unnest([0.5, 0.9, 0.95, 0.99])::DOUBLE AS p)
-SELECT decision, p, value, count FROM ranked, targets WHERE rank = greatest(1, CAST(ceil(p * count) AS BIGINT))""",
     "p6_found": f"WITH {_KEPT} SELECT evaluation_id, source_partition, source_offset FROM kept WHERE copies > 1",
     "p6_kept": f"WITH {_KEPT} SELECT evaluation_id, source_partition, source_offset, copies FROM kept",
     "p7_found": f"{_SESSIONS} SELECT customer_id, device_id, started_at, ended_at FROM sessions WHERE n >= 5",

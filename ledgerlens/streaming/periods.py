@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import late_periods
 from ledgerlens.operators.sessions import GAP_MS
+from ledgerlens.session import materialize
 
 
 def session_stream(events: DataFrame, keys: Sequence[str], gap_ms: int = GAP_MS, lateness_ms: int = late_periods.CUTOFF_MS) -> DataFrame:
@@ -21,21 +22,44 @@ def session_stream(events: DataFrame, keys: Sequence[str], gap_ms: int = GAP_MS,
 
 
 class PeriodTable:
-    """Partial aggregates per period and arrival batch in a Parquet directory.
-
-    Each micro-batch of a stream adds one set of partials under its own batch id, so that a
-    batch that runs again replaces its own partials and nothing else. Reading combines."""
-
-    SCHEMA = "period_start bigint, source_partition int, arrival_batch bigint, n bigint, amount_minor bigint, batch bigint"
-
-    def __init__(self, path: str):
-        self.path = path
-
-    def add(self, admitted: DataFrame, batch_id: int, period_ms: int = late_periods.PERIOD_MS) -> None:
-        late_periods.partial_aggregates(admitted, period_ms).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
-
-    def read(self, spark) -> DataFrame:
-        return late_periods.combine(spark.read.schema(self.SCHEMA).parquet(self.path))
+    """Partial aggregates per period and arrival batch in a directory, added to batch by batch.
+
+    Every batch writes, under its own id and replacing what it wrote before if it runs again:
+    partials, the identities it accepted, and the highest usable time per source partition.
+    Deliveries are held against the times that earlier batches reached, so that closed periods
+    refuse them, and against earlier identities, so that a payment delivered again counts once.
+    Only identities of open periods matter, as a later copy of an older payment is refused: the
+    filter on event_time keeps their files small to read. Batches come in the order of offsets."""
+
+    PARTIALS = "period_start bigint, source_partition int, arrival_batch bigint, n bigint, amount_minor bigint, batch bigint"
+    SEEN = "event_id string, event_time bigint, batch bigint"
+    REACHED = "source_partition int, top bigint, batch bigint"
+
+    def __init__(self, path: str, cutoff_ms: int = late_periods.CUTOFF_MS, period_ms: int = late_periods.PERIOD_MS):
+        self.path, self.cutoff_ms, self.period_ms = path, cutoff_ms, period_ms
+
+    def _earlier(self, spark: SparkSession, name: str, schema: str, batch_id: int) -> DataFrame:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(f"{self.path}/{name}").where(F.col("batch") < batch_id)
+
+    def add(self, deliveries: DataFrame, batch_id: int) -> None:
+        spark = deliveries.sparkSession
+        reached = self._earlier(spark, "reached", self.REACHED, batch_id).groupBy("source_partition").agg(F.max("top").alias("top"))
+        admitted = late_periods.admit(deliveries, *late_periods.FIELDS, cutoff_ms=self.cutoff_ms, reached=reached)
+        good = late_periods.accepted(admitted)
+        oldest = good.agg(F.min("event_time")).first()[0]
+        seen = self._earlier(spark, "seen", self.SEEN, batch_id).where(F.col("event_time") >= F.lit(oldest if oldest is not None else 0))
+        new = materialize(good.join(seen.select("event_id"), "event_id", "left_anti"), "accepted")
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch_id}")
+        put(late_periods.partial_aggregates(new, self.period_ms), "partials")
+        put(new.select("event_id", "event_time"), "seen")
+        put(admitted.where("usable").groupBy("source_partition").agg(F.max("event_time").alias("top")), "reached")
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return late_periods.combine(spark.read.schema(self.PARTIALS).parquet(f"{self.path}/partials"))
 
 
 def route(tagged: DataFrame, path: str, checkpoint: str, column: str = "kind"):

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import bitemporal, delivery, evaluations, late_periods, quantiles, sessions, trailing
+from ledgerlens.operators import bitemporal, delivery, evaluations, late_periods, sessions, trailing
 from ledgerlens.operators.bitemporal import FOREVER, Staircase
 from ledgerlens.operators.payments import counted_payments
 
@@ -85,7 +85,7 @@ def test_partials_of_batches_add_up(spark):
     rows = [pay(f"e{i}", "c", 10**9 + i * 60_000, i, a=i + 1) for i in range(300)]
     df = spark.createDataFrame(rows, PAYMENT)
     whole = late_periods.hourly(df)
-    parts = late_periods.partial_aggregates(late_periods.admit(df, "event_id", "customer_id", "amount_minor", batch_rows=50))
+    parts = late_periods.partial_aggregates(late_periods.accepted(late_periods.admit(df, *late_periods.FIELDS, batch_rows=50)))
     a, b = parts.where("arrival_batch < 3"), parts.where("arrival_batch >= 3")
     merged = late_periods.combine(late_periods.combine(a), b)
     assert {tuple(r) for r in merged.collect()} == {tuple(r) for r in whole.collect()} and parts.count() > whole.count()
@@ -107,31 +107,6 @@ def test_trailing_totals(spark):
     assert trailing.trailing_totals(df.limit(0), 120).count() == 0
 
 
-# --- 5 ---------------------------------------------------------------------------------
-def test_percentiles(spark):
-    rng = random.Random(6)
-    values = [(rng.choice(["a", "a", "a", "b"]), rng.choice([5, 5, rng.randint(-50, 10**6)]), 1) for _ in range(2000)] + [("one", 3, 1), (None, 3, 1), ("a", None, 1)]
-    df = spark.createDataFrame(values, "g string, v long, p int")
-    ps = [0.0, 0.01, 0.5, 0.999, 1.0]
-    counts = quantiles.value_counts(df, ["g"], "v", bits=None)
-    got = {(r.g, r.p): (r.value, r["count"]) for r in quantiles.percentiles(counts, ["g"], ps).collect()}
-    for g in ("a", "b", "one"):
-        xs = sorted(v for k, v, _ in values if k == g and v is not None)
-        for p in ps:
-            assert got[g, p] == (xs[max(1, int(np.ceil(p * len(xs)))) - 1], len(xs))
-    assert len(got) == 15
-    halves = quantiles.merge_counts(quantiles.value_counts(df.where("v < 1000"), ["g"], "v", None), quantiles.value_counts(df.where("v >= 1000"), ["g"], "v", None))
-    assert {(r.g, r.p): (r.value, r["count"]) for r in quantiles.percentiles(halves, ["g"], ps).collect()} == got
-    assert quantiles.percentiles(counts.limit(0), ["g"], ps).count() == 0
-
-
-def test_rounding_is_bounded(spark):
-    xs = [0, 1, -1, 65_535, 65_536, 65_537, 10**9, -(10**9), 10**18, -(10**18) - 7, (1 << 63) - 1]
-    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "v long").select(quantiles.rounded(F.col("v"), 16)).collect()]
-    for x, y in zip(xs, got):
-        assert abs(x - y) <= abs(x) * 2**-15 and (abs(x) >= 65_536 or x == y) and abs(y) <= abs(x)
-
-
 # --- 6 ---------------------------------------------------------------------------------
 @settings(deadline=None, max_examples=100)
 @given(st.integers(1, 4), st.integers(0, 2**32))
@@ -184,8 +159,6 @@ def test_kept_copies_and_latencies(spark):
     df = spark.createDataFrame(rows, "evaluation_id string, decision string, processed_at long, event_time long, ingested_at timestamp, source_partition int, source_offset long")
     got = {tuple(r) for r in evaluations.latencies(df).collect()}
     assert got == {("a", "Y", 94), ("d", "Y", 2_000), ("e", "Y", 100)}
-    assert [r[0] for r in evaluations.slow_evaluations(df).collect()] == ["d"]
-    assert evaluations.slow_evaluations(df.limit(0)).count() == 0
 
 
 # --- 7 ---------------------------------------------------------------------------------
@@ -243,9 +216,9 @@ def test_large_sides_are_joined_by_exchange(spark, monkeypatch):
     from ledgerlens.sources.tables import table
 
     e, r = (table(spark, "/root/testdata/sf0.001", n) for n in ("evaluations", "risk_rules"))
-    results = lambda: [sorted(map(tuple, df.collect())) for df in (bitemporal.other_version_than_implied(e, r), evaluations.slow_evaluations(e), nested.Flat(e).contributors())]
+    results = lambda: [sorted(map(tuple, df.collect())) for df in (bitemporal.other_version_than_implied(e, r), nested.Flat(e).contributors())]
     small = results()
-    for m in (bitemporal, evaluations, nested):
+    for m in (bitemporal, nested):
         monkeypatch.setattr(m, "BROADCAST_ROWS", 0)
     assert results() == small and all(small)
 
