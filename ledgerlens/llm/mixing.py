@@ -17,7 +17,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.packing import random_group
@@ -92,7 +92,8 @@ class Mixture:
         sized = materialize(sized, "sized")
         sums = sized.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum("tokens").alias("size"))
         plan = t.join(sums, "source", "left").na.fill(0, ["records", "size"])
-        plan = plan.crossJoin(F.broadcast(plan.agg(F.sum("size").alias("total"))))  # one row
+        # windows over all rows below run over tables of one row per source
+        plan = plan.withColumn("total", F.sum("size").over(Window.partitionBy(F.lit(0))))
         want = F.col("target_share") * F.col("total")
         plan = plan.withColumn("short", F.col("size") * F.col("max_repeats") < want)
         self.plan = materialize(plan.withColumn("rate", F.when(F.col("size") > 0, F.least(want / F.col("size"), F.col("max_repeats").cast("double"))).otherwise(F.lit(0.0))), "plan")
@@ -124,8 +125,7 @@ class Mixture:
         whether it is short: cannot reach its share within max_repeats."""
         used = self.records.groupBy("source").agg(F.count(F.lit(1)).alias("used"), F.sum("copies").alias("copies"), F.sum(F.col("tokens") * F.col("copies")).alias("mixed"), F.max("copies").alias("most"))
         r = self.plan.join(used, "source", "left").na.fill(0, ["used", "copies", "mixed", "most"])
-        whole = used.agg(F.coalesce(F.sum("mixed"), F.lit(0)).alias("whole"))
-        r = r.crossJoin(F.broadcast(whole))  # one row
+        r = r.withColumn("whole", F.sum("mixed").over(Window.partitionBy(F.lit(0))))
         # a short source has every copy it may have, and what is mixed falls below its target
         short = F.col("short") & (F.col("mixed") < F.col("target_share") * F.col("total"))
         return r.select("source", "target_share", "max_repeats", "records", "size", "used", "copies", "most", "mixed", F.try_divide(F.col("mixed"), F.col("whole")).alias("actual_share"), short.alias("short"))
