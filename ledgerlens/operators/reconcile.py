@@ -92,3 +92,25 @@ def position_digest(records: DataFrame, block: int = 65_536) -> DataFrame:
             F.sum("records").alias("records"), F.sum("repeated").alias("repeated"), F.min("first").alias("first"), F.max("last").alias("last"),
         ).withColumnRenamed("_up", "_b")
     return level.select(*keys, "records", "repeated", "first", "last", F.col("_h").alias("digest"))
+
+
+def leg_percentiles(payments: DataFrame, evaluations: DataFrame, p: float = 0.95, sketch: int = 1_000_000) -> DataFrame:
+    """(leg, value, count): the p-th percentile in ms of the ways from producer to result, from
+    result to storage and from producer to storage, over first deliveries of both sides."""
+    sent = payments.where(F.col("event_id").isNotNull()).groupBy("event_id").agg(F.min("producer_time").alias("sent"))
+    stored = F.unix_millis(F.col("ingested_at").cast("timestamp"))
+    done = evaluations.where(F.col("event_id").isNotNull()).groupBy("event_id").agg(F.min("processed_at").alias("done"), F.min(stored).alias("stored"))
+    j = sent.join(done, "event_id")
+    legs = {"producer_to_result": ("done", "sent"), "result_to_storage": ("stored", "done"), "producer_to_storage": ("stored", "sent")}
+    one = F.array(*[F.struct(F.lit(k).alias("leg"), F.try_subtract(b, a).alias("ms")) for k, (b, a) in legs.items()])
+    long = j.select(F.explode(one).alias("x")).select("x.leg", "x.ms").where(F.col("ms").isNotNull())
+    return long.groupBy("leg").agg(F.percentile_approx("ms", p, sketch).alias("value"), F.count(F.lit(1)).alias("count"))
+
+
+def whole_customers(customers: DataFrame, most: int = 1_000) -> DataFrame:
+    """(customer_id, payments): the first customers by id whose payments together are at most
+    `most`, none in part: the customers of a bounded export. A customer has a payment at least, so
+    that the running sum needs `most` rows only, which is the top of a sort."""
+    top = customers.where(F.col("payments") > 0).select("customer_id", "payments").orderBy("customer_id").limit(most)
+    running = F.sum("payments").over(Window.partitionBy(F.lit(0)).orderBy("customer_id").rowsBetween(Window.unboundedPreceding, 0))
+    return top.withColumn("_sum", running).where(F.col("_sum") <= most).drop("_sum")

@@ -468,3 +468,16 @@ def policy_asof_admission(spark, d):
     rects = bitemporal.version_rectangles(table(spark, d, "risk_rules"), ["policy_id", "rule_id"], "version", F.col("updated_at"), F.col("source_timestamp"))
     p = table(spark, d, "payments").where(F.col("event_id").isNotNull()).groupBy("event_id").agg(F.min("source_timestamp").alias("at")).withColumn("policy_id", F.lit("shop-eur-main"))
     return bitemporal.locate(p, rects, ["policy_id"], "at", "at").select("event_id", "rule_id", "version")
+
+
+# --- reports over both sides --------------------------------------------------------------------
+@query("""WITH s AS (SELECT event_id, min(producer_time) AS sent FROM payments WHERE event_id IS NOT NULL GROUP BY 1), d AS (SELECT event_id, min(processed_at) AS done, min(epoch_ms(ingested_at)) AS stored FROM evaluations WHERE event_id IS NOT NULL GROUP BY 1),
+l AS (SELECT unnest(['producer_to_result', 'result_to_storage', 'producer_to_storage']) AS leg, unnest([done - sent, stored - done, stored - sent]) AS ms FROM s JOIN d USING (event_id))
+SELECT leg, quantile_disc(ms, 0.95) AS value, count(*) AS count FROM l WHERE ms IS NOT NULL GROUP BY 1""")
+def latency_legs(spark, d):
+    return reconcile.leg_percentiles(table(spark, d, "payments"), _evals(spark, d))
+
+
+@query(f"WITH {_SUMMARY}, c AS (SELECT customer_id, count(*) AS payments FROM summary WHERE customer_id IS NOT NULL GROUP BY 1), r AS (SELECT *, sum(payments) OVER (ORDER BY customer_id) AS s FROM c) SELECT customer_id, payments FROM r WHERE s <= 1000")
+def export_customers(spark, d):
+    return reconcile.whole_customers(overview.customers(_summary(spark, d)).where(F.col("customer_id").isNotNull()))

@@ -91,3 +91,13 @@ def test_reconciliation(spark):
     assert sorted((r.after, r.before) for r in gaps.collect()) == [(1, 4), (4, 65_535), (65_536, 200_000)]
     empty = spark.createDataFrame([], "amount_minor long, decision string, processed_at long, event_time long")
     assert tuple(overview.totals(empty).first()) == (0, 0, 0, 0, 0, 0)
+
+
+def test_counters_and_alerts(spark):
+    from ledgerlens.operators import metrics
+
+    df = spark.createDataFrame([("DECISION", "APPROVE", 5), ("DECISION", "REJECT", 7), ("LATE", None, 9)], "kind string, decision string, amount_minor long")
+    seen, o = metrics.observed(df, "job")
+    assert seen.count() == 3
+    assert o.get == {"rows": 3, "late": 1, "approve": 1, "review": 0, "reject": 1, "amount_minor": 12}
+    assert metrics.alerts(o.get, {"late": 0, "rows": 3, "lag": 1}) == ["lag", "late"]
