@@ -24,9 +24,9 @@ def _by_decision() -> list[Column]:
 
 
 def totals(rows: DataFrame) -> DataFrame:
-    """One row, zeros if there is none. p95 of the time to a decision is that of a sketch whose rank
-    error is 1 / SKETCH of the rows at most: exact below that many rows, mergeable and of bounded
-    size beyond."""
+    """One row, zeros if there is none. p95 of the time to a decision is that of a mergeable sketch of
+    bounded size: an estimate on large inputs, with a rank error of about 1 / SKETCH of the rows.
+    Exact percentiles are those of ranks.nearest_ranks."""
     delay = F.greatest(F.lit(0), F.try_subtract("processed_at", "event_time"))
     p95 = F.coalesce(F.percentile_approx(delay, 0.95, SKETCH), F.lit(0)).alias("finalization_p95")
     return rows.agg(F.count(F.lit(1)).alias("transactions"), F.coalesce(F.sum("amount_minor"), F.lit(0)).alias("amount_minor"), *_by_decision(), p95)

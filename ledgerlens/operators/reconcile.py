@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ranks import nearest_ranks
+
 
 def outcomes(inputs: DataFrame, evaluated: DataFrame, invalid: DataFrame, late: DataFrame) -> DataFrame:
     """One row per distinct input event_id with evaluated, invalid, late (flags) and state:
@@ -38,13 +40,9 @@ def set_difference(expected: DataFrame, actual: DataFrame, key: str, value: str)
     return j.withColumn("difference", what).where(F.col("difference").isNotNull()).select(key, "difference")
 
 
-def nearest_rank(df: DataFrame, value: str, probabilities=(0.5, 0.95, 0.99, 1.0), sketch: int = 1_000_000) -> DataFrame:
-    """(p, value, count): the value of rank ceil(p * count), from a mergeable sketch whose rank error
-    is count / sketch at most, so exact below that many rows. Nulls are left out."""
-    ps = [float(p) for p in probabilities]
-    v = F.col(value).cast("bigint")
-    one = df.agg(F.percentile_approx(v, ps, sketch).alias("_v"), F.count(v).alias("count")).where(F.col("count") > 0)
-    return one.select("count", F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in ps]).alias("p"), F.col("_v").alias("value"))).alias("_z")).select("_z.p", "_z.value", "count")
+def nearest_rank(df: DataFrame, value: str, probabilities=(0.5, 0.95, 0.99, 1.0)) -> DataFrame:
+    """(p, value, count): the value of rank ceil(p * count), exact at any size. Nulls are left out."""
+    return nearest_ranks(df.select(F.lit("all").alias("_g"), F.col(value).alias("_v")), "_g", "_v", probabilities).drop("_g")
 
 
 def confusion(labelled: DataFrame, alert_score: int = 30) -> DataFrame:
@@ -94,8 +92,8 @@ def position_digest(records: DataFrame, block: int = 65_536) -> DataFrame:
     return level.select(*keys, "records", "repeated", "first", "last", F.col("_h").alias("digest"))
 
 
-def leg_percentiles(payments: DataFrame, evaluations: DataFrame, p: float = 0.95, sketch: int = 1_000_000) -> DataFrame:
-    """(leg, value, count): the p-th percentile in ms of the ways from producer to result, from
+def leg_percentiles(payments: DataFrame, evaluations: DataFrame, p: float = 0.95) -> DataFrame:
+    """(leg, value, count): the exact p-th percentile in ms of the ways from producer to result, from
     result to storage and from producer to storage, over first deliveries of both sides."""
     sent = payments.where(F.col("event_id").isNotNull()).groupBy("event_id").agg(F.min("producer_time").alias("sent"))
     stored = F.unix_millis(F.col("ingested_at").cast("timestamp"))
@@ -104,7 +102,7 @@ def leg_percentiles(payments: DataFrame, evaluations: DataFrame, p: float = 0.95
     legs = {"producer_to_result": ("done", "sent"), "result_to_storage": ("stored", "done"), "producer_to_storage": ("stored", "sent")}
     one = F.array(*[F.struct(F.lit(k).alias("leg"), F.try_subtract(b, a).alias("ms")) for k, (b, a) in legs.items()])
     long = j.select(F.explode(one).alias("x")).select("x.leg", "x.ms").where(F.col("ms").isNotNull())
-    return long.groupBy("leg").agg(F.percentile_approx("ms", p, sketch).alias("value"), F.count(F.lit(1)).alias("count"))
+    return nearest_ranks(long, "leg", "ms", [p]).drop("p")
 
 
 def whole_customers(customers: DataFrame, most: int = 1_000) -> DataFrame:
