@@ -17,12 +17,19 @@ are stored once. One pass writes a table of parts, partitioned by kind:
 
 The bridge kinds have one row per occurrence in a distinct parent; an object shared by many
 parents is stored once and met through its bridges. ordinal is the position among siblings.
+
+A contributor is an object with an event_id anywhere below a `contributors` field, or a string
+that is the field's value, an element of its list or of a list in it, or, if no object there has
+an event_id, a value of its mapping. No depth is too deep: a text past Python's usual recursion
+limit is read again under a higher one, by functions in Python, whose calls take no C stack.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import json.scanner
+import sys
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -31,7 +38,6 @@ from pyspark.sql import functions as F
 
 from ledgerlens.session import materialize, spread
 
-DEPTH = 200  # texts nested deeper are unreadable
 SEEN = 100_000  # identities a task remembers to write equal objects once; Flat drops what several tasks wrote
 BROADCAST_ROWS = 100_000
 _encode = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"), sort_keys=True).encode
@@ -49,16 +55,35 @@ KINDS = {
 }
 
 
+_deep = json.JSONDecoder()
+_deep.scan_once = json.scanner.py_make_scanner(_deep)  # type: ignore[attr-defined]
+
+
+def _unlimited(f: Callable, *args: object) -> object:
+    """f(*args), without a limit of recursion between functions in Python."""
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit((1 << 31) - 1)
+    try:
+        return f(*args)
+    finally:
+        sys.setrecursionlimit(limit)
+
+
+def _loads(text: str) -> object:
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _unlimited(_deep.decode, text)
+
+
 def parse(text: str | None) -> object | None:
     """The array or object of a JSON text, unwrapped from JSON strings; None if there is none."""
     try:
-        v = json.loads(text) if text else None
-        for _ in range(8):
-            if not isinstance(v, str):
-                break
-            v = json.loads(v)
+        v = _loads(text) if text else None
+        while isinstance(v, str):  # each text is shorter than the one around it
+            v = _loads(v)
         return v if isinstance(v, dict | list) else None
-    except (ValueError, RecursionError):
+    except ValueError:
         return None
 
 
@@ -72,18 +97,24 @@ def _version(v: object) -> int | None:
     return v if isinstance(v, int) and -(1 << 63) <= v < 1 << 63 else None
 
 
-def _event(v: object, depth: int = 0) -> str | None:
-    """The event a contributor names: a string, an object's event_id, or that of an object inside."""
-    if isinstance(v, str):
-        return v or None
-    if isinstance(v, dict) and depth < 8:
-        e = v.get("event_id")
-        if isinstance(e, str) and e:
-            return e
-        for x in v.values():
-            if isinstance(x, dict) and (e := _event(x, depth + 1)):
-                return e
-    return None
+def _events(v: object) -> list[str]:
+    """The events that an element below `contributors` names: a string, an object's event_id, or those
+    of the objects and lists inside. A `contributors` field inside is left to its own object."""
+    out, stack = [], [(v, True)]
+    while stack:
+        x, strings = stack.pop()
+        if type(x) is str:
+            if x and strings:
+                out.append(x)
+        elif type(x) is list:
+            stack += [(y, strings) for y in reversed(x)]
+        elif type(x) is dict:
+            e = x.get("event_id")
+            if type(e) is str and e:
+                out.append(e)
+            else:
+                stack += [(y, False) for k, y in reversed(x.items()) if k != "contributors" and (type(y) is dict or type(y) is list)]
+    return out
 
 
 class Tree:
@@ -103,17 +134,19 @@ class Tree:
         of a mapping in its place, is of that kind."""
         if len(self.seen) > SEEN:
             self.seen.clear()
-        ident, _, _, typed = self._object(value if isinstance(value, dict) else {"": value}, kind, "version" if kind == "rule" else "rule_version", False, 0)
+        root = (value if isinstance(value, dict) else {"": value}, kind, "version" if kind == "rule" else "rule_version", False, True)
+        try:
+            ident, _, _, typed = self._object(*root)
+        except RecursionError:  # what is stored so far are whole objects
+            ident, _, _, typed = _unlimited(self._object, *root)  # type: ignore[misc]
         if (kind, ident) not in self.seen:
             self.seen.add((kind, ident))  # type: ignore[arg-type]
             self.out[kind] += [(ident, *t) for t in typed]
         return ident
 
-    def _object(self, obj: dict, kind: str, field: str, inside: bool, depth: int) -> tuple[str, int, list, list]:
+    def _object(self, obj: dict, kind: str, field: str, inside: bool, top: bool) -> tuple[str, int, list, list]:
         """(identity, contributors below, those that an enclosing entry has to own, rules or
         entries found below). inside: below an entry."""
-        if depth > DEPTH:
-            raise RecursionError
         body, parts, up, typed, leads = obj, [], [], [], 0
         for key, value in obj.items():
             t = type(value)
@@ -124,7 +157,7 @@ class Tree:
             if body is obj:
                 body = dict(obj)
             lists = inside and key == "contributors"
-            named = t is dict and lists and _event(value) is None  # contributors keyed by something
+            named = t is dict and lists and not _events(value)  # contributors keyed by something
             ids = []
             for i, x in enumerate(value if t is list else value.values() if named else (value,)):
                 child = None
@@ -134,7 +167,7 @@ class Tree:
                     if rule is None and t is dict and not lists and "rules" not in o:
                         rule = key
                     is_typed = field in o and type(rule) is str
-                    child, n, above, below = self._object(o, kind, field, inside or is_typed, depth + 1)
+                    child, n, above, below = self._object(o, kind, field, inside or is_typed, False)
                     leads += n
                     typed += below
                     if is_typed:
@@ -144,13 +177,13 @@ class Tree:
                             self.out["contributor"] += [(child, c, e, j) for j, (e, c) in enumerate(above)]
                     else:
                         up += above
-                    if not (is_typed and depth == 0):  # a rule or entry right below the root has its bridge already
+                    if not (is_typed and top):  # a rule or entry right below the root has its bridge already
                         parts.append((child, key, i))
                     ids.append("#" + child)
                 else:
                     ids.append(x)
-                if lists and (e := _event(x)) is not None:
-                    up.append((e, child))
+                if lists:
+                    up += [(e, child) for e in _events(x)]
             body[key] = dict(zip(value, ids)) if named else ids if t is list else ids[0]
         text = _encode(body)
         ident = blake2b(text.encode(), digest_size=16).hexdigest()
@@ -172,8 +205,8 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if root is None and (value := parse(text)) is not None:
                 try:
                     root = tree.add(value, kind)
-                except (RecursionError, ValueError):
-                    root = None  # too deep, or characters that are no text: unreadable; parts stored so far are whole objects
+                except ValueError:
+                    root = None  # characters that are no text: unreadable; parts stored so far are whole objects
                 if len(roots) > 2000:
                     roots.clear()
                 roots[text] = root

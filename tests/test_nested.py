@@ -90,3 +90,26 @@ def test_equal_objects_have_one_identity_whatever_their_field_order():
     assert a == t.add(json.loads('{"a":1,"b":[{"y":null,"x":1}]}'), "entry")
     assert a != t.add({"b": [{"x": 1}], "a": 1}, "entry")
     assert len(t.out["object"]) == 4 and len([p for p in t.out["part"] if p[0] == a]) == 1
+
+
+def test_contributors_in_every_shape_and_at_any_depth(spark):
+    e = lambda *ids: [{"event_id": i} for i in ids]
+    far = {"event_id": "far"}
+    for _ in range(12):
+        far = {"in": far}
+    wrapped = json.dumps([{"rule_id": "R1", "rule_version": 2, "contributors": ["text"]}])
+    for _ in range(11):  # every further one doubles the escapes
+        wrapped = json.dumps(wrapped)
+    deep = lambda n: '{"a":[' * n + '{"rule_id":"R1","rule_version":2,"contributors":' + "[" * n + '"deep"' + "]" * n + "}" + "]}" * n
+    shapes = {
+        "object": {"items": e("a", "b"), "n": 3}, "lists": [e("a"), [["b"], e("c")], []], "keyed": {"x": {"event_id": "a"}, "y": {"event_id": "b"}, "z": "no"},
+        "strings": {"x": "a", "y": ["b", ["c"]]}, "inner": [{"payment": {"event_id": "a"}, "others": e("b"), "why": ["no"]}], "far": [far], "empty": [{}, [], None, ""],
+        "again": [{"event_id": "a", "contributors": [e("b")]}],
+    }
+    want = {"object": "ab", "lists": "abc", "keyed": "ab", "strings": "abc", "inner": "ab", "far": ["far"], "empty": "", "again": "ab", "wrapped": ["text"], "d300": ["deep"], "d30000": ["deep"]}
+    texts = {k: json.dumps([{"rule_id": "R1", "rule_version": 2, "contributors": c}]) for k, c in shapes.items()}
+    texts |= {"wrapped": wrapped, "d300": deep(300), "d30000": deep(30_000)}
+    snap = '{"rules":{"R1":{"version":2}}}'
+    rows = [(k, 0, i, snap, t, None) for i, (k, t) in enumerate(texts.items())]
+    got = [(r.evaluation_id, r.event_id) for r in Flat(spark.createDataFrame(rows, SCHEMA)).contributors().collect()]
+    assert sorted(got) == sorted((k, e) for k, es in want.items() for e in es)
