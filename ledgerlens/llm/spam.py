@@ -53,8 +53,9 @@ CODE = frozenset("sku ean upc asin isbn mpn".split())
 # word classes
 WORD, FN, KW, URL, MARK, HASH, NUM, ID, ODD, LAB, COD, LINE, SENT, DELIM, CRUMB, REST, MONEY = range(17)
 _SKIP = frozenset((LINE, SENT, DELIM, CRUMB, REST))
+# a Markdown link and a tag with attributes have any length; other text between < and > counts as a tag up to 600 characters
 _TOKEN = re.compile(
-    r"""<[^<>]{1,600}>|&[a-z]{2,8};|\[[^\[\]\n]{1,200}\]\([^()\s]{1,600}\)
+    r"""<[^<>]{1,600}>|<(?:[!?][A-Za-z-][^<>]*+|/?[A-Za-z][\w:-]*+(?:\s++[\w:@.-]++)*+\s*+(?:=[^<>]*+|/?))>|&[a-z]{2,8};|\[[^\[\]\n]++\]\([^()\s]++\)
     |(?:https?://|www\.)[^\s<>"')\]|]+|[^\W_][\w-]*(?:\.[\w-]+)*\.[a-z]{2,12}/[^\s<>"')\]|]*
     |\#[\w\u200b-\u200d][\w\u200b-\u200d-]*
     |[^\W_][\w@$'’\u200b-\u200d\u2060\ufeff\xad]*(?:[.\-:,/]?[\w@$\u200b-\u200d]+)*

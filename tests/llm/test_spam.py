@@ -1,4 +1,7 @@
-from ledgerlens.llm.spam import fit_chain, label_pages, spam_pages
+import random
+import time
+
+from ledgerlens.llm.spam import _TOKEN, fit_chain, label_pages, spam_pages
 
 SPAM = [
     "buy sun hat, cheap sun hat, sun hat best price, discount sun hat, wholesale sun hat, sun hat online",
@@ -55,3 +58,25 @@ def test_training_counts_all_pages_and_keeps_probabilities(spark):
     assert abs(sum(begin) - 1) < 1e-9 and all(abs(sum(row) - 1) < 1e-9 and row[i] > 0.5 for i, row in enumerate(move[:3]))
     assert {r.doc_id for r in spam_pages(docs, (begin, move)).collect()} == {r.doc_id for r in spam_pages(docs).collect()}
     assert fit_chain(docs.limit(0), 1)[0] == (0.2,) * 5
+
+
+def prose(n, rng):
+    """n honest sentences, of words that hardly repeat."""
+    noun = lambda: "".join(rng.choice(["ba", "ne", "lo", "mi", "ter", "san", "gol", "ru"]) for _ in range(3))
+    return " ".join(f"The {noun()} of the {noun()} was not what they had {noun()}, so we {noun()} it with a {noun()} before the {noun()} came." for _ in range(n))
+
+
+def test_markup_of_any_length(spark):
+    rng = random.Random(3)
+    spam = ["\n".join(f'<a href="https://a-b.test/x{i}" title="{prose(n, rng)}">Kaz</a>' for i in range(4)) for n in (1, 9, 300)]
+    spam += ["\n".join(f"[{prose(n, rng)}](https://a-b.test/{'x' * k}{i})" for i in range(4)) for n, k in ((1, 9), (9, 9), (300, 9), (9, 20_000))]
+    honest = [f"The fee is < 5 EUR. {prose(40, rng)} The total is > 9 EUR.", f"Here x <b and [c. {prose(40, rng)} Then c] and b> y."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(spam + honest)], "doc_id long, text string")
+    assert {r.doc_id for r in spam_pages(df).collect()} == set(range(len(spam)))
+
+
+def test_unclosed_markup_is_read_in_one_pass(spark):
+    texts = ["<" * 400_000, "[" * 400_000, "<a " * 200_000, "[x](y" * 100_000, "<a " + "b " * 400_000, "[" + "b " * 400_000]
+    start = time.monotonic()
+    assert all("".join(_TOKEN(t)) == t for t in texts)
+    assert time.monotonic() - start < 10
