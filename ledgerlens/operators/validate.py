@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import identity
+from ledgerlens.sources import schemas
+
 IDS = ("event_id", "transaction_id", "customer_id", "merchant_id", "device_id")
 MAX_PAYLOAD, CAPTURED = 1_048_576, 4_096
 # The codes a dead letter may carry
@@ -88,3 +91,44 @@ def archive_rows(records: DataFrame) -> DataFrame:
         F.sha2(F.coalesce(value, F.lit(b"")), 256).alias("payload_sha256"),
         F.to_json(F.transform("headers", lambda h: F.struct(h["key"].alias("key"), h["value"].isNull().alias("is_null"), F.coalesce(F.base64(h["value"]), F.lit("")).alias("value_base64")))).alias("headers_json"),
     )
+
+
+def late_outcomes(records: DataFrame) -> DataFrame:
+    """Outcome rows of late records (schemas.LATE_EVENT), each with row_error: the first check it
+    fails, null if it passes. The record must name the event and the customer of its transaction,
+    and its lateness must be what lies between event time and watermark."""
+    t, c = F.col("transaction"), F.col
+    event, customer = F.get_json_object(t, "$.event_id"), F.get_json_object(t, "$.customer_id")
+    at = F.coalesce(F.get_json_object(t, "$.event_time").try_cast("bigint"), F.lit(0))
+    watermark = F.coalesce(c("watermark"), F.lit(0))
+    error = (
+        F.when(~F.coalesce(c("observed_at") > 0, F.lit(False)), "OBSERVED_AT")
+        .when(F.coalesce(F.trim(event), F.lit("")) == "", "EVENT")
+        .when(~customer.eqNullSafe(c("customer_id")), "CUSTOMER")
+        .when(watermark < at, "WATERMARK")
+        .when(~F.coalesce(c("lateness_ms") == F.try_subtract(watermark, at), F.lit(False)), "LATENESS")
+    )
+    facts = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.TRANSACTION.fields if f.name in identity.FACTS)
+    read = records.select(event.alias("_event"), "watermark", "lateness_ms", "observed_at", F.coalesce("reason", F.lit("")).alias("reason"), error.alias("row_error"), F.from_json(t, facts).alias("_t"))
+    hashed = read.select("*", "_t.*").withColumn("input_sha256", identity.input_hash())
+    return hashed.select(
+        F.lit("LATE").alias("outcome"), "observed_at", F.lit("").alias("input_topic"), F.lit(-1).alias("input_partition"), F.lit(-1).cast("bigint").alias("input_offset"),
+        F.lit("").alias("payload_sha256"), F.col("_event").alias("event_id"), "input_sha256", "reason", "watermark", "lateness_ms", "row_error",
+    )
+
+
+def invalid_outcomes(letters: DataFrame) -> DataFrame:
+    """The same of dead letters (schemas.DEAD_LETTER), which name the place of an input, its hash and a code."""
+    c = F.col
+    fails = lambda ok: ~F.coalesce(ok, F.lit(False))
+    error = (
+        F.when(fails(c("observed_at") > 0), "OBSERVED_AT")
+        .when(fails((F.trim("source_topic") != "") & (c("source_partition") >= 0) & (c("source_offset") >= 0)), "COORDINATES")
+        .when(fails(c("payload_sha256").rlike(r"^[0-9a-f]{64}\z")), "HASH")
+        .when(fails(F.trim("error_code") != ""), "CODE")
+    )
+    zero = F.lit(0).cast("bigint")
+    return letters.select(
+        F.lit("INVALID").alias("outcome"), "observed_at", c("source_topic").alias("input_topic"), c("source_partition").alias("input_partition"), c("source_offset").alias("input_offset"),
+        "payload_sha256", F.lit("").alias("event_id"), F.lit("").alias("input_sha256"), c("error_code").alias("reason"), zero.alias("watermark"), zero.alias("lateness_ms"), error.alias("row_error"),
+    )

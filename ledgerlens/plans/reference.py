@@ -204,6 +204,22 @@ def union_dlq(spark, d):
     return both.groupBy("source", "error_code").agg(F.count(F.lit(1)).alias("n"))
 
 
+_HASHED = " || ',' || ".join(f"""'"{f}":' || coalesce(CAST(json_extract(transaction, '$.{f}') AS VARCHAR), 'null')""" for f in identity.FACTS)
+
+
+@query(f"""WITH t AS (
+  SELECT *, json_extract_string(transaction, '$.event_id') AS e, json_extract_string(transaction, '$.customer_id') AS c, coalesce(TRY_CAST(json_extract_string(transaction, '$.event_time') AS BIGINT), 0) AS happened, sha256('{{' || {_HASHED} || '}}') AS h FROM late_events)
+SELECT 'LATE' AS outcome, observed_at, '' AS input_topic, -1 AS input_partition, CAST(-1 AS BIGINT) AS input_offset, '' AS payload_sha256, e AS event_id, h AS input_sha256, coalesce(reason, '') AS reason, watermark, lateness_ms, CASE
+  WHEN NOT coalesce(observed_at > 0, false) THEN 'OBSERVED_AT' WHEN coalesce(trim(e), '') = '' THEN 'EVENT' WHEN c IS DISTINCT FROM customer_id THEN 'CUSTOMER' WHEN coalesce(watermark, 0) < happened THEN 'WATERMARK'
+  WHEN NOT coalesce(lateness_ms = coalesce(watermark, 0) - happened, false) THEN 'LATENESS' END AS row_error FROM t
+UNION ALL SELECT 'INVALID', {ANCHOR_MS}, source_topic, source_partition, source_offset, sha256(coalesce(event_id, '')), '', '', code, 0, 0, CASE
+  WHEN NOT coalesce(trim(source_topic) <> '' AND source_partition >= 0 AND source_offset >= 0, false) THEN 'COORDINATES' END FROM (SELECT *, {_CODE} AS code FROM payments) WHERE code IS NOT NULL""")
+def outcome_rows(spark, d):
+    bad = _tagged(spark, d).where(F.col("error_code").isNotNull()).withColumn("payload", F.encode("event_id", "utf-8"))
+    letters = validate.dead_letters(bad, observed_at=F.lit(ANCHOR_MS))
+    return validate.late_outcomes(table(spark, d, "late_events")).unionByName(validate.invalid_outcomes(letters))
+
+
 _FACTS = ("event_id", "transaction_id", "customer_id", "merchant_id", "amount_minor", "currency", "country", "device_id", "status", "event_time")
 _AT = ("source_timestamp", "source_partition", "source_offset")
 

@@ -123,6 +123,21 @@ def test_validation_order_and_dead_letters(spark):
     assert set(validate.dead_letters(wire).columns) == {f.name for f in schemas.DEAD_LETTER.fields}
 
 
+def test_outcome_rows(spark):
+    t = '{"event_id":"e","customer_id":"c","event_time":100,"amount_minor":5}'
+    rows = [(t, "c", 150, 50, 9, "R"), (t, "c", 150, 49, 9, "R"), (t, "c", 150, None, 9, "R"), (t, "c", 99, -1, 9, "R"), (t, None, 150, 50, 9, "R"), (t, "d", 150, 50, 9, None), (t, "c", 150, 50, 0, "R"), (t, "c", 150, 50, None, "R"), ("{", "c", 150, 50, 9, "R"), (None, None, 0, 0, 9, "R"), (t, "c", 100, 0, 9, "R")]
+    late = spark.createDataFrame([(*r,) for r in rows], schemas.LATE_EVENT)
+    got = validate.late_outcomes(late.coalesce(1)).collect()
+    assert [r.row_error for r in got] == [None, "LATENESS", "LATENESS", "WATERMARK", "CUSTOMER", "CUSTOMER", "OBSERVED_AT", "OBSERVED_AT", "EVENT", "EVENT", None]
+    assert (got[0].outcome, got[0].event_id, got[0].lateness_ms, got[0].reason, got[5].reason) == ("LATE", "e", 50, "R", "")
+    h = "a" * 64
+    letters = [("t", 0, 1, 9, h, "X"), (" ", 0, 1, 9, h, "X"), ("t", -1, 1, 9, h, "X"), ("t", 0, None, 9, h, "X"), ("t", 0, 1, 0, h, "X"), ("t", 0, 1, 9, h[1:], "X"), ("t", 0, 1, 9, h.upper(), "X"), ("t", 0, 1, 9, h, " "), ("t", 0, 1, 9, h, None)]
+    df = spark.createDataFrame(letters, "source_topic string, source_partition int, source_offset long, observed_at long, payload_sha256 string, error_code string")
+    bad = validate.invalid_outcomes(df.coalesce(1))
+    assert [r.row_error for r in bad.collect()] == [None, "COORDINATES", "COORDINATES", "COORDINATES", "OBSERVED_AT", "HASH", "HASH", "CODE", "CODE"]
+    assert bad.columns == validate.late_outcomes(late).columns
+
+
 def test_identity_conflicts(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 1, 4), ("b", 1, 1), ("b", 2, 2), (None, 1, 1)], "k string, v int, o int")
     firsts = identity_conflicts.first_of_each(df, "k", ["o"])
