@@ -8,14 +8,18 @@ operators give the same observations; tests hold them against each other.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator, Sequence
+from dataclasses import asdict
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ledgerlens.functions.policy import TYPES, Policy, Rule
+from ledgerlens.functions import identity
+from ledgerlens.functions.identity import canonical
+from ledgerlens.functions.policy import DEVICE_S, HISTORY_S, TYPES, Policy, Rule
 from ledgerlens.operators.identity_conflicts import IdentityConflict
 
 OUT_OF_ORDER_MS = 10_000
@@ -23,7 +27,9 @@ DEDUP_TTL_MS = 86_400_000
 MAX_PENDING, MAX_HISTORY, MAX_DEVICES = 100_000, 100_000, 10_000
 _PAYMENT = "event_id string, transaction_id string, customer_id string, merchant_id string, amount_minor bigint, currency string, country string, device_id string, status string, event_time bigint, producer_time bigint"
 _FIELDS = [f.split()[0] for f in _PAYMENT.split(", ")]
-SCORED = _PAYMENT + ", kind string, watermark bigint, lateness_ms bigint, risk_score int, decision string, matched_rules array<string>, observed array<bigint>"
+SCORED = _PAYMENT + ", kind string, watermark bigint, lateness_ms bigint, risk_score int, decision string, matched_rules array<string>, observed array<bigint>, reason_codes array<string>, rules_fingerprint string, processed_at bigint, policy_snapshot string, policy_id string, policy_version bigint"
+SCORED += ", rule_evidence array<struct<rule_id:string,rule_version:bigint,type:string,enabled:boolean,window_seconds:bigint,threshold:bigint,observed:bigint,eligible:boolean,matched:boolean,score_contribution:int>>"
+_SCORED = [f.split()[0] for f in SCORED.split(", ")]
 
 
 def observe(rule: Rule, tx: dict[str, Any], history: Sequence[dict[str, Any]], last_seen: int | None) -> tuple[int, bool]:
@@ -41,39 +47,53 @@ def observe(rule: Rule, tx: dict[str, Any], history: Sequence[dict[str, Any]], l
     return sum(h["status"] == "DECLINED" for h in near), tx["status"] == "APPROVED"
 
 
-def decide(policy: Policy, tx: dict[str, Any], history: Sequence[dict[str, Any]], last_seen: int | None) -> dict[str, Any]:
-    seen, hits, score = [], [], 0
+def evidence(policy: Policy, tx: dict[str, Any], history: Sequence[dict[str, Any]], last_seen: int | None) -> list[Row]:
+    """One entry per rule in the schema of schemas.EVIDENCE, as operators.score makes them."""
+    out = []
     for r in policy.rules:
         o, eligible = observe(r, tx, history, last_seen)
-        seen.append(o)
-        if r.enabled and eligible and (o > r.threshold if TYPES[r.type] == ">" else o >= r.threshold):
-            hits.append(r.rule_id)
-            score += r.score
-    score = min(100, score)
-    return {"risk_score": score, "decision": "REJECT" if score >= policy.reject else "REVIEW" if score >= policy.review else "APPROVE", "matched_rules": hits, "observed": seen}
+        matched = r.enabled and eligible and (o > r.threshold if TYPES[r.type] == ">" else o >= r.threshold)
+        out.append(Row(rule_id=r.rule_id, rule_version=r.version, type=r.type, enabled=r.enabled, window_seconds=r.window_seconds, threshold=r.threshold, observed=o, eligible=eligible, matched=matched, score_contribution=r.score if matched else 0))
+    return out
+
+
+def _decided(policy: Policy, entries: Sequence[Row]) -> dict[str, Any]:
+    score = min(100, sum(e.score_contribution for e in entries))
+    return {"risk_score": score, "decision": "REJECT" if score >= policy.reject else "REVIEW" if score >= policy.review else "APPROVE", "matched_rules": [e.rule_id for e in entries if e.matched], "observed": [e.observed for e in entries]}
+
+
+def decide(policy: Policy, tx: dict[str, Any], history: Sequence[dict[str, Any]], last_seen: int | None) -> dict[str, Any]:
+    return _decided(policy, evidence(policy, tx, history, last_seen))
 
 
 class Customer(StatefulProcessor):
     """State of a customer: payments waiting for the watermark by (time, place), earlier
     payments within the longest window, when each device was last seen, and the last time that
-    was finalised. A payment at or before the watermark or that time is LATE and changes nothing."""
+    was finalised. A payment at or before the watermark or that time is LATE and changes nothing. A payment waits with the policy in force when it was
+    admitted and is scored by it, though the query may have started again with another; so
+    history and devices are kept for the longest windows that any policy may have."""
 
     def __init__(self, policy: Policy):
-        self.policy = policy
-        windows = [r.window_seconds * 1000 for r in policy.rules if r.type != "NEW_DEVICE_HIGH_AMOUNT"]
-        self.reach = max(windows, default=0)
-        self.device_reach = max([r.window_seconds * 1000 for r in policy.rules if r.type == "NEW_DEVICE_HIGH_AMOUNT"], default=0)
+        self.text = canonical({"policy_id": policy.policy_id, "version": policy.version, "review_threshold": policy.review, "reject_threshold": policy.reject, "rules": [asdict(r) for r in policy.rules]})
+        self.policies: dict[str, tuple[Policy, dict[str, Any]]] = {}
+        self.reach, self.device_reach = HISTORY_S * 1000, DEVICE_S * 1000
+
+    def _policy(self, text: str) -> tuple[Policy, dict[str, Any]]:
+        if text not in self.policies:
+            p = Policy.read(text)
+            self.policies[text] = p, {"rules_fingerprint": p.fingerprint(), "policy_snapshot": p.snapshot(), "policy_id": p.policy_id, "policy_version": p.version}
+        return self.policies[text]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "t bigint, i int", _PAYMENT)
+        self.waiting = handle.getMapState("waiting", "t bigint, i int", _PAYMENT + ", policy string")
         self.counts = handle.getMapState("counts", "t bigint", "n int")
         self.history = handle.getMapState("history", "t bigint, id string", "amount_minor bigint, currency string, device_id string, status string")
         self.devices = handle.getMapState("devices", "device_id string", "t bigint")
         self.finalised = handle.getValueState("finalised", "t bigint")
 
     def _out(self, tx: dict[str, Any], **more: Any) -> Row:
-        return Row(**{**tx, "kind": None, "watermark": None, "lateness_ms": None, "risk_score": None, "decision": None, "matched_rules": None, "observed": None, **more})
+        return Row(**{**dict.fromkeys(_SCORED), **tx, **more})
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
@@ -90,7 +110,7 @@ class Customer(StatefulProcessor):
             if total > MAX_PENDING:
                 raise RuntimeError(f"more than {MAX_PENDING} payments of a customer wait")
             n = self.counts.getValue((t,))[0] if self.counts.containsKey((t,)) else 0
-            self.waiting.updateValue((t, n), tuple(tx[f] for f in _FIELDS))
+            self.waiting.updateValue((t, n), (*(tx[f] for f in _FIELDS), self.text))
             self.counts.updateValue((t,), (n + 1,))
             if not n:
                 self.handle.registerTimer(t)
@@ -107,15 +127,18 @@ class Customer(StatefulProcessor):
                 past.append({"event_time": k[0], "amount_minor": v[0], "currency": v[1], "device_id": v[2], "status": v[3]})
         items = []
         for i in range(self.counts.getValue((t,))[0]):
-            items.append(dict(zip(_FIELDS, self.waiting.getValue((t, i)))))
+            items.append(tuple(self.waiting.getValue((t, i))))
             self.waiting.removeKey((t, i))
         self.counts.removeKey((t,))
         if len(past) + len(items) > MAX_HISTORY:
             raise RuntimeError(f"more than {MAX_HISTORY} payments of a customer are in its windows")
-        for tx in sorted(items, key=lambda x: x["event_id"]):
+        for item in sorted(items, key=lambda x: x[0]):
+            tx, (policy, named) = dict(zip(_FIELDS, item)), self._policy(item[-1])
             d = tx["device_id"]
             seen = self.devices.getValue((d,))[0] if self.devices.containsKey((d,)) else None
-            yield self._out(tx, kind="DECISION", watermark=timerValues.getCurrentWatermarkInMs(), **decide(self.policy, tx, past, seen))
+            entries = evidence(policy, tx, past, seen)
+            codes = [e.type for e in entries if e.matched]
+            yield self._out(tx, kind="DECISION", watermark=timerValues.getCurrentWatermarkInMs(), **_decided(policy, entries), reason_codes=codes, processed_at=int(time.time() * 1000), rule_evidence=entries, **named)
             past.append(tx)
             self.history.updateValue((t, tx["event_id"]), (tx["amount_minor"], tx["currency"], d, tx["status"]))
             self.devices.updateValue((d,), (t,))
@@ -132,12 +155,18 @@ class Customer(StatefulProcessor):
 
 
 def score_stream(payments: DataFrame, policy: Policy, out_of_order_ms: int = OUT_OF_ORDER_MS) -> DataFrame:
-    """Tagged rows (kind DECISION or LATE) of a stream of valid payments. The delay is one
+    """Tagged rows (kind DECISION, with all fields of schemas.DECISION, or LATE) of a stream of valid payments. The delay is one
     millisecond more than the allowed disorder: a time is final once the highest time exceeds it
     by more than that. Payments behind the last watermark stay buffered; nothing is flushed."""
     timed = payments.select(*_FIELDS).withColumn("ts", F.timestamp_millis("event_time")).withWatermark("ts", f"{out_of_order_ms + 1} milliseconds")
     timed = timed.select(*_FIELDS)  # without the watermark's column, so that Spark hands late rows over instead of dropping them
-    return timed.groupBy("customer_id").transformWithState(statefulProcessor=Customer(policy), outputStructType=SCORED, outputMode="Append", timeMode="EventTime")
+    scored = timed.groupBy("customer_id").transformWithState(statefulProcessor=Customer(policy), outputStructType=SCORED, outputMode="Append", timeMode="EventTime")
+    engine = F.lit(identity.ENGINE)
+    named = {
+        "decision_id": identity.decision_id(F.col("transaction_id")), "engine_version": engine, "input_sha256": identity.input_hash(),
+        "evaluation_id": identity.evaluation_id(F.col("event_id"), engine, F.col("policy_id"), F.col("policy_version")),
+    }
+    return scored.select("*", *[F.when(F.col("kind") == "DECISION", v).alias(k) for k, v in named.items()])
 
 
 class Once(StatefulProcessor):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import late_periods, lookback, sessions
+from ledgerlens.operators.score import score
 from ledgerlens.plans.reference import POLICY
 from ledgerlens.sources import generator, schemas, streams
 from ledgerlens.streaming import periods, scoring
@@ -61,6 +62,25 @@ def test_scores_like_the_batch_and_routes_late(spark, tmp_path):
         assert list(got[r.event_id].observed) == [r[f"o_{x.rule_id}"] for x in POLICY.rules], r.event_id
 
 
+def test_stream_makes_whole_decisions_by_the_policy_at_admission(spark, tmp_path):
+    t0 = 1_700_000_000_000
+    first = [tx(i, t0 + i * 3_000, 70_000, f"d{i % 4}") for i in range(9)]
+    then = [tx("new", t0 + 100_000, 70_000)]
+    path, later = str(tmp_path / "in"), replace(POLICY, version=2, rules=(replace(POLICY.rules[0], threshold=0, version=2), *POLICY.rules[1:]))
+    for policy, rows in ((POLICY, first), (later, then), (later, [tx("end", t0 + 900_000)])):
+        feed(spark, path, rows)
+        out = scoring.score_stream(streams.file_stream(spark, path, schemas.TRANSACTION), policy)
+        periods.route(out, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(240)
+    got = {r.event_id: r for r in spark.read.parquet(str(tmp_path / "out")).where("kind = 'DECISION'").collect()}
+    batch = spark.createDataFrame(first + then, schemas.TRANSACTION)
+    names = [f.name for f in schemas.DECISION.fields if f.name != "processed_at"]
+    for policy, rows in ((POLICY, first), (later, then)):
+        want = {r.event_id: r for r in score(batch, policy, F.lit(0)).collect()}
+        for r in rows:
+            assert {n: got[r[0]][n] for n in names} == {n: want[r[0]][n] for n in names}
+    assert got["8"].policy_version == 1 and got["new"].policy_version == 2 and got["8"].processed_at > t0
+
+
 def test_once(spark, tmp_path):
     path = str(tmp_path / "in")
     other = list(tx("a", 1))
