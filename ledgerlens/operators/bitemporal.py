@@ -11,6 +11,7 @@ became known later cannot be met, as its rectangle starts after the event's poin
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
@@ -19,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.evaluations import kept_copies
+from ledgerlens.session import if_small, materialize
 
 FOREVER = (1 << 63) - 1
-CELLS = 32
-BROADCAST_ROWS = 100_000
+CELLS, MOST_CELLS = 32, 512
 
 
 class Staircase:
@@ -83,47 +84,52 @@ def version_rectangles(versions: DataFrame, keys: Sequence[str], version: str, v
     return cut.select(*[F.col(k).alias(n) for k, n in zip(ks, keys)], F.col("v").alias("version"), F.col("x0").alias("valid_from"), F.col("x1").alias("valid_to"), F.col("y0").alias("known_from"), F.col("y1").alias("known_to"))
 
 
-def _cell(x: Column, lo: Column, width: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(CELLS - 1), F.floor((x - lo) / width))).cast("int")
-
-
 class Grid:
-    """CELLS x CELLS cells over the span of the versions' times; the outer cells reach to infinity.
+    """side x side cells over the span of the versions' times; the outer cells reach to infinity.
+    The side follows the number of rectangles, so that a cell stays thin when an entity has
+    many versions.
+
+    The span and the number are one row, read once: the only thing an index sends to the driver."""
 
-    The span is one row, read once: the only thing an index sends to the driver."""
+    def __init__(self, rectangles: DataFrame, keys: Sequence[str]):
+        per = rectangles.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("valid_from", "known_from") for f in (F.min, F.max)])
+        low = per.agg(F.max("n"), F.min("min_valid_from"), F.max("max_valid_from"), F.min("min_known_from"), F.max("max_known_from")).first()
+        n, x0, x1, y0, y1 = (v or 0 for v in low)
+        self.side = min(max(CELLS, math.isqrt(n)), MOST_CELLS)
+        self.x0, self.xw, self.y0, self.yw = x0, max(1, (x1 - x0) // self.side + 1), y0, max(1, (y1 - y0) // self.side + 1)
 
-    def __init__(self, rectangles: DataFrame):
-        low = rectangles.agg(F.min("valid_from"), F.max("valid_from"), F.min("known_from"), F.max("known_from")).first()
-        x0, x1, y0, y1 = (v or 0 for v in low)
-        self.x0, self.xw, self.y0, self.yw = x0, max(1, (x1 - x0) // CELLS + 1), y0, max(1, (y1 - y0) // CELLS + 1)
+    def _cell(self, c: Column, lo: int, width: int) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit(self.side - 1), F.floor(F.try_subtract(c, F.lit(lo)) / F.lit(width)))).cast("int")
 
     def x(self, c: Column) -> Column:
-        return _cell(c, F.lit(self.x0), F.lit(self.xw))
+        return self._cell(c, self.x0, self.xw)
 
     def y(self, c: Column) -> Column:
-        return _cell(c, F.lit(self.y0), F.lit(self.yw))
+        return self._cell(c, self.y0, self.yw)
 
 
-def locate(events: DataFrame, rectangles: DataFrame, keys: Sequence[str], valid_at: str, known_at: str) -> DataFrame:
+def locate(events: DataFrame, rectangles: DataFrame, keys: Sequence[str], valid_at: str | Column, known_at: str | Column, how: str = "inner") -> DataFrame:
     """events with the columns of the rectangle that holds their point (valid_at, known_at): one
     row for each attribute key of the rectangles that the events lack. Events without a version
-    at their point, or with a null key or time, have no row.
+    at their point, or with a null key or time, have no row, or one without version if how is 'left'.
 
-    keys: the columns of the rectangles to be met by equal columns of the events. If a
-    rectangle's grid index is beyond BROADCAST_ROWS rows, it is not broadcast but joined by
-    exchange on (keys, cell), where a hot entity is split by its cells and by AQE."""
-    grid = Grid(rectangles)
+    keys: the columns of the rectangles to be met by equal columns of the events. A grid index
+    that is not small is not broadcast but joined by exchange on (keys, cell), where a hot
+    entity is split by its cells and by AQE. rectangles are read twice: they should be a table."""
     keys = list(keys)
-    cells = (
-        rectangles.withColumn("_cx", F.explode(F.sequence(grid.x(F.col("valid_from")), grid.x(F.col("valid_to") - 1))))
-        .withColumn("_cy", F.explode(F.sequence(grid.y(F.col("known_from")), grid.y(F.col("known_to") - 1))))
-    )
-    if cells.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        cells = F.broadcast(cells)
-    points = events.withColumns({"_cx": grid.x(F.col(valid_at)), "_cy": grid.y(F.col(known_at))})
-    on = [*keys, "_cx", "_cy"]
-    inside = (F.col(valid_at) >= F.col("valid_from")) & (F.col(valid_at) < F.col("valid_to")) & (F.col(known_at) >= F.col("known_from")) & (F.col(known_at) < F.col("known_to"))
-    return points.join(cells, on).where(inside).drop("_cx", "_cy")
+    grid = Grid(rectangles, keys)
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (valid_at, known_at))
+    cells = rectangles.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in rectangles.columns if c not in keys],
+        F.explode(F.sequence(grid.x(F.col("valid_from")), grid.x(F.col("valid_to") - 1))).alias("_cx"),
+    ).withColumn("_cy", F.explode(F.sequence(grid.y(F.col("known_from")), grid.y(F.col("known_to") - 1))))
+    points = events.withColumns({"_x": x, "_y": y, "_px": grid.x(x), "_py": grid.y(y)})
+    on = (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy"))
+    for i, k in enumerate(keys):
+        on = on & (F.col(k) == F.col(f"_k{i}"))
+    inside = (F.col("_x") >= F.col("valid_from")) & (F.col("_x") < F.col("valid_to")) & (F.col("_y") >= F.col("known_from")) & (F.col("_y") < F.col("known_to"))
+    found = points.join(if_small(cells), on & inside, how)
+    return found.drop("_x", "_y", "_px", "_py", "_cx", "_cy", *[f"_k{i}" for i in range(len(keys))])
 
 
 def rules_at_event_time(evaluations: DataFrame, rules: DataFrame) -> DataFrame:
@@ -131,16 +137,12 @@ def rules_at_event_time(evaluations: DataFrame, rules: DataFrame) -> DataFrame:
     policy, the version usable at its event time and the one its policy_version implies (null
     if it implies none)."""
     kept = kept_copies(evaluations, "policy_id", "policy_version", "event_time")
-    known = version_rectangles(rules, ["policy_id", "rule_id"], "version", F.col("updated_at"), F.col("source_timestamp"))
-    right = locate(kept, known, ["policy_id"], "event_time", "event_time")
-    right = right.select("evaluation_id", "policy_id", "policy_version", "rule_id", "version")
-    # the versions a policy version came with: the same rectangles with policy versions as valid time
-    came = version_rectangles(rules, ["policy_id", "rule_id"], "version", F.col("policy_version"), F.lit(0))
-    came = came.select("policy_id", "rule_id", F.col("version").alias("implied"), "valid_from", "valid_to")
-    few = came.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    r, c = right.alias("r"), (F.broadcast(came) if few else came).alias("c")
-    on = (F.col("r.policy_id") == F.col("c.policy_id")) & (F.col("r.rule_id") == F.col("c.rule_id")) & (F.col("r.policy_version") >= F.col("c.valid_from")) & (F.col("r.policy_version") < F.col("c.valid_to"))
-    return r.join(c, on, "left").select("r.evaluation_id", "r.rule_id", "r.version", "c.implied")
+    entity = ["policy_id", "rule_id"]
+    known = materialize(version_rectangles(rules, entity, "version", F.col("updated_at"), F.col("source_timestamp")), "rectangles")
+    right = locate(kept, known, ["policy_id"], "event_time", "event_time").select("evaluation_id", *entity, "policy_version", "version")
+    # the versions a policy version came with: rectangles with policy versions as valid time, all known at once
+    came = materialize(version_rectangles(rules, entity, "version", F.col("policy_version"), F.lit(0)), "implied").withColumnRenamed("version", "implied")
+    return locate(right, came, entity, "policy_version", F.lit(0), "left").select("evaluation_id", "rule_id", "version", "implied")
 
 
 def other_version_than_implied(evaluations: DataFrame, rules: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ are stored once. One pass writes a table of parts, partitioned by kind:
 
   object       id, body, leads: a distinct object, its scalars in canonical JSON
   part         id, child, name, ordinal: an object inside an object, unless it is a rule or entry
-               right below the root, which its own kind of bridge says
-  rule         id, child, rule_id, rule_version, ordinal: a rule of the snapshot with root id
+               right below the root, whose own bridge says the same
+  rule         id, child, name, position, rule_id, rule_version, ordinal: a rule of the snapshot with
+               root id. name is the field of its parent that it stands under and position its
+               place among its siblings there, ordinal its place among all rules of the snapshot
   entry        the same for an evidence entry of the evidence text with root id; leads is the
                number of contributors below it
   contributor  id, child, event_id, ordinal: an earlier payment listed under entry id, at any depth
@@ -36,19 +38,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.session import materialize, spread
+from ledgerlens.session import if_small, materialize, spread
 
 SEEN = 100_000  # identities a task remembers to write equal objects once; Flat drops what several tasks wrote
-BROADCAST_ROWS = 100_000
 _encode = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"), sort_keys=True).encode
-SCHEMA = "id string, child string, name string, ordinal int, rule_id string, rule_version bigint, event_id string, leads int, body string, evaluation_id string, source_partition int, source_offset bigint, text_id string, kind string"
+SCHEMA = "id string, child string, name string, position int, ordinal int, rule_id string, rule_version bigint, event_id string, leads int, body string, evaluation_id string, source_partition int, source_offset bigint, text_id string, kind string"
 _TYPES = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
 _FIELDS = {n: _TYPES[t] for n, t in (f.split() for f in SCHEMA.split(", "))}
 KINDS = {
     "object": ("id", "body", "leads"),
     "part": ("id", "child", "name", "ordinal"),
-    "rule": ("id", "child", "rule_id", "rule_version", "ordinal", "leads"),
-    "entry": ("id", "child", "rule_id", "rule_version", "ordinal", "leads"),
+    "rule": ("id", "child", "name", "position", "rule_id", "rule_version", "leads", "ordinal"),
+    "entry": ("id", "child", "name", "position", "rule_id", "rule_version", "leads", "ordinal"),
     "contributor": ("id", "child", "event_id", "ordinal"),
     "record": ("evaluation_id", "source_partition", "source_offset", "text_id", "id"),
     "text": ("text_id", "id"),
@@ -141,7 +142,7 @@ class Tree:
             ident, _, _, typed = _unlimited(self._object, *root)  # type: ignore[misc]
         if (kind, ident) not in self.seen:
             self.seen.add((kind, ident))  # type: ignore[arg-type]
-            self.out[kind] += [(ident, *t) for t in typed]
+            self.out[kind] += [(ident, *t, j) for j, t in enumerate(typed)]
         return ident
 
     def _object(self, obj: dict, kind: str, field: str, inside: bool, top: bool) -> tuple[str, int, list, list]:
@@ -171,7 +172,7 @@ class Tree:
                     leads += n
                     typed += below
                     if is_typed:
-                        typed.append((child, rule, _version(o[field]), len(typed), n))
+                        typed.append((child, key, i, rule, _version(o[field]), n))
                         if above and (child, 0) not in self.seen:
                             self.seen.add((child, 0))  # type: ignore[arg-type]
                             self.out["contributor"] += [(child, c, e, j) for j, (e, c) in enumerate(above)]
@@ -245,15 +246,20 @@ class Flat:
     def records(self) -> DataFrame:
         """(evaluation_id, source_partition, source_offset, snapshot, evidence): the root identities of each delivery."""
         texts = self.of("text").withColumnRenamed("id", "snapshot")
-        few = texts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        return self.of("record").withColumnRenamed("id", "evidence").join(F.broadcast(texts) if few else texts, "text_id", "left").drop("text_id")
+        return self.of("record").withColumnRenamed("id", "evidence").join(if_small(texts), "text_id", "left").drop("text_id")
+
+    def typed(self, kind: str) -> DataFrame:
+        """(evaluation_id, source_partition, source_offset, name, position, rule_id, rule_version): the
+        rules ('rule') of each delivery's snapshot or the entries ('entry') of its evidence."""
+        root = "snapshot" if kind == "rule" else "evidence"
+        bridge = self.of(kind).withColumnRenamed("id", root).select(root, "name", "position", "rule_id", "rule_version", "ordinal")
+        at = self.records().where(F.col(root).isNotNull()).select("evaluation_id", "source_partition", "source_offset", root)
+        return at.join(if_small(bridge), root).select("evaluation_id", "source_partition", "source_offset", "name", "position", "rule_id", "rule_version")
 
     def contributors(self) -> DataFrame:
         """(evaluation_id, rule_id, rule_version, event_id): the distinct contributors of evidence
         entries whose rule and version are in the snapshot of the same delivery."""
-        rules = self.of("rule", "id", "rule_id", "rule_version").withColumnsRenamed({"id": "snapshot"})
-        few = rules.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        rules = F.broadcast(rules) if few else rules
+        rules = if_small(self.of("rule", "id", "rule_id", "rule_version").withColumnsRenamed({"id": "snapshot"}))
         entries = self.parts.where("kind = 'entry' AND leads > 0").select(F.col("id").alias("evidence"), F.col("child").alias("entry"), "rule_id", "rule_version").distinct()
         listed = self.of("contributor", "id", "event_id").withColumnRenamed("id", "entry")
         real = self.records().where((F.col("evaluation_id") != "") & F.col("evidence").isNotNull() & F.col("snapshot").isNotNull())

@@ -33,6 +33,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.Flat(table(spark, d, "evaluations")).contributors()
 
 
+def p3_entries(spark: SparkSession, d: str) -> DataFrame:
+    return nested.Flat(table(spark, d, "evaluations")).typed("entry")
+
+
+def p3_rules(spark: SparkSession, d: str) -> DataFrame:
+    return nested.Flat(table(spark, d, "evaluations")).typed("rule")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return trailing.concentrated_idle_days(table(spark, d, "payments"), LAST_DAY)
 
@@ -93,6 +101,11 @@ members AS (
   UNION ALL SELECT rid, rule_id, rule_version, c FROM listed WHERE json_type(c) = 'OBJECT'),
 named AS (
   SELECT rid, rule_id, rule_version, CASE json_type(c) WHEN 'VARCHAR' THEN c ->> '$' WHEN 'OBJECT' THEN coalesce(c ->> '$.event_id', c ->> '$.payment.event_id') END AS event_id FROM members)"""
+_BRIDGED = f"""WITH docs AS (
+  SELECT evaluation_id, source_partition, source_offset, {_json('policy_snapshot')} AS s, {_json('rule_evidence')} AS e FROM evaluations),
+rules AS (SELECT *, coalesce(s -> '$.rules', s -> '$.policy.rules') AS r FROM docs WHERE s IS NOT NULL),
+entries AS (SELECT *, coalesce(e -> '$.evidence', e) AS r, (e -> '$.evidence') IS NOT NULL AS named FROM docs WHERE e IS NOT NULL)"""
+_AT = "evaluation_id, source_partition, source_offset"
 _USABLE = "(event_time > 0 AND event_time <= producer_time + 300000)"
 _ADMIT = f"""admitted AS (
   SELECT *, coalesce({_USABLE}, false) AS usable,
@@ -134,6 +147,14 @@ SQL: dict[str, str] = {
   FROM admitted WHERE usable AND NOT coalesce(event_time <= frontier - 7200000, false) AND trim(customer_id) <> '' GROUP BY event_id)
 SELECT event_time - event_time % 3600000 AS period_start, count(*) AS n, CAST(coalesce(sum(amount), 0) AS BIGINT) AS amount_minor FROM firsts GROUP BY 1""",
     "p3_found": f"{_NESTED} SELECT DISTINCT evaluation_id, rule_id, rule_version, event_id FROM named JOIN docs USING (rid) JOIN rules r USING (rid, rule_id) WHERE r.version = rule_version AND event_id <> ''",
+    "p3_entries": f"""{_BRIDGED}
+SELECT {_AT}, CASE WHEN named THEN 'evidence' ELSE '' END AS name, CAST(i - 1 AS INTEGER) AS position, json_extract_string(x, '$.rule_id') AS rule_id, CAST(json_extract_string(x, '$.rule_version') AS BIGINT) AS rule_version
+FROM (SELECT *, unnest(json_extract(r, '$[*]')) AS x, generate_subscripts(json_extract(r, '$[*]'), 1) AS i FROM entries WHERE json_type(r) = 'ARRAY')
+UNION ALL SELECT {_AT}, k, 0, k, CAST(json_extract_string(r, '$.' || k || '.rule_version') AS BIGINT) FROM (SELECT *, unnest(json_keys(r)) AS k FROM entries WHERE json_type(r) = 'OBJECT')""",
+    "p3_rules": f"""{_BRIDGED}
+SELECT {_AT}, 'rules' AS name, CAST(i - 1 AS INTEGER) AS position, json_extract_string(x, '$.rule_id') AS rule_id, CAST(json_extract_string(x, '$.version') AS BIGINT) AS rule_version
+FROM (SELECT *, unnest(json_extract(r, '$[*]')) AS x, generate_subscripts(json_extract(r, '$[*]'), 1) AS i FROM rules WHERE json_type(r) = 'ARRAY')
+UNION ALL SELECT {_AT}, k, 0, k, CAST(json_extract_string(r, '$.' || k || '.version') AS BIGINT) FROM (SELECT *, unnest(json_keys(r)) AS k FROM rules WHERE json_type(r) = 'OBJECT')""",
     "p4_found": f"{_TRAILING} SELECT customer_id, strftime(DATE '1970-01-01' + CAST(day AS INTEGER), '%Y-%m-%d') AS day FROM windowed WHERE NOT active AND day >= first_day + 29 AND total_30 > 0 AND total_7 * 30 >= 21 * total_30",
     "p4_trailing": f"{_TRAILING} SELECT customer_id, CAST(day AS INTEGER) AS day, total_7, n_7, total_30, n_30, round(total_7 / 7, 4) AS avg_7, round(total_30 / 30, 4) AS avg_30 FROM windowed",
     "p6_found": f"WITH {_KEPT} SELECT evaluation_id, source_partition, source_offset FROM kept WHERE copies > 1",

@@ -9,7 +9,9 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -65,20 +67,44 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def spread(scan: DataFrame) -> DataFrame:
     """A scan over at least as many tasks as there are cores, for work in Python: a table of one
     row group would keep one core busy. A scan that has enough partitions is left alone, so that
-    large tables are never exchanged for this."""
+    large tables are never exchanged for this. Rows and results are the same either way."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
-_written: list[tuple[SparkSession, str]] = []
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """df as a broadcast side if it has at most BROADCAST_ROWS rows and about BROADCAST_BYTES bytes,
+    both counted first; else df, to be joined by exchange."""
+    rows, most = BROADCAST_ROWS, BROADCAST_BYTES
+    width: Column = F.lit(0)
+    for f in df.schema.fields:
+        text = F.col(f"`{f.name}`").cast("string") if not isinstance(f.dataType, T.AtomicType) else F.col(f"`{f.name}`")
+        wide = not isinstance(f.dataType, T.NumericType | T.BooleanType | T.DatetimeType)
+        width = width + (F.coalesce(F.octet_length(text), F.lit(0)) + 16 if wide else F.lit(16))
+    n, size = df.limit(rows + 1).select(width.alias("w")).agg(F.count(F.lit(1)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= most else df
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+_written: dict[str, SparkSession] = {}
 
 
 def _forget() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete(spark, path)
         except Exception:  # the session may be gone already
             pass
 
@@ -91,7 +117,17 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), co
     ends there, several consumers read it, and it outlives lost executors."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/ledgerlens/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[path] = spark
     w = df.write.option("compression", compression)
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._ledgerlens_path = path  # type: ignore[attr-defined]
+    return table
+
+
+def release(table: DataFrame | None) -> None:
+    """Deletes a table of `materialize` whose consumers have ended; those of no use to a long job
+    need not stay until its end."""
+    path = getattr(table, "_ledgerlens_path", None)
+    if path and _written.pop(path, None):
+        delete(table.sparkSession, path)  # type: ignore[union-attr]

@@ -189,9 +189,21 @@ def test_late_batches_merge_into_stored_sessions(spark):
     rows = [("a", t) for t in (0, 90, 300, 380, 1000)]
     df = spark.createDataFrame(rows, "k string, t long")
     late = spark.createDataFrame([("a", 195), ("a", 700)], "k string, t long")
-    one = sessions.sessions(df.unionByName(late), ["k"], "t", 110, 400).drop("duration_ms")
-    two = sessions.merge_intervals(sessions.sessions(df, ["k"], "t", 110, 400).unionByName(sessions.sessions(late, ["k"], "t", 110, 400)).drop("duration_ms"), ["k"], 110)
-    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    i = sessions.Intervals(["k"], 110, 400)
+    state = i.merged(i.opened(df, "t"))
+    two = i.read(i.merged(state, i.merged(i.opened(late, "t"))), watermark=600)
+    one = sessions.sessions(df.unionByName(late), ["k"], "t", 110, 400)
+    assert sorted(map(tuple, one.collect())) == sorted(tuple(r)[:-1] for r in two.collect()) == [("a", 0, 380, 380, 5), ("a", 700, 700, 0, 1), ("a", 1000, 1000, 0, 1)]
+    assert [r.final for r in two.orderBy("started_at").collect()] == [True, False, False]
+
+
+def test_device_sessions_take_late_payments_in(spark):
+    hour = 3_600_000
+    rows = [pay("a", "c", 10 * hour, 1), pay("b", "c", 10 * hour + 2_000_000, 2), pay("d", "c", 20 * hour, 3), pay("late", "c", 10 * hour + 1_000_000, 4), pay("late", "c", 10 * hour + 1_000_000, 5)]
+    df = spark.createDataFrame(rows, PAYMENT)
+    assert late_periods.refused_deliveries(df).count() == 2
+    got = sorted((r.started_at, r.ended_at, r.n) for r in sessions.device_sessions(df).collect())
+    assert got == [(10 * hour, 10 * hour + 2_000_000, 3), (20 * hour, 20 * hour, 1)]
 
 
 def test_counted_payments(spark):
@@ -212,14 +224,14 @@ def test_extreme_times_and_amounts_do_not_overflow(spark):
 
 # --- beyond the size that is broadcast -------------------------------------------------------
 def test_large_sides_are_joined_by_exchange(spark, monkeypatch):
+    from ledgerlens import session
     from ledgerlens.operators import nested
     from ledgerlens.sources.tables import table
 
-    e, r = (table(spark, "/root/testdata/sf0.001", n) for n in ("evaluations", "risk_rules"))
-    results = lambda: [sorted(map(tuple, df.collect())) for df in (bitemporal.other_version_than_implied(e, r), nested.Flat(e).contributors())]
+    e, r, p = (table(spark, "/root/testdata/sf0.001", n) for n in ("evaluations", "risk_rules", "payments"))
+    results = lambda: [sorted(map(tuple, df.collect())) for df in (bitemporal.other_version_than_implied(e, r), nested.Flat(e).contributors(), late_periods.refused_deliveries(p))]
     small = results()
-    for m in (bitemporal, nested):
-        monkeypatch.setattr(m, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
     assert results() == small and all(small)
 
 

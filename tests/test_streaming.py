@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import late_periods, lookback, sessions
+from ledgerlens.operators.payments import counted_payments
 from ledgerlens.operators.score import score
 from ledgerlens.plans.reference import POLICY
 from ledgerlens.sources import generator, schemas, streams
@@ -110,6 +111,23 @@ def test_period_table_adds_up_batch_by_batch(spark, tmp_path):
             t.add(p.where(f"source_offset >= {lo} AND source_offset < {hi}"), i)
     want = {tuple(r) for r in late_periods.hourly(p).collect()}
     assert {tuple(r) for r in t.read(spark).collect()} == want and len(want) > 100
+    # the planted late deliveries are refused batch by batch as over the whole
+    refused = {tuple(r) for r in late_periods.refused_deliveries(p).collect()}
+    assert {tuple(r) for r in t.refused(spark).collect()} == refused and len(refused) > 20
+
+
+def test_session_table_takes_late_rows_batch_by_batch(spark, tmp_path):
+    p = spark.read.parquet("/root/testdata/sf0.001/payments.parquet")
+    paid = counted_payments(p, "customer_id", "device_id", "event_time").where("device_id IS NOT NULL")
+    first = p.groupBy("event_id").agg(F.min("source_offset").alias("o"))
+    arrived = paid.join(first, "event_id")
+    t = periods.SessionTable(str(tmp_path / "s"), ["customer_id", "device_id"])
+    cuts = [0, 150, 151, 280, 10**9]
+    for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        for _ in range(1 + (i == 2)):
+            t.add(arrived.where(f"o >= {lo} AND o < {hi}"), i)
+    want = sorted(tuple(r) for r in sessions.device_sessions(p).collect())
+    assert sorted(tuple(r)[:-1] for r in t.read(spark).collect()) == want and len(want) > 300
 
 
 def test_generator(spark):
