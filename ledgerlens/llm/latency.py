@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import quantiles
 from ledgerlens.operators.evaluations import latencies
-from ledgerlens.session import materialize
+from ledgerlens.session import if_small, materialize
 
-BROADCAST_ROWS = 100_000
 
-
-def latency_percentiles(deliveries: DataFrame, probabilities=(0.5, 0.9, 0.95, 0.99), bits: int | None = quantiles.BITS) -> DataFrame:
+def latency_percentiles(deliveries: DataFrame, probabilities=(0.5, 0.9, 0.95, 0.99), bits: int | None = None) -> DataFrame:
     """(decision, p, value, count) over kept copies with decision and processing time."""
     return quantiles.percentiles(quantiles.value_counts(latencies(deliveries), ["decision"], "latency", bits), ["decision"], probabilities)
 
@@ -23,6 +21,5 @@ def slow_evaluations(deliveries: DataFrame, times: int = 10) -> DataFrame:
     every = materialize(latencies(deliveries), "latencies")
     medians = quantiles.percentiles(quantiles.value_counts(every, ["decision"], "latency"), ["decision"], [0.5])
     m = medians.select(F.col("decision").alias("_d"), F.col("value").alias("_median"))
-    few = m.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hit = every.join(F.broadcast(m) if few else m, F.col("decision") == F.col("_d"))
+    hit = every.join(if_small(m), F.col("decision") == F.col("_d"))
     return hit.where(F.col("latency") > F.col("_median") * times).select("evaluation_id")

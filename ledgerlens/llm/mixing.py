@@ -20,12 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.packing import random_group
+from ledgerlens.llm.packing import placed, random_group
 from ledgerlens.llm.tokens import VOCABULARY, token_count
-from ledgerlens.session import materialize, spread
+from ledgerlens.session import if_small, materialize
 
 GROUP_ROWS = 8192
-SOURCES = 100_000  # targets beyond this are joined by exchange, not broadcast
 SEED = 20_250_302
 _EPS = 1e-9
 
@@ -84,10 +83,7 @@ class Mixture:
 
     def __init__(self, documents: DataFrame, targets: DataFrame, group_rows: int = GROUP_ROWS, vocabulary: str = VOCABULARY, seed: int = SEED):
         t = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("target_share"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))).alias("max_repeats"))
-        few = t.limit(SOURCES + 1).count() <= SOURCES
-        small = lambda df: F.broadcast(df) if few else df
-        placed = spread(documents.where(F.col("source").isNotNull()).select("source", "doc_id", "text", F.monotonically_increasing_id().alias("row")))
-        mine = placed.join(small(t.select("source")), "source", "left_semi")
+        mine = placed(documents.where(F.col("source").isNotNull()), "source", "doc_id", "text").join(if_small(t.select("source")), "source", "left_semi")
         sized = mine.select("source", "doc_id", token_count(F.col("text"), vocabulary).alias("tokens"), "row")
         sized = materialize(sized, "sized")
         sums = sized.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum("tokens").alias("size"))
@@ -98,7 +94,7 @@ class Mixture:
         plan = plan.withColumn("short", F.col("size") * F.col("max_repeats") < want)
         self.plan = materialize(plan.withColumn("rate", F.when(F.col("size") > 0, F.least(want / F.col("size"), F.col("max_repeats").cast("double"))).otherwise(F.lit(0.0))), "plan")
         # each source has as many groups as its records need; levels until one group per source is left
-        rated = sized.join(small(self.plan.select("source", "rate", F.greatest(F.lit(1), F.ceil(F.col("records") / group_rows)).cast("int").alias("groups"))), "source")
+        rated = sized.join(if_small(self.plan.select("source", "rate", F.greatest(F.lit(1), F.ceil(F.col("records") / group_rows)).cast("int").alias("groups"))), "source")
         units = rated.select("source", "doc_id", "tokens", "row", random_group(F.col("groups"), seed, "source", "doc_id", "row").alias("grp"), "groups", F.floor("rate").cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("pi"))
         schema = units.schema
         most = max(1, -(-(self.plan.agg(F.max("records")).first()[0] or 0) // group_rows))
@@ -129,3 +125,12 @@ class Mixture:
         # a short source has every copy it may have, and what is mixed falls below its target
         short = F.col("short") & (F.col("mixed") < F.col("target_share") * F.col("total"))
         return r.select("source", "target_share", "max_repeats", "records", "size", "used", "copies", "most", "mixed", F.try_divide(F.col("mixed"), F.col("whole")).alias("actual_share"), short.alias("short"))
+
+    def invariants(self) -> DataFrame:
+        """Per listed source: records, most (whether a record is used more than max_repeats times), short,
+        and off: whether the tokens mixed differ from share * T, or, of a source that is short, from all it may
+        give, by more than two of its longest records."""
+        r = self.report().join(self.records.groupBy("source").agg(F.max("tokens").alias("longest")), "source", "left")
+        want = F.when(F.col("short"), F.col("size") * F.col("max_repeats")).otherwise(F.col("target_share") * F.sum("size").over(Window.partitionBy(F.lit(0))))
+        off = F.abs(F.col("mixed") - want) > 2 * F.coalesce(F.col("longest"), F.lit(0))
+        return r.select("source", "target_share", "records", (F.col("most") > F.col("max_repeats")).alias("over"), off.alias("off"), "short")

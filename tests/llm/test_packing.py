@@ -53,3 +53,12 @@ def test_nulls_empty_long_and_repeated(spark):
         by.setdefault(r.doc_id, []).append(r["size"])
     assert by[1] == [0] and by[2] == [0] and by[3] == [CAPACITY] and sorted(by[4]) == [1, CAPACITY] and by[5] == [CAPACITY] * 3 and by[6] == [1, 1] and by[None] == [1]
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_packing_does_not_depend_on_files(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    a = {tuple(r) for r in pack(docs, group_rows=20).collect()}
+    b = {tuple(r) for r in pack(docs.repartition(5), group_rows=20).collect()}
+    assert a == b and len(a) >= 100
+    twice = pack(docs.unionByName(docs.limit(3)), group_rows=20)
+    assert twice.count() == len(a) + 3
