@@ -1,12 +1,23 @@
 """Pages of strung-together keywords, links or product tags, by a hidden Markov model.
 
-A page is cut into lines (at line ends and after sentences). A line's words, links, tags and
-numbers are counted, the counts give log-likelihoods of five hidden labels, and the most
-likely path of labels is found per page (Viterbi): prose, link list, tag list (keywords, hash
-tags, labelled tags), menu (bread crumbs, product titles) and records (orders, logs, rosters,
-pasted data), which are honest. Short or ambiguous lines get the label of their surroundings
-by the transition weights. A page is spam if links, tags and menus have more than half of its
-characters.
+A page is cut into lines (at line ends, after sentences, and within long ones after every PIECE words). The most likely path of labels is
+found per page (Viterbi): prose, link list, tag list (keywords, hash tags, labelled tags), menu
+(bread crumbs) and records (orders, logs, rosters, pasted data), which are honest. A page is spam
+if links, tags and menus have more than half of its characters.
+
+Nothing in it is set by hand for a language or a trade. What a line says for a label is estimated
+(`fit`) from a bounded sample of pages that are marked as spam or not:
+
+* each word, by hash bucket, has a log ratio of its share under a label to its share in all, once
+  for its first occurrence in a line and once for its repetitions, shrunk towards 0 for words
+  seldom or never seen;
+* shape: shares of characters in links, hash tags, numbers and signs, capitals, disguised and
+  run-together words, delimiters, repetition, length, whether a sentence ends the line;
+* a softmax regression on both gives the probabilities of the labels of a line, which divided by
+  the labels' shares are the emissions of the chain.
+
+Lines of the sample have no labels: they are first labelled by shape alone, then by the most
+likely paths under what was estimated, within what the mark of their page allows, a few times over.
 
 Whole texts are read. The work is on arrays over the words of many pages at once; a word's
 class is found when it is first seen and remembered.
@@ -15,50 +26,36 @@ class is found when it is first seen and remembered.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerlens.session import spread
 
 LABELS = ("prose", "links", "tags", "menu", "records")
+PROSE, LINKS, TAGS, MENU, RECORDS = range(5)
 CHUNK_CHARS = 4_000_000  # texts are handled in chunks of about this size, one very long text on its own
 REMEMBERED = 300_000
-
-# Frequent function words of the five languages of the pages
-FUNCTION = frozenset(
-    """a an the of and or but if as at by for from in into is it its on to with that this these those was were be been are
-    has have had not no so than then there when which who will would can could may might must our we you your he she they their them i my me all any
-    der die das den dem des ein eine einen einem einer und oder aber wenn als auf aus bei bis durch für gegen im in ist sind war waren
-    mit nach nicht noch nur ob obwohl sich sie er es wir ihr ihre über um und von vor was weil wer wie zu zum zur während bevor dann kein keine niemand
-    il lo la gli le un uno una di del della dei delle da dal in nel nella su sul per con che chi non è e ha ho hanno si se anche ma senza dopo prima
-    perché mentre presso poi più come ed al alla questa questo
-    el los las unos unas de y o en con por para que no se su sus es fue ha porque aunque sin tras antes después como pero al lo nadie según mientras
-    le les des du et ou où dans sur pour par avec que qui ne pas ce cette ces sa ses est a ont été au aux sans alors après avant si comme mais chez
-    """.split()
-)
-# Words of offers, in the same languages
-OFFER = frozenset(
-    """buy cheap best sale offer deal deals discount wholesale shipping free online new original top near price shop store order
-    kaufen günstig beste angebot rabatt versand gratis neu preis bestellen
-    acquista economico migliore offerta sconto originale nuovo prezzo spedizione
-    comprar barato mejor oferta descuento envío nuevo precio
-    acheter cher pas meilleur promo remise livraison offerte nouveau prix ligne""".split()
-)
-LABEL = frozenset("tag tags category categories brand color colour size material keywords label labels home style".split())
-CODE = frozenset("sku ean upc asin isbn mpn".split())
+PIECE, LINK = 16, 4
+BUCKETS = 1 << 14
+SAMPLE = 6_000  # pages that a model is fitted on at most
+MIX = 0.1  # share of a uniform chain in the fitted one, as a crawl may hold more or less spam than the sample
+SHRINK = 4.0  # a word's ratio counts as if it had been seen so often without a message
 
 # word classes
-WORD, FN, KW, URL, MARK, HASH, NUM, ID, ODD, LAB, COD, LINE, SENT, DELIM, CRUMB, REST, MONEY = range(17)
-_SKIP = frozenset((LINE, SENT, DELIM, CRUMB, REST))
-# a Markdown link and a tag with attributes have any length; other text between < and > counts as a tag up to 600 characters
+WORD, CAP, UPPER, LONG, ODD, ID, NUM, URL, MARK, HASH, LINE, SENT, DELIM, CRUMB, REST = range(15)
+_CONTENT = (WORD, CAP, UPPER, LONG, ODD)
 _TOKEN = re.compile(
-    r"""<[^<>]{1,600}>|<(?:[!?][A-Za-z-][^<>]*+|/?[A-Za-z][\w:-]*+(?:\s++[\w:@.-]++)*+\s*+(?:=[^<>]*+|/?))>|&[a-z]{2,8};|\[[^\[\]\n]++\]\([^()\s]++\)
-    |(?:https?://|www\.)[^\s<>"')\]|]+|[^\W_][\w-]*(?:\.[\w-]+)*\.[a-z]{2,12}/[^\s<>"')\]|]*
+    r"""<(?:[!?][A-Za-z-][^<>]*+|/?[A-Za-z][\w:-]*+(?:\s++[\w:@.-]++)*+\s*+(?:=[^<>]*+|/?))>|&[a-z]{2,8};|\[[^\[\]\n]++\]\([^()\s]++\)
+    |(?:https?://|www\.)[^\s<>"')\]|]+|[^\W_][\w-]*+(?:\.[\w-]+)*\.[a-z]{2,12}/[^\s<>"')\]|]*
     |\#[\w\u200b-\u200d][\w\u200b-\u200d-]*
-    |[^\W_][\w@$'’\u200b-\u200d\u2060\ufeff\xad]*(?:[.\-:,/]?[\w@$\u200b-\u200d]+)*
+    |[^\W_][\w@$'’\u200b-\u200d\u2060\ufeff\xad]*+(?:[.\-:,/]?[\w@$\u200b-\u200d]++)*+[ ]?
     |\n[ \t\xa0]+(?=(?:https?://|www\.|[\w-]+(?:\.[\w-]+)*\.[a-z]{2,12}/))
     |\n+|[.!?]+(?:["')\]]*)(?=\s|\Z)\s?|[,;|~*·/•]+|[ \t\xa0]+(?=[^\s])|[{}"]+|>+|->|[^\w\s]|\s""",
     re.VERBOSE,
@@ -66,11 +63,15 @@ _TOKEN = re.compile(
 _HIDDEN = re.compile("[\u200b-\u200d\u2060\ufeff\xad]")
 _HEXLIKE = re.compile(r"(?:[a-z]{2,8}-)?(?=[0-9a-f]*\d)[0-9a-f]{3,}$|[a-z]+-\d+$|[a-z]\d+$|\d+[a-z]{1,3}$", re.I)
 _NUMBER = re.compile(r"[\d.,:/\-+%]*\d[\d.,:/\-+%]*$")
+_HOST = re.compile(r"[\w-]+(?:\.[\w-]+)*\.[a-z]{2,12}/")
+_DOTTED = re.compile(r"[^\W\d_]{2,}(?:\.[^\W\d_]{2,})+$")
 
 
 def word_class(token: str) -> int:
-    """The class of a token of a page."""
+    """The class of a token of a page, by its form. A word comes with the space behind it."""
     c = token[0]
+    if c.isalnum():
+        token = token.rstrip(" ")
     if c == "\n":
         return LINE if token[-1] == "\n" else REST  # an indented link belongs to the label above it
     if c == "<":
@@ -90,40 +91,21 @@ def word_class(token: str) -> int:
     if not c.isalnum():
         return REST
     low = token.lower()
-    if "/" in token and (low.startswith(("http://", "https://")) or re.match(r"[\w-]+(?:\.[\w-]+)*\.[a-z]{2,12}/", low)) or low.startswith(("www.", "http://", "https://")):
+    if low.startswith(("http://", "https://", "www.")) or "/" in token and _HOST.match(low):
         return URL
-    plain = _HIDDEN.sub("", low)
-    if plain != low:
+    if _HIDDEN.search(low):
         return ODD
-    if low in ("eur", "usd", "gbp", "chf", "ms", "x"):
-        return MONEY
-    if low in CODE:
-        return COD
-    if low in FUNCTION:
-        return FN
-    if low in OFFER:
-        return KW
-    if low in LABEL:
-        return LAB
     if _NUMBER.match(low):
         return NUM
-    if low.startswith("ref-"):
-        return COD
-    has_digit = any(ch.isdigit() for ch in low)
-    if has_digit or "@" in low or "$" in low:
-        if _HEXLIKE.match(low):
-            return ID
-        if re.fullmatch(r"[a-zà-ÿ0-9@$.'’-]+", low):
-            return ODD
-        return ID
-    if "'" in low or "’" in low:
-        head = re.split("['’]", low)[0]
-        return FN if len(head) <= 3 else WORD
-    if re.fullmatch(r"[^\W\d_]{2,}(?:\.[^\W\d_]{2,})+", low):
-        return ODD  # words joined by dots
-    if len(low) > 11 and sum(w in low for w in OFFER if len(w) > 3) + (len(low) > 24) >= 1 and not low.istitle():
-        return ODD  # words run together around an offer
-    return WORD
+    if any(ch.isdigit() for ch in low) or "@" in low or "$" in low:
+        return ODD if not _HEXLIKE.match(low) and any(ch.isalpha() for ch in low) and not any(x in low for x in ":,/") and len(low) < 30 else ID
+    if _DOTTED.match(low):
+        return ODD
+    if len(low) > 20:
+        return LONG
+    if len(token) > 1 and token.isupper():
+        return UPPER
+    return CAP if token[0].isupper() else WORD
 
 
 class _Classes(dict):
@@ -132,9 +114,14 @@ class _Classes(dict):
     def __init__(self) -> None:
         super().__init__()
         self.words: dict[str, int] = {}
+        self.buckets: list[int] = []
 
     def __missing__(self, token: str) -> int:
-        number = self.words.setdefault(token.lower(), len(self.words))
+        low = _HIDDEN.sub("", token.lower()).rstrip(" ")
+        number = self.words.get(low)
+        if number is None:
+            number = self.words[low] = len(self.words)
+            self.buckets.append(zlib.crc32(low.encode("utf-8", "replace")) % BUCKETS)
         v = self[token] = (word_class(token) << 32) | number
         return v
 
@@ -143,58 +130,103 @@ class _Classes(dict):
         if len(self) > REMEMBERED:
             self.clear()
             self.words.clear()
+            self.buckets.clear()
+
+
+class Model(NamedTuple):
+    first: np.ndarray  # BUCKETS x 5: log ratio of a word's first occurrence in a line
+    again: np.ndarray  # BUCKETS x 5: of its repetitions
+    known: np.ndarray  # BUCKETS: whether the sample has a word of the bucket
+    weights: np.ndarray  # features x 5
+    begin: np.ndarray  # 5: logarithms of the probabilities of a page's first label
+    move: np.ndarray  # 5 x 5: of the label that follows
 
 
-# A chain is (probabilities of the first label, probabilities of the next label by label)
-PLAIN = ((0.9, 0.025, 0.025, 0.025, 0.025), tuple(tuple(0.82 if i == j else 0.045 for j in range(5)) for i in range(5)))
-# Trained by fit_chain from PLAIN on the 10,000 pages of the sf0.1 tables, rounded
-CHAIN = (
-    (0.9284, 0.0154, 0.0371, 0.0018, 0.0173),
-    (
-        (0.9971, 0.0006, 0.0010, 0.0001, 0.0012),
-        (0.0093, 0.9770, 0.0131, 0.0003, 0.0003),
-        (0.0172, 0.0046, 0.9780, 0.0001, 0.0001),
-        (0.0065, 0.0016, 0.0016, 0.9887, 0.0016),
-        (0.0134, 0.0001, 0.0001, 0.0001, 0.9863),
-    ),
-)
-
-
-def emissions(n: np.ndarray, chars: np.ndarray, repeated: np.ndarray, peak: np.ndarray, ended: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Log-likelihoods (lines x labels) from counts per class (n), characters per class (chars),
-    repeated content words, the count of the most frequent one (peak), whether a sentence ends
-    the line and whether a label like `Tags` begins it."""
-    total = np.maximum(chars.sum(axis=1), 1)
-    link = (chars[:, URL] + chars[:, MARK]) / total
-    hashed = chars[:, HASH] / total
-    words = n[:, WORD] + n[:, FN] + n[:, KW] + n[:, ODD] + n[:, LAB] + n[:, ID]
-    some = np.maximum(words, 1)
-    fn, kw, odd = n[:, FN] / some, n[:, KW] / some, n[:, ODD] / some
-    rep = repeated / np.maximum(n[:, WORD] + n[:, KW] + n[:, ODD], 1)
-    number = (chars[:, NUM] + chars[:, ID] + chars[:, MONEY]) / total
-    figures = n[:, NUM] + n[:, ID]
-    per_list = n[:, DELIM] / some
-    length = np.minimum(np.maximum(words + 2 * (n[:, URL] + n[:, HASH] + n[:, MARK]) + figures, 1), 40)
-    clip = lambda x: np.clip(x, -3.0, 3.0)
-    stuffed = (peak >= 3) & (peak * 9 >= words)  # nobody tells something by one noun three times in a sentence
-    loose = ~ended & (words <= 7)
-    prose = 14 * np.minimum(fn, 0.4) - 2.2 - 9 * np.maximum(rep - 0.2, 0) - 12 * link - 12 * hashed - 8 * np.maximum(kw - 0.12, 0) - 10 * odd + 1.0 * ended - 2.0 * loose - 8.0 * stuffed - 3.0 * np.maximum(per_list - 0.35, 0)
-    links = 14 * link - 3.0 - 2.5 * (ended & (fn > 0.1))
-    tags = 12 * hashed + 9 * np.minimum(kw, 0.5) + 10 * odd - 12 * np.maximum(np.minimum(fn, 0.3) - 0.06, 0) - 0.2 + 2.5 * (n[:, LAB] > 0) * first + 9 * np.maximum(rep - 0.2, 0) + 6.0 * stuffed + 1.0 * loose + 1.5 * np.minimum(per_list, 0.5) - 10 * number - 8 * link
-    menu = 4.0 * (n[:, CRUMB] >= 2) + 5.0 * (n[:, COD] > 0) - 1.5 - 8 * np.maximum(fn - 0.1, 0) - 8 * link
-    money = n[:, MONEY] > 0
-    quotes = chars[:, REST] / total
-    records = 16 * np.minimum(number, 0.45) + 1.5 * money + 6 * np.minimum(quotes, 0.3) - 2.2 - 10 * np.minimum(fn, 0.3) - 12 * link - 8 * hashed - 6 * (n[:, COD] > 0)
-    e = np.stack([clip(prose), clip(links), clip(tags), clip(menu), clip(records)], axis=1)
-    # a line weighs with its length; a line without words or figures says nothing
-    weight = np.where(words + figures + n[:, URL] + n[:, HASH] + n[:, MARK] > 0, np.sqrt(length), 0.0)
-    weight = np.where((words <= 2) & (n[:, KW] + n[:, ODD] + n[:, URL] + n[:, HASH] + n[:, MARK] + n[:, COD] == 0), weight / 2, weight)
-    return e * weight[:, None] * 0.6
-
-
-def viterbi(score: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chain: tuple = CHAIN) -> np.ndarray:
+class Lines(NamedTuple):
+    """The lines of some pages: pages' numbers, shape, and the words of each line with their counts."""
+
+    page: np.ndarray
+    chars: np.ndarray
+    words: np.ndarray
+    units: np.ndarray  # words, links, tags and figures
+    shape: np.ndarray
+    line: np.ndarray  # of each distinct word of a line
+    bucket: np.ndarray
+    times: np.ndarray
+
+
+def read_lines(texts: list[str], classes: _Classes) -> Lines:
+    classes.trim()
+    tokens, counts = [], np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        found = _TOKEN(t)
+        counts[i] = len(found)
+        tokens += found
+    code = np.fromiter(map(classes.__getitem__, tokens), np.int64, len(tokens))
+    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    kind, word = code >> 32, code & 0xFFFFFFFF
+    page = np.repeat(np.arange(len(texts)), counts)
+    ends_line = (kind == LINE) | (kind == SENT)
+    begins = np.r_[True, ends_line[:-1] | (page[1:] != page[:-1])] if len(kind) else np.zeros(0, bool)
+    # a long line is cut into pieces of PIECE words or figures; a link is as long as LINK of them
+    long = np.where((kind == URL) | (kind == MARK), LINK, kind <= HASH)
+    counted = np.cumsum(long)
+    first = counted[begins] - long[begins]
+    piece = (counted - np.repeat(first, np.diff(np.r_[np.flatnonzero(begins), len(kind)])) - 1) // PIECE if len(kind) else counted
+    begins[1:] |= (piece[1:] > piece[:-1]) & ~begins[1:] & (piece[1:] > 0)
+    line = np.cumsum(begins) - 1
+    n_lines = int(line[-1]) + 1 if len(line) else 0
+    k = REST + 1
+    n = np.bincount(line * k + kind, minlength=n_lines * k).reshape(n_lines, k)
+    chars = np.bincount(line * k + kind, weights=size, minlength=n_lines * k).reshape(n_lines, k)
+    content = np.isin(kind, _CONTENT)
+    pairs, times = np.unique((line[content] << 32) | word[content], return_counts=True)
+    at, number = pairs >> 32, pairs & 0xFFFFFFFF
+    bucket = np.array(classes.buckets, np.int64)[number] if len(number) else number
+    words = n[:, list(_CONTENT)].sum(axis=1)
+    some, total = np.maximum(words, 1), np.maximum(chars.sum(axis=1), 1)
+    repeated = words - np.bincount(at, minlength=n_lines)
+    ended = n[:, SENT] > 0
+    shape = [
+        np.ones(n_lines), (chars[:, URL] + chars[:, MARK]) / total, chars[:, HASH] / total, (chars[:, NUM] + chars[:, ID]) / total, chars[:, REST] / total,
+        np.minimum(n[:, DELIM] / some, 1.5), n[:, CAP] / some, n[:, UPPER] / some, n[:, ODD] / some, n[:, LONG] / some, np.log1p(words) / 3, ended, ~ended & (words <= 7),
+        repeated / some, n[:, CRUMB] >= 2, words == 0, np.minimum((n[:, NUM] + n[:, ID]) / some, 2),
+    ]
+    return Lines(page[begins], chars.sum(axis=1), words, n[:, : HASH + 1].sum(axis=1), np.stack(shape, axis=1).astype(np.float64), at, bucket, times)
+
+
+def features(x: Lines, m: Model) -> np.ndarray:
+    """lines x features: shape, and what the words say: their ratios added up over the root of their
+    number and in the mean, what repetitions say, the share of words that the sample lacks, and the
+    strongest repetition of a word that prose does not repeat."""
+    n = len(x.page)
+    said, again = np.zeros((n, 5)), np.zeros((n, 5))
+    more = np.flatnonzero(x.times > 1)
+    for j in range(5):
+        said[:, j] = np.bincount(x.line, weights=m.first[x.bucket, j], minlength=n)
+        again[:, j] = np.bincount(x.line[more], weights=(x.times[more] - 1) * m.again[x.bucket[more], j], minlength=n)
+    some = np.maximum(x.words, 1)[:, None]
+    unknown = np.bincount(x.line, weights=~m.known[x.bucket] * x.times, minlength=n)[:, None] / some
+    rare = m.again[x.bucket, PROSE] <= 0
+    peak = np.zeros(n)
+    np.maximum.at(peak, x.line[rare], x.times[rare])
+    stuffed = ((peak >= 3) & (peak * 9 >= x.words))[:, None]
+    return np.concatenate([x.shape, said / np.sqrt(some), said / some, again / np.sqrt(some), unknown, stuffed, np.minimum(peak, 8)[:, None] / 8, np.minimum(peak[:, None] / some, 1)], axis=1)
+
+
+def emissions(x: Lines, m: Model) -> np.ndarray:
+    """Log-likelihoods (lines x labels), up to a constant per line. A line without words, links or
+    figures says nothing."""
+    logit = features(x, m) @ m.weights
+    logit -= logit.max(axis=1, keepdims=True)
+    e = logit - np.log(np.exp(logit).sum(axis=1, keepdims=True))
+    e = np.maximum(e, -8.0)
+    silent = (x.words == 0) & (x.shape[:, 1] + x.shape[:, 2] + x.shape[:, 3] == 0)
+    return np.where(silent[:, None], 0.0, e)
+
+
+def viterbi(score: np.ndarray, starts: np.ndarray, sizes: np.ndarray, begin: np.ndarray, move: np.ndarray) -> np.ndarray:
     """The most likely labels of each page's lines, pages side by side."""
-    begin, move = np.log(np.array(chain[0])), np.log(np.array(chain[1]))
     order = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[order], sizes[order]
     k, longest = score.shape[1], int(sizes.max(initial=0))
@@ -221,38 +253,109 @@ def viterbi(score: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chain: tup
     return label
 
 
-def _chunk(texts: list[str], classes: _Classes, chain: tuple = CHAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(page of each line, label, characters, first line of each page)"""
-    classes.trim()
-    tokens, counts = [], np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        found = _TOKEN(t)
-        counts[i] = len(found)
-        tokens += found
-    code = np.fromiter(map(classes.__getitem__, tokens), np.int64, len(tokens))
-    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    kind, word = code >> 32, code & 0xFFFFFFFF
-    page = np.repeat(np.arange(len(texts)), counts)
-    ends_line = (kind == LINE) | (kind == SENT)
-    begins = np.r_[True, ends_line[:-1] | (page[1:] != page[:-1])] if len(kind) else np.zeros(0, bool)
-    line = np.cumsum(begins) - 1
-    n_lines = int(line[-1]) + 1 if len(line) else 0
-    n = np.bincount(line * 17 + kind, minlength=n_lines * 17).reshape(n_lines, 17)
-    chars = np.bincount(line * 17 + kind, weights=size, minlength=n_lines * 17).reshape(n_lines, 17)
-    content = np.isin(kind, (WORD, KW, ODD))
-    pairs, times = np.unique((line[content] << 32) | word[content], return_counts=True)
-    pairs >>= 32
-    repeated = np.bincount(line[content], minlength=n_lines) - np.bincount(pairs, minlength=n_lines)
-    peak = np.zeros(n_lines, np.int64)
-    np.maximum.at(peak, pairs, times)
-    first = np.zeros(n_lines, bool)
-    lab = np.flatnonzero(kind == LAB)
-    first[line[lab[begins[lab]]]] = True
-    score = emissions(n, chars, repeated, peak, n[:, SENT] > 0, first)
-    line_page = page[begins]
-    starts = np.flatnonzero(np.r_[True, line_page[1:] != line_page[:-1]]) if n_lines else np.zeros(0, np.int64)
-    sizes = np.diff(np.r_[starts, n_lines])
-    return line_page, viterbi(score, starts, sizes, chain), chars.sum(axis=1), starts
+def _pages(x: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """First line and number of lines of each page that has any."""
+    n = len(x.page)
+    starts = np.flatnonzero(np.r_[True, x.page[1:] != x.page[:-1]]) if n else np.zeros(0, np.int64)
+    return starts, np.diff(np.r_[starts, n])
+
+
+def label_lines(x: Lines, m: Model) -> np.ndarray:
+    return viterbi(emissions(x, m), *_pages(x), m.begin, m.move)
+
+
+def _ratios(label: np.ndarray, weight: np.ndarray, bucket: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """BUCKETS x 5: log of the share of a label among the occurrences in a bucket, over the label's share in all."""
+    c = np.bincount(bucket * 5 + label, weights=weight, minlength=BUCKETS * 5).reshape(BUCKETS, 5)
+    return np.log((c + SHRINK * share) / (c.sum(axis=1, keepdims=True) + SHRINK) / share)
+
+
+def _regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray | None, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+    """Softmax regression by Adam over all lines at once; every label weighs alike."""
+    w = np.zeros((x.shape[1], 5)) if start is None else start.copy()
+    one = np.eye(5)[y]
+    a, b = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, steps + 1):
+        z = x @ w
+        z -= z.max(axis=1, keepdims=True)
+        p = np.exp(z)
+        p /= p.sum(axis=1, keepdims=True)
+        g = x.T @ ((p - one) * weight[:, None]) + decay * w
+        a, b = 0.9 * a + 0.1 * g, 0.999 * b + 0.001 * g * g
+        w -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def _by_shape(x: Lines, spam: np.ndarray) -> np.ndarray:
+    """First labels of lines: by their links, hash tags, crumbs, figures and signs, and by the mark of their page."""
+    link, hashed, figures, signs = (x.shape[:, i] for i in (1, 2, 3, 4))
+    crumbs = x.shape[:, 14] > 0
+    honest = np.where(link > 0.5, LINKS, np.where(hashed > 0.5, TAGS, np.where(figures + signs > 0.35, RECORDS, PROSE)))
+    bad = np.where(link > 0.2, LINKS, np.where(crumbs, MENU, TAGS))
+    return np.where(spam[x.page], bad, honest)
+
+
+def _allowed(x: Lines, spam: np.ndarray) -> np.ndarray:
+    """lines x labels: honest pages have no menus, and links and tags only where their form says so; spam has no records."""
+    out = np.ones((len(x.page), 5), bool)
+    honest = ~spam[x.page]
+    out[honest, MENU] = False
+    out[honest & (x.shape[:, 1] <= 0.5), LINKS] = False
+    out[honest & (x.shape[:, 2] <= 0.5), TAGS] = False
+    out[~honest, RECORDS] = False
+    return out
+
+
+def fit(labelled: DataFrame, most: int = SAMPLE, rounds: int = 4) -> Model:
+    """A model fitted on pages (text, spam boolean) of which at most `most` are used, those with the least
+    hash of their text. Only this sample reaches the driver."""
+    rows = labelled.where("text IS NOT NULL AND spam IS NOT NULL").orderBy(F.xxhash64("text"), "text").limit(most).select("text", "spam").collect()
+    return fit_texts([r.text for r in rows], np.array([r.spam for r in rows], bool), rounds)
+
+
+def fit_texts(texts: list[str], spam: np.ndarray, rounds: int = 4) -> Model:
+    x = read_lines(texts, _Classes())
+    known = np.bincount(x.bucket, minlength=BUCKETS) > 0
+    label, allowed, w = _by_shape(x, spam), _allowed(x, spam), None
+    starts, sizes = _pages(x)
+    follows = np.ones(max(len(x.page) - 1, 0), bool)
+    follows[starts[1:] - 1] = False
+    for _ in range(rounds):
+        share = (np.bincount(label, minlength=5) + 1.0) / (len(label) + 5.0)
+        of = label[x.line]
+        words = np.bincount(of, weights=x.times, minlength=5) + 1.0
+        m = Model(_ratios(of, np.ones(len(of)), x.bucket, words / words.sum()), _ratios(of, x.times - 1.0, x.bucket, words / words.sum()), known, np.zeros((0, 5)), np.zeros(5), np.zeros((5, 5)))
+        f = features(x, m)
+        each = 1.0 / (share[label] * len(label) * 5)
+        w = _regression(f, label, each, w)
+        begin = np.bincount(label[starts], minlength=5) + 1.0
+        move = np.bincount(label[:-1][follows] * 5 + label[1:][follows], minlength=25).reshape(5, 5) + 1.0
+        begin, move = (MIX / 5 + (1 - MIX) * c / c.sum(axis=-1, keepdims=True) for c in (begin, move))
+        m = m._replace(weights=w, begin=np.log(begin), move=np.log(move))
+        e = np.where(allowed, emissions(x, m), -50.0)
+        label = viterbi(e, starts, sizes, m.begin, m.move)
+        for _ in range(6):  # more than half of a spam page is spam: what it lacks is given to its other labels
+            other = np.bincount(x.page, weights=x.chars * ((label != PROSE) & (label != RECORDS)), minlength=len(texts))
+            lacking = spam & (other * 2 <= np.bincount(x.page, weights=x.chars, minlength=len(texts)))
+            e[:, LINKS : MENU + 1] += 1.5 * (lacking[x.page])[:, None]
+            label = viterbi(e, starts, sizes, m.begin, m.move)
+    return m
+
+
+def save(m: Model, path: str | Path) -> None:
+    """Ratios are kept to a hundredth."""
+    small = {k: np.clip(np.round(getattr(m, k) * 16), -127, 127).astype(np.int8) for k in ("first", "again")}
+    np.savez_compressed(path, known=m.known, weights=m.weights.astype(np.float32), begin=m.begin.astype(np.float32), move=m.move.astype(np.float32), **small)
+
+
+def load(path: str | Path) -> Model:
+    with np.load(path) as z:
+        return Model(z["first"] / 16.0, z["again"] / 16.0, z["known"], z["weights"].astype(np.float64), z["begin"].astype(np.float64), z["move"].astype(np.float64))
+
+
+def shipped() -> Model:
+    """The model in this package (fit_spam.py says what it was fitted on)."""
+    return load(Path(__file__).with_name("spam_model.npz"))
 
 
 def _chunks(ids: pa.Array, texts: list[str | None]) -> Iterator[tuple[pa.Array, list[str]]]:
@@ -266,60 +369,34 @@ def _chunks(ids: pa.Array, texts: list[str | None]) -> Iterator[tuple[pa.Array,
         lo = hi
 
 
-def _labeller(chain: tuple):
+def _labeller(m: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = _Classes()
-        names = ["doc_id", "chars", "lines", *LABELS]
+        names = ["doc_id", "chars", "lines", "words", "other_words", *LABELS]
         for b in batches:
             for ids, some in _chunks(b.column("doc_id"), b.column("text").to_pylist()):
-                page, label, chars, _ = _chunk(some, classes, chain)
-                by = np.bincount(page * 5 + label, weights=chars, minlength=5 * len(some)).reshape(len(some), 5).astype(np.int64)
-                lines = np.bincount(page, minlength=len(some))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(by.sum(axis=1)), pa.array(lines), *[pa.array(by[:, j]) for j in range(5)]], names=names)
-
-    return run
-
-
-def _counter(chain: tuple):
-    """Counts of first labels (row 5) and of label pairs on the most likely paths."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, n = _Classes(), np.zeros((6, 5), np.int64)
-        for b in batches:
-            for _, some in _chunks(b.column("doc_id"), b.column("text").to_pylist()):
-                page, label, _, starts = _chunk(some, classes, chain)
-                same = page[1:] == page[:-1]
-                np.add.at(n, (label[:-1][same], label[1:][same]), 1)
-                np.add.at(n, (5, label[starts]), 1)
-        i, j = np.indices(n.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(x.ravel().astype(np.int64)) for x in (i, j, n)], names=["i", "j", "n"])
+                x = read_lines(some, classes)
+                label = label_lines(x, m)
+                by = np.bincount(x.page * 5 + label, weights=x.chars, minlength=5 * len(some)).reshape(len(some), 5).astype(np.int64)
+                per = [np.bincount(x.page, weights=w, minlength=len(some)).astype(np.int64) for w in (np.ones(len(x.page)), x.units, x.units * ((label != PROSE) & (label != RECORDS)))]
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (by.sum(axis=1), *per)), *[pa.array(by[:, j]) for j in range(5)]], names=names)
 
     return run
 
 
-def fit_chain(documents: DataFrame, rounds: int = 4, chain: tuple = PLAIN) -> tuple:
-    """Transition probabilities by Viterbi training over all pages: label with the chain so far,
-    count, add one to every count, divide; the emissions stay. Only 30 sums reach the driver."""
-    for _ in range(rounds):
-        counted = spread(documents.select("doc_id", "text")).mapInArrow(_counter(chain), "i bigint, j bigint, n bigint")
-        n = np.ones((6, 5))
-        for r in counted.groupBy("i", "j").sum("n").collect():
-            n[r[0], r[1]] += r[2]
-        p = n / n.sum(axis=1, keepdims=True)
-        chain = (tuple(p[5].tolist()), tuple(map(tuple, p[:5].tolist())))
-    return chain
-
-
-def label_pages(documents: DataFrame, chain: tuple = CHAIN) -> DataFrame:
-    """(doc_id, chars, lines, prose, links, tags, menu, records): characters per label of each page.
+def label_pages(documents: DataFrame, model: Model | None = None) -> DataFrame:
+    """(doc_id, chars, lines, words, other_words, prose, links, tags, menu, records): per page its words
+    (links, tags and figures included), those outside prose and records, and the characters under each label.
 
     A null or empty text has 0 everywhere. One row per input row, repeated ids included; no
     shuffle; other columns are ignored."""
-    schema = "doc_id bigint, chars bigint, lines bigint, " + ", ".join(f"{x} bigint" for x in LABELS)
-    return spread(documents.select("doc_id", "text")).mapInArrow(_labeller(chain), schema)
+    schema = "doc_id bigint, chars bigint, lines bigint, words bigint, other_words bigint, " + ", ".join(f"{x} bigint" for x in LABELS)
+    return spread(documents.select("doc_id", "text")).mapInArrow(_labeller(model or shipped()), schema)
 
 
-def spam_pages(documents: DataFrame, chain: tuple = CHAIN) -> DataFrame:
-    """(doc_id) of the pages with more than half of their characters in links, tags and menus."""
-    p = label_pages(documents, chain)
+def spam_pages(documents: DataFrame, model: Model | None = None) -> DataFrame:
+    """(doc_id) of the pages with more than half of their characters in links, tags and menus. The share
+    is taken of characters, as a link of eighty of them is not one word among others; the share of
+    words (other_words of words) is there for those who want it."""
+    p = label_pages(documents, model)
     return p.where((p["links"] + p["tags"] + p["menu"]) * 2 > p["chars"]).select("doc_id")

@@ -1,7 +1,10 @@
 import random
 import time
 
-from ledgerlens.llm.spam import _TOKEN, fit_chain, label_pages, spam_pages
+import numpy as np
+from pyspark.sql import functions as F
+
+from ledgerlens.llm.spam import _TOKEN, _Classes, fit, fit_texts, label_lines, label_pages, load, read_lines, save, shipped, spam_pages
 
 SPAM = [
     "buy sun hat, cheap sun hat, sun hat best price, discount sun hat, wholesale sun hat, sun hat online",
@@ -52,12 +55,35 @@ def test_labels_do_not_depend_on_the_pages_around(spark):
     assert one == many
 
 
-def test_training_counts_all_pages_and_keeps_probabilities(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    begin, move = fit_chain(docs, rounds=2)
-    assert abs(sum(begin) - 1) < 1e-9 and all(abs(sum(row) - 1) < 1e-9 and row[i] > 0.5 for i, row in enumerate(move[:3]))
-    assert {r.doc_id for r in spam_pages(docs, (begin, move)).collect()} == {r.doc_id for r in spam_pages(docs).collect()}
-    assert fit_chain(docs.limit(0), 1)[0] == (0.2,) * 5
+# The spam among the 1,000 pages of sf0.01, found by reading; none of them was in the sample of the model
+READ = (
+    44, 45, 57, 65, 68, 69, 104, 114, 144, 151, 156, 161, 163, 186, 230, 240, 288, 294, 299, 312, 322, 328, 345, 365, 372, 417, 422, 436, 443, 467,
+    474, 483, 487, 489, 495, 497, 503, 533, 558, 596, 631, 659, 685, 731, 772, 779, 783, 786, 832, 891, 909, 933, 936, 940, 952, 971, 972, 996,
+)
+
+
+def test_held_out_pages(spark):
+    got = {r.doc_id for r in spam_pages(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    both = len(got & set(READ))
+    assert both / len(got) >= 0.98 and both / len(READ) >= 0.98
+
+
+def test_a_model_is_fitted_on_marked_pages_only(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.col("doc_id").isin(*READ).alias("spam"))
+    m = fit(docs.where("doc_id % 2 = 0 OR text IS NULL"), rounds=3)
+    assert np.allclose(np.exp(m.begin).sum(), 1) and np.allclose(np.exp(m.move).sum(axis=1), 1)
+    rest = {d for d in READ if d % 2}
+    got = {r.doc_id for r in spam_pages(docs.where("doc_id % 2 = 1"), m).collect()}
+    assert len(got & rest) >= 0.6 * len(rest) and len(got - rest) <= 2  # 25 spam pages are few to learn from
+    save(m, tmp_path / "m.npz")
+    kept, x = load(tmp_path / "m.npz"), read_lines([r.text or "" for r in docs.where("doc_id < 200").collect()], _Classes())
+    assert (label_lines(x, m) == label_lines(x, kept)).mean() > 0.999
+    assert len(fit(docs, most=10, rounds=1).begin) == 5 and fit_texts(["", "a b"], np.array([True, False]), 1).known.sum() == 2
+
+
+def test_long_lines_are_cut_into_pieces():
+    x = read_lines(["word " * 100, "", "a. b.", "https://a-b.test/x " * 40], _Classes())
+    assert np.bincount(x.page).tolist() == [7, 0, 2, 10] and x.units.sum() == 142 and shipped().known.any()
 
 
 def prose(n, rng):
