@@ -86,8 +86,8 @@ class Mixture:
         mine = placed(documents.where(F.col("source").isNotNull()), "source", "doc_id", "text").join(if_small(t.select("source")), "source", "left_semi")
         sized = mine.select("source", "doc_id", token_count(F.col("text"), vocabulary).alias("tokens"), "row")
         sized = materialize(sized, "sized")
-        sums = sized.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum("tokens").alias("size"))
-        plan = t.join(sums, "source", "left").na.fill(0, ["records", "size"])
+        sums = sized.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum("tokens").alias("size"), F.max("tokens").alias("longest"))
+        plan = t.join(sums, "source", "left").na.fill(0, ["records", "size", "longest"])
         # windows over all rows below run over tables of one row per source
         plan = plan.withColumn("total", F.sum("size").over(Window.partitionBy(F.lit(0))))
         want = F.col("target_share") * F.col("total")
@@ -130,7 +130,7 @@ class Mixture:
         """Per listed source: records, most (whether a record is used more than max_repeats times), short,
         and off: whether the tokens mixed differ from share * T, or, of a source that is short, from all it may
         give, by more than two of its longest records."""
-        r = self.report().join(self.records.groupBy("source").agg(F.max("tokens").alias("longest")), "source", "left")
+        r = self.report().join(self.plan.select("source", "longest"), "source", "left")
         want = F.when(F.col("short"), F.col("size") * F.col("max_repeats")).otherwise(F.col("target_share") * F.sum("size").over(Window.partitionBy(F.lit(0))))
-        off = F.abs(F.col("mixed") - want) > 2 * F.coalesce(F.col("longest"), F.lit(0))
+        off = F.abs(F.col("mixed") - want) > 2 * F.col("longest")
         return r.select("source", "target_share", "records", (F.col("most") > F.col("max_repeats")).alias("over"), off.alias("off"), "short")
