@@ -112,6 +112,44 @@ class Policy:
         return sha256_text(f"{self.review}:{self.reject}:" + canonical({r.rule_id: canonical(asdict(r)) for r in self.rules}))
 
 
+RULES = 5
+
+
+def catalogue(*texts: str) -> dict[tuple[str, int], Policy]:
+    """The policies of a catalogue, JSON texts, by id and version. A policy of a catalogue has exactly
+    RULES rules, whole numbers where numbers belong, and no second policy has its id and version."""
+    out: dict[tuple[str, int], Policy] = {}
+    for text in texts:
+        p = json.loads(text)
+        whole = all(type(p.get(f)) is int and -(1 << 63) <= p[f] < 1 << 63 for f in ("version", "review_threshold", "reject_threshold"))
+        if not isinstance(p.get("policy_id"), str) or not whole or not isinstance(p.get("rules"), list) or len(p["rules"]) != RULES:
+            raise ValueError("invalid policy catalogue")
+        for r in p["rules"]:
+            if rule_error(r):
+                raise ValueError(f"invalid rule in the catalogue: {rule_error(r)}")
+        policy = Policy.read(text)
+        if out.setdefault((policy.policy_id, policy.version), policy) != policy:
+            raise ValueError("two policies of one id and version")
+    return out
+
+
+def releases(log: DataFrame) -> DataFrame:
+    """(policy_id, policy_version, rules, complete): every policy version of a rule log with the number
+    of rules in force at it, the highest version of each that came with it or before. A version is
+    complete with RULES valid rules. Equal to the check of a catalogue, over a log."""
+    from pyspark.sql import Window
+
+    one = log.withColumn("_bad", rule_error_column().isNotNull()).groupBy("policy_id", "rule_id", "policy_version").agg(F.max(F.struct("version", ~F.col("_bad"))).alias("_top"))
+    at = one.select("policy_id", "policy_version").distinct()
+    known = one.select("policy_id", "rule_id").distinct()
+    # versions x rules of a policy, both a handful; the running maximum is over them
+    grid = at.join(known, "policy_id").join(one, ["policy_id", "rule_id", "policy_version"], "left")
+    upto = Window.partitionBy("policy_id", "rule_id").orderBy("policy_version").rowsBetween(Window.unboundedPreceding, 0)
+    held = grid.withColumn("_held", F.max("_top").over(upto)).where(F.col("_held").isNotNull())
+    out = held.groupBy("policy_id", "policy_version").agg(F.count(F.lit(1)).alias("rules"), F.bool_and(F.col("_held.col2")).alias("_valid"))
+    return out.select("policy_id", "policy_version", "rules", ((F.col("rules") == RULES) & F.col("_valid")).alias("complete"))
+
+
 def latest_rules(log: DataFrame) -> DataFrame:
     """The highest version of every (policy_id, rule_id): updates with a version not above the
     one in force change nothing; of rows with the same version the first offset counts."""

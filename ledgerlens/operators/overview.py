@@ -9,8 +9,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ranks import nearest_ranks
+
 WINDOWS = {"15m": 900, "1h": 3_600, "24h": 86_400}
-BUCKETS, PAGE, LATEST, SKETCH = 30, 20, 100, 1_000_000
+BUCKETS, PAGE, LATEST = 30, 20, 100
 
 
 def within(rows: DataFrame, anchor_ms: int, window: str) -> DataFrame:
@@ -24,12 +26,13 @@ def _by_decision() -> list[Column]:
 
 
 def totals(rows: DataFrame) -> DataFrame:
-    """One row, zeros if there is none. p95 of the time to a decision is that of a mergeable sketch of
-    bounded size: an estimate on large inputs, with a rank error of about 1 / SKETCH of the rows.
-    Exact percentiles are those of ranks.nearest_ranks."""
+    """One row, zeros if there is none; finalization_p95 is the exact nearest-rank percentile of the
+    time from event to decision. rows are read twice: they should come from a written table."""
+    sums = rows.agg(F.count(F.lit(1)).alias("transactions"), F.coalesce(F.sum("amount_minor"), F.lit(0)).alias("amount_minor"), *_by_decision())
     delay = F.greatest(F.lit(0), F.try_subtract("processed_at", "event_time"))
-    p95 = F.coalesce(F.percentile_approx(delay, 0.95, SKETCH), F.lit(0)).alias("finalization_p95")
-    return rows.agg(F.count(F.lit(1)).alias("transactions"), F.coalesce(F.sum("amount_minor"), F.lit(0)).alias("amount_minor"), *_by_decision(), p95)
+    p95 = nearest_ranks(rows.select(F.lit(0).alias("_g"), F.when(F.col("processed_at").isNotNull() & F.col("event_time").isNotNull(), delay).alias("_v")), "_g", "_v", [0.95]).select(F.col("value").alias("finalization_p95"))
+    both = sums.unionByName(p95, allowMissingColumns=True)
+    return both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*sums.columns, "finalization_p95")])
 
 
 def bucket_ms(window: str) -> int:
@@ -55,8 +58,8 @@ def rule_matches(rows: DataFrame) -> DataFrame:
 
 
 def latest(rows: DataFrame, n: int = LATEST) -> DataFrame:
-    """The n rows processed last: a top-k, not a sort."""
-    return rows.orderBy(F.desc("processed_at"), "transaction_id").limit(n)
+    """The n rows processed last, those without a time left out: a top-k, not a sort."""
+    return rows.where(F.col("processed_at").isNotNull()).orderBy(F.desc("processed_at"), "transaction_id").limit(n)
 
 
 def shares(rows: DataFrame) -> DataFrame:

@@ -57,6 +57,41 @@ def source_offsets(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source_topic", "source_partition").agg(F.max("source_offset").alias("max_offset"))
 
 
+def acknowledged(acks: DataFrame) -> DataFrame:
+    """(source_topic, source_partition, next_offset): where a reader of acknowledged records goes on, the
+    highest one and one more; acknowledgements of several writers merge in any order."""
+    top = acks.where(F.col("source_offset").isNotNull()).groupBy("source_topic", "source_partition").agg(F.max("source_offset").alias("top"))
+    return top.select("source_topic", "source_partition", (F.col("top") + 1).alias("next_offset"))
+
+
+def by_coordinates(archived: DataFrame, processed: DataFrame, *columns: str) -> DataFrame:
+    """Records of the archive with what was made of them, by topic, partition and offset: an equality join
+    on the place, which spreads any partition of the source over all tasks."""
+    keys = ["source_topic", "source_partition", "source_offset"]
+    return archived.join(processed.select(*keys, *columns), keys)
+
+
+def evaluated_and_invalid(inputs: DataFrame, evaluated: DataFrame, invalid: DataFrame) -> DataFrame:
+    """Events that exist among the evaluated and among the invalid ones: two outcomes for one input."""
+    one = inputs.select("event_id").where(F.col("event_id").isNotNull()).distinct()
+    return one.join(evaluated.select("event_id"), "event_id", "left_semi").join(invalid.select("event_id"), "event_id", "left_semi")
+
+
+class GapError(RuntimeError):
+    pass
+
+
+def require_whole(records: DataFrame, committed: dict[tuple[str, int], int] | None = None) -> None:
+    """Raises GapError unless a reader may begin: without committed offsets a log has to begin at 0, with them
+    it must not begin behind the next record. Offsets that no record has, as of markers of
+    transactions, are no gap."""
+    starts = records.groupBy("source_topic", "source_partition").agg(F.min("source_offset").alias("first"))
+    for r in starts.collect():  # a row per partition of the source
+        at = (committed or {}).get((r.source_topic, r.source_partition), 0)
+        if r.first > at:
+            raise GapError(f"{r.source_topic}/{r.source_partition} begins at {r.first}, {at} is wanted")
+
+
 def offset_gaps(records: DataFrame) -> DataFrame:
     """(source_topic, source_partition, after, before): stretches without any record. A window over
     each partition of the source would be one task; here it runs per block of offsets, and the

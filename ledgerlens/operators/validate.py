@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import identity
@@ -17,22 +19,34 @@ CODES = (
 )
 
 
+@lru_cache(1)
+def iso_countries() -> tuple[str, ...]:
+    """The two-letter codes of ISO 3166 that the session's Java runtime knows."""
+    spark = SparkSession.active()
+    return tuple(sorted(spark.sparkContext._jvm.java.util.Locale.getISOCountries()))
+
+
+def _base64(c: Column) -> Column:
+    """Base64 on one line; Spark breaks it after 76 characters."""
+    return F.translate(F.base64(c), "\r\n", "")
+
+
 def error_code(observed_at: Column, countries: tuple[str, ...] | None = None, currency: str = "EUR") -> Column:
     """The code of the first check a payment fails, in a fixed order; null if it passes.
-    A null field fails its check. countries: the allowed codes; any two capital letters if None."""
+    A null field fails its check. countries: the allowed codes; those of ISO 3166 if None."""
     c = F.col
+    countries = countries or iso_countries()
     missing = F.lit(False)
     for f in IDS:
         missing = missing | c(f).isNull() | (F.trim(f) == "") | (F.length(f) > 128)
-    country = c("country").isin(*countries) if countries else c("country").rlike(r"^[A-Z]{2}\z")
     fails = lambda ok: ~F.coalesce(ok, F.lit(False))
     return (
         F.when(missing, "MISSING_REQUIRED_FIELD")
         .when(fails(c("amount_minor").between(1, 1_000_000_000_000)), "INVALID_AMOUNT")
         .when(fails(c("currency") == currency), "INVALID_CURRENCY")
-        .when(fails(country), "INVALID_COUNTRY")
+        .when(fails(c("country").isin(*countries)), "INVALID_COUNTRY")
         .when(fails(c("status").isin("APPROVED", "DECLINED")), "INVALID_STATUS")
-        .when(fails((c("event_time") > 0) & (c("event_time") <= observed_at + 300_000)), "INVALID_EVENT_TIME")
+        .when(fails((c("event_time") > 0) & (F.try_subtract("event_time", F.lit(300_000)) <= observed_at)), "INVALID_EVENT_TIME")
     )
 
 
@@ -70,7 +84,7 @@ def dead_letters(invalid: DataFrame, payload: str = "payload", mode: str = "omit
         (observed_at if observed_at is not None else F.unix_millis(F.current_timestamp())).alias("observed_at"),
         allowed_code(F.col("error_code")).alias("error_code"),
         F.lit("Rejected payment record").alias("error_message"),
-        (F.coalesce(F.base64(F.substring(p, 1, CAPTURED)), F.lit("")) if mode == "capture" else F.lit("")).alias("raw_payload"),
+        (F.coalesce(_base64(F.substring(p, 1, CAPTURED)), F.lit("")) if mode == "capture" else F.lit("")).alias("raw_payload"),
         ((size > 0) & (F.lit(mode == "omit") | (size > CAPTURED))).alias("payload_truncated"),
         F.sha2(F.coalesce(p, F.lit(b"")), 256).alias("payload_sha256"),
         size.cast("bigint").alias("payload_bytes"),
@@ -85,11 +99,11 @@ def archive_rows(records: DataFrame) -> DataFrame:
     return records.select(
         "source_topic", "source_partition", "source_offset", "source_timestamp", "timestamp_type",
         key.isNull().alias("key_is_null"), value.isNull().alias("value_is_null"),
-        F.coalesce(F.base64(key), F.lit("")).alias("key_base64"),
-        F.coalesce(F.base64(value), F.lit("")).alias("payload_base64"),
+        F.coalesce(_base64(key), F.lit("")).alias("key_base64"),
+        F.coalesce(_base64(value), F.lit("")).alias("payload_base64"),
         F.coalesce(F.octet_length(value), F.lit(0)).cast("bigint").alias("payload_bytes"),
         F.sha2(F.coalesce(value, F.lit(b"")), 256).alias("payload_sha256"),
-        F.to_json(F.transform("headers", lambda h: F.struct(h["key"].alias("key"), h["value"].isNull().alias("is_null"), F.coalesce(F.base64(h["value"]), F.lit("")).alias("value_base64")))).alias("headers_json"),
+        F.to_json(F.transform("headers", lambda h: F.struct(h["key"].alias("key"), h["value"].isNull().alias("is_null"), F.coalesce(_base64(h["value"]), F.lit("")).alias("value_base64")))).alias("headers_json"),
     )
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import overview, reconcile, store
+from ledgerlens.session import delete, exists
 
 CONTENT_TTL_MS, MARKER_TTL_MS, MAX_AGE_MS, SKEW_MS = 600_000, 86_400_000, 120_000, 5_000
 _MARKER = "generation string, started_at bigint, status string, assessments bigint, deliveries bigint, source_offsets string, build_ms bigint, reason string"
@@ -99,6 +100,10 @@ class Reader:
     def _of(self, table: str, generation: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{table}/generation={generation}")
 
+    def table(self, name: str, now_ms: int) -> DataFrame:
+        """A table of the newest generation, as it is served."""
+        return self._of(name, self.publication(now_ms))
+
     def overview(self, now_ms: int, window: str) -> dict[str, DataFrame]:
         g = self.publication(now_ms)
         return {t: self.spark.read.parquet(f"{self.root}/{t}/window={window}/generation={g}") for t in ("totals", "series", "rules", "latest")}
@@ -124,14 +129,16 @@ class Reader:
 
 
 def retain(spark: SparkSession, root: str, now_ms: int) -> list[str]:
-    """Deletes the content of generations older than ten minutes, the newest excepted; returns their names."""
-    marks = spark.read.schema(_MARKER).parquet(f"{root}/publications").orderBy(F.desc("started_at"))
-    known = marks.where(F.col("started_at") > now_ms - MARKER_TTL_MS).select("generation", "started_at").collect()  # one row per generation of a day
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    gone = [r.generation for r in known[1:] if now_ms - r.started_at > CONTENT_TTL_MS]
+    """Deletes the content of generations older than ten minutes, however old, and the markers of those
+    older than a day, the newest excepted in both; returns the names of generations whose content went."""
+    marks = spark.read.schema(_MARKER).parquet(f"{root}/publications").withColumn("file", F.input_file_name())
+    known = marks.orderBy(F.desc("started_at"), F.desc("generation")).select("generation", "started_at", "file").collect()  # one row per generation that has a marker
+    old = [r for r in known[1:] if now_ms - r.started_at > CONTENT_TTL_MS]
+    gone = [r.generation for r in old if exists(spark, f"{root}/evaluations/generation={r.generation}")]
     for g in gone:
-        for t in ("evaluations", "customers", *(f"{t}/window={w}" for t in ("totals", "series", "rules", "latest") for w in overview.WINDOWS)):
-            p = jvm.org.apache.hadoop.fs.Path(f"{root}/{t}/generation={g}")
-            p.getFileSystem(conf).delete(p, True)
+        for t in ("customers", *(f"{t}/window={w}" for t in ("totals", "series", "rules", "latest") for w in overview.WINDOWS), "evaluations"):
+            delete(spark, f"{root}/{t}/generation={g}")
+    for r in old:
+        if now_ms - r.started_at > MARKER_TTL_MS:  # a marker is one file, written by one publication
+            delete(spark, r.file)
     return gone

@@ -8,6 +8,7 @@ windows of minutes fill); the others read `payments`, `evaluations`, `risk_rules
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib.resources import files
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from ledgerlens.functions import identity, policy
 from ledgerlens.functions.policy import Policy, Rule
 from ledgerlens.operators import bitemporal, identity_conflicts, late_periods, lookback, overview, reconcile, store, validate
 from ledgerlens.operators.score import score
+from ledgerlens.session import materialize
 from ledgerlens.sources.tables import table
 
 ANCHOR_MS = 1_748_563_200_000  # 2025-05-30T00:00Z, the end of the data
@@ -93,7 +95,7 @@ def _seen(rule: Rule) -> str:
     if rule.type == "NEW_DEVICE_HIGH_AMOUNT":
         near = _BEFORE
     sign = policy.TYPES[rule.type]
-    return f"""SELECT event_id, '{rule.rule_id}' AS rule_id, observed, eligible, eligible AND observed {sign} {rule.threshold} AS matched, {rule.score} AS score FROM (
+    return f"""SELECT event_id, '{rule.rule_id}' AS rule_id, '{rule.type}' AS kind, observed, eligible, eligible AND observed {sign} {rule.threshold} AS matched, {rule.score} AS score FROM (
   SELECT c.event_id, {by[0]} AS observed, {by[1]} AS eligible FROM card c LEFT JOIN card h ON {near}
   GROUP BY c.event_id, c.amount_minor, c.device_id, c.status, c.event_time)"""
 
@@ -101,7 +103,8 @@ def _seen(rule: Rule) -> str:
 _ALL = f"WITH {_CARD}, seen AS ({' UNION ALL '.join(_seen(r) for r in POLICY.rules)})"
 _SCORED = f"""{_ALL}, scored AS (
   SELECT c.event_id, c.transaction_id, c.customer_id, least(100, CAST(coalesce(sum(score) FILTER (matched), 0) AS INTEGER)) AS risk_score,
-         coalesce(string_agg(rule_id, ',' ORDER BY rule_id) FILTER (matched), '') AS matched_rules
+         coalesce(string_agg(rule_id, ',' ORDER BY rule_id) FILTER (matched), '') AS matched_rules,
+         coalesce(string_agg(kind, ',' ORDER BY rule_id) FILTER (matched), '') AS reason_codes
   FROM seen s JOIN card c USING (event_id) GROUP BY 1, 2, 3),
 decided AS (SELECT *, CASE WHEN risk_score >= 70 THEN 'REJECT' WHEN risk_score >= 30 THEN 'REVIEW' ELSE 'APPROVE' END AS decision FROM scored)"""
 
@@ -137,9 +140,9 @@ def rule_evidence_long(spark, d):
     return e.select("event_id", "e.rule_id", "e.observed", "e.eligible", "e.matched", "e.score_contribution")
 
 
-@query(f"{_SCORED} SELECT event_id, customer_id, risk_score, decision, matched_rules FROM decided")
+@query(f"{_SCORED} SELECT event_id, customer_id, risk_score, decision, matched_rules, reason_codes FROM decided")
 def score_decisions(spark, d):
-    return _decisions(spark, d).select("event_id", "customer_id", "risk_score", "decision", F.array_join("matched_rules", ",").alias("matched_rules"))
+    return _decisions(spark, d).select("event_id", "customer_id", "risk_score", "decision", F.array_join("matched_rules", ",").alias("matched_rules"), F.array_join("reason_codes", ",").alias("reason_codes"))
 
 
 @query(f"{_SCORED} SELECT decision, count(*) AS n FROM decided GROUP BY 1")
@@ -168,12 +171,14 @@ def confusion_matrix(spark, d):
 
 
 # --- deliveries of payments -------------------------------------------------------------
-_CODE = """CASE
+# the codes of ISO 3166 as the time zone data list them; the operator asks the Java runtime
+_COUNTRIES = ", ".join(f"'{line[:2]}'" for line in (files("tzdata") / "zoneinfo" / "iso3166.tab").read_text().splitlines() if line and not line.startswith("#"))
+_CODE = f"""CASE
   WHEN coalesce(trim(event_id), '') = '' OR coalesce(trim(transaction_id), '') = '' OR coalesce(trim(customer_id), '') = '' OR coalesce(trim(merchant_id), '') = '' OR coalesce(trim(device_id), '') = ''
     OR greatest(length(event_id), length(transaction_id), length(customer_id), length(merchant_id), length(device_id)) > 128 THEN 'MISSING_REQUIRED_FIELD'
   WHEN NOT coalesce(amount_minor BETWEEN 1 AND 1000000000000, false) THEN 'INVALID_AMOUNT'
   WHEN NOT coalesce(currency = 'EUR', false) THEN 'INVALID_CURRENCY'
-  WHEN NOT coalesce(regexp_matches(country, '^[A-Z]{2}$'), false) THEN 'INVALID_COUNTRY'
+  WHEN NOT coalesce(country IN ({_COUNTRIES}), false) THEN 'INVALID_COUNTRY'
   WHEN NOT coalesce(status IN ('APPROVED', 'DECLINED'), false) THEN 'INVALID_STATUS'
   WHEN NOT coalesce(event_time > 0 AND event_time <= producer_time + 300000, false) THEN 'INVALID_EVENT_TIME' END"""
 
@@ -187,11 +192,20 @@ def validate_error_codes(spark, d):
     return validate.split_valid(table(spark, d, "payments"), validate.error_code(F.col("producer_time")))[1].select("source_partition", "source_offset", "error_code")
 
 
-@query(f"""SELECT source_topic || ':' || source_partition || ':' || source_offset AS error_id, error_code, CAST(-1 AS INTEGER) AS schema_id,
-  coalesce(base64(encode(left(event_id, 4096))), '') AS raw_payload, false AS payload_truncated, sha256(coalesce(event_id, '')) AS payload_sha256, CAST(coalesce(strlen(event_id), 0) AS BIGINT) AS payload_bytes
-FROM (SELECT *, {_CODE} AS error_code FROM payments) WHERE error_code IS NOT NULL""")
+_PAYLOAD = "'\\x00\\x00\\x00\\x00\\x07'::BLOB || encode(repeat(event_id || coalesce(device_id, ''), 1 + source_offset % 400))"
+
+
+def _wired(spark, d):
+    """Payments with a payload in the framing of schema 7: of some hundred bytes to several thousand, null without an event_id."""
+    said = F.expr("repeat(concat(event_id, coalesce(device_id, '')), cast(1 + source_offset % 400 as int))")
+    return table(spark, d, "payments").withColumn("payload", F.concat(F.unhex(F.lit("0000000007")), F.encode(said, "utf-8")))
+
+
+@query(f"""SELECT source_topic || ':' || source_partition || ':' || source_offset AS error_id, error_code, CASE WHEN p IS NULL THEN -1 ELSE 7 END AS schema_id, coalesce(base64(p[1:4096]), '') AS raw_payload,
+  coalesce(octet_length(p) > 4096, false) AS payload_truncated, coalesce(sha256(p), sha256('')) AS payload_sha256, CAST(coalesce(octet_length(p), 0) AS BIGINT) AS payload_bytes
+FROM (SELECT *, {_PAYLOAD} AS p, {_CODE} AS error_code FROM payments) WHERE error_code IS NOT NULL""")
 def dlq_rows(spark, d):
-    bad = validate.split_valid(table(spark, d, "payments").withColumn("payload", F.encode("event_id", "utf-8")), validate.error_code(F.col("producer_time")))[1]
+    bad = validate.split_valid(_wired(spark, d), validate.error_code(F.col("producer_time")))[1]
     return validate.dead_letters(bad, mode="capture", observed_at=F.lit(ANCHOR_MS)).select("error_id", "error_code", "schema_id", "raw_payload", "payload_truncated", "payload_sha256", "payload_bytes")
 
 
@@ -250,12 +264,12 @@ def identity_conflicts_of_devices(spark, d):
     return identity_conflicts.conflicts(identity_conflicts.first_of_each(p, "device_id", _AT), "device_id")
 
 
-@query("""SELECT source_topic, source_partition, source_offset, event_id IS NULL AS value_is_null, base64(encode(event_id)) AS payload_base64, strlen(event_id) AS payload_bytes, sha256(event_id) AS payload_sha256,
-  '[{"key":"writer","is_null":false,"value_base64":"' || base64(encode(status)) || '"}]' AS headers_json FROM payments WHERE event_id IS NOT NULL AND status IS NOT NULL""")
+@query("""SELECT source_topic, source_partition, source_offset, customer_id IS NULL AS key_is_null, event_id IS NULL AS value_is_null, coalesce(base64(encode(customer_id)), '') AS key_base64, coalesce(base64(encode(event_id)), '') AS payload_base64,
+  CAST(coalesce(strlen(event_id), 0) AS BIGINT) AS payload_bytes, sha256(coalesce(event_id, '')) AS payload_sha256,
+  '[{"key":"writer","is_null":' || CASE WHEN status IS NULL THEN 'true' ELSE 'false' END || ',"value_base64":"' || coalesce(base64(encode(status)), '') || '"}]' AS headers_json FROM payments""")
 def archive_rows(spark, d):
-    p = table(spark, d, "payments").where(F.col("event_id").isNotNull() & F.col("status").isNotNull())
-    wire = p.select("source_topic", "source_partition", "source_offset", "source_timestamp", F.lit("CreateTime").alias("timestamp_type"), F.encode("customer_id", "utf-8").alias("key"), F.encode("event_id", "utf-8").alias("payload"), F.array(F.struct(F.lit("writer").alias("key"), F.encode("status", "utf-8").alias("value"))).alias("headers"))
-    return validate.archive_rows(wire).select("source_topic", "source_partition", "source_offset", "value_is_null", "payload_base64", "payload_bytes", "payload_sha256", "headers_json")
+    wire = table(spark, d, "payments").select("source_topic", "source_partition", "source_offset", "source_timestamp", F.lit("CreateTime").alias("timestamp_type"), F.encode("customer_id", "utf-8").alias("key"), F.encode("event_id", "utf-8").alias("payload"), F.array(F.struct(F.lit("writer").alias("key"), F.encode("status", "utf-8").alias("value"))).alias("headers"))
+    return validate.archive_rows(wire).drop("source_timestamp", "timestamp_type")
 
 
 @query("""WITH a AS (
@@ -309,9 +323,10 @@ def unresolved_inputs(spark, d):
     return _states(spark, d).where("state = 'UNRESOLVED'").select("event_id")
 
 
-@query("SELECT DISTINCT event_id FROM evaluations WHERE event_id IS NOT NULL AND event_id NOT IN (SELECT event_id FROM payments WHERE event_id IS NOT NULL)")
+@query(f"SELECT DISTINCT event_id FROM evaluations WHERE event_id IS NOT NULL AND event_id NOT IN (SELECT event_id FROM (SELECT *, {_CODE} AS code FROM payments) WHERE event_id IS NOT NULL AND code IS NULL)")
 def unexpected_outcomes(spark, d):
-    return reconcile.unexpected(table(spark, d, "evaluations"), table(spark, d, "payments"))
+    """Evaluations of events that never came in as a valid payment."""
+    return reconcile.unexpected(table(spark, d, "evaluations"), _tagged(spark, d).where(F.col("error_code").isNull()))
 
 
 @query("""WITH p AS (SELECT event_id, min(amount_minor) AS a FROM payments WHERE event_id IS NOT NULL GROUP BY 1), e AS (SELECT event_id, min(amount_minor) AS a FROM evaluations WHERE event_id IS NOT NULL GROUP BY 1)
@@ -382,36 +397,46 @@ def decisions_summary(spark, d):
     return _summary(spark, d).select("evaluation_id", "customer_id", "event_time", "transaction_id", "event_id", "amount_minor", "risk_score", "decision", F.array_join("matched_rules", ",").alias("matched_rules"), "processed_at")
 
 
-@query("SELECT transaction_id, max(source_offset) AS source_offset FROM evaluations GROUP BY 1")
+@query("""SELECT transaction_id, source_offset, decision, evaluation_id FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY source_offset DESC, decision DESC NULLS LAST, evaluation_id DESC NULLS LAST) AS rn FROM evaluations WHERE transaction_id IS NOT NULL) WHERE rn = 1""")
 def latest_wins_decisions(spark, d):
-    return store.latest_wins(_evals(spark, d).where(F.col("transaction_id").isNotNull()), "transaction_id", "source_offset", "source_offset", "decision").select("transaction_id", "source_offset")
+    return store.latest_wins(_evals(spark, d).where(F.col("transaction_id").isNotNull()), "transaction_id", "source_offset", "source_offset", "decision", "evaluation_id")
 
 
-@query("""SELECT source_topic, source_partition, source_offset, max(observed_at) AS observed_at FROM (
-  SELECT 'payments.late' AS source_topic, CAST(observed_at % 3 AS INTEGER) AS source_partition, observed_at // 1000 AS source_offset, observed_at FROM late_events WHERE observed_at IS NOT NULL) GROUP BY 1, 2, 3""")
+@query("""SELECT source_topic, source_partition, source_offset, observed_at, customer_id, lateness_ms FROM (
+  SELECT *, row_number() OVER (PARTITION BY source_topic, source_partition, source_offset ORDER BY observed_at DESC, customer_id DESC NULLS LAST, lateness_ms DESC NULLS LAST) AS rn FROM (
+    SELECT 'payments.late' AS source_topic, CAST(observed_at % 3 AS INTEGER) AS source_partition, observed_at // 3600000 AS source_offset, observed_at, customer_id, lateness_ms FROM late_events WHERE observed_at IS NOT NULL)) WHERE rn = 1""")
 def rejections_latest(spark, d):
-    r = table(spark, d, "late_events").where(F.col("observed_at").isNotNull()).select(F.lit("payments.late").alias("source_topic"), (F.col("observed_at") % 3).cast("int").alias("source_partition"), F.floor(F.col("observed_at") / 1000).alias("source_offset"), "observed_at")
+    r = table(spark, d, "late_events").where(F.col("observed_at").isNotNull()).select(F.lit("payments.late").alias("source_topic"), (F.col("observed_at") % 3).cast("int").alias("source_partition"), F.expr("observed_at div 3600000").alias("source_offset"), "observed_at", "customer_id", "lateness_ms")
     return store.rejections_latest(r)
 
 
-@query("""SELECT source_partition, source_offset, CASE
-  WHEN NOT coalesce(decision IN ('APPROVE', 'REVIEW', 'REJECT'), false) THEN 'DECISION' WHEN NOT coalesce(risk_score BETWEEN 0 AND 100, false) THEN 'SCORE' WHEN NOT coalesce(processed_at > 0, false) THEN 'PROCESSED_AT'
-  WHEN NOT coalesce(regexp_matches(evaluation_id, '^eval_[0-9a-f]{64}$'), false) THEN 'IDENTITY_FORM'
-  WHEN NOT coalesce(evaluation_id = 'eval_' || sha256('["' || event_id || '","' || engine_version || '","' || policy_id || '",' || policy_version || ']'), false) THEN 'IDENTITY' END AS row_error FROM evaluations""")
+_STORED_ID = "CASE WHEN coalesce(evaluation_id, '') = '' THEN 'eval_' || sha256('[\"' || event_id || '\",\"legacy\",\"dynamic\",0]') ELSE evaluation_id END"
+
+
+@query(f"""SELECT source_partition, source_offset, {_STORED_ID} AS stored_id, CASE
+  WHEN coalesce(trim(decision_id), '') = '' OR coalesce(trim(event_id), '') = '' OR coalesce(trim(transaction_id), '') = '' OR coalesce(trim(customer_id), '') = '' OR greatest(length(decision_id), length(event_id), length(transaction_id), length(customer_id)) > 256 THEN 'NAMES'
+  WHEN NOT coalesce(risk_score BETWEEN 0 AND 100, false) THEN 'SCORE' WHEN NOT coalesce(decision IN ('APPROVE', 'REVIEW', 'REJECT'), false) THEN 'DECISION' WHEN NOT coalesce(currency = 'EUR', false) THEN 'CURRENCY'
+  WHEN NOT coalesce(amount_minor BETWEEN 1 AND 1000000000000, false) THEN 'AMOUNT' WHEN NOT coalesce(policy_version >= 0, false) THEN 'POLICY_VERSION' WHEN NOT coalesce(event_time > 0, false) THEN 'EVENT_TIME' WHEN NOT coalesce(processed_at > 0, false) THEN 'PROCESSED_AT'
+  WHEN coalesce(evaluation_id, '') <> '' AND NOT coalesce(evaluation_id = 'eval_' || sha256('["' || event_id || '","' || engine_version || '","' || policy_id || '",' || policy_version || ']'), false) THEN 'IDENTITY' END AS row_error FROM evaluations""")
 def storable_rows(spark, d):
-    return store.storable(_evals(spark, d)).select("source_partition", "source_offset", "row_error")
+    return store.storable(_evals(spark, d)).select("source_partition", "source_offset", "stored_id", "row_error")
 
 
 # --- reads -------------------------------------------------------------------------------------
+# the shorter windows end where even the smallest tables have rows after their beginning
+ANCHORS = {"15m": 1_748_390_400_000, "1h": 1_748_476_800_000, "24h": ANCHOR_MS}
+
+
 def _window_queries(window: str) -> None:
-    b, where = overview.bucket_ms(window), f"processed_at >= {ANCHOR_MS - overview.WINDOWS[window] * 1000}"
+    anchor = ANCHORS[window]
+    b, where = overview.bucket_ms(window), f"processed_at >= {anchor - overview.WINDOWS[window] * 1000}"
     counts = "count(*) FILTER (decision = 'APPROVE') AS approved, count(*) FILTER (decision = 'REVIEW') AS review, count(*) FILTER (decision = 'REJECT') AS rejected"
-    QUERIES[f"overview_totals_{window}"] = lambda s, d: overview.totals(overview.within(_summary(s, d), ANCHOR_MS, window))
+    QUERIES[f"overview_totals_{window}"] = lambda s, d: overview.totals(overview.within(_summary(s, d), anchor, window))
     SQL[f"overview_totals_{window}"] = f"WITH {_SUMMARY} SELECT count(*) AS transactions, CAST(coalesce(sum(amount_minor), 0) AS BIGINT) AS amount_minor, {counts}, CAST(coalesce(quantile_disc(greatest(0, processed_at - event_time), 0.95), 0) AS BIGINT) AS finalization_p95 FROM summary WHERE {where}"
-    QUERIES[f"overview_series_{window}"] = lambda s, d: overview.series(overview.within(_summary(s, d), ANCHOR_MS, window), window)
+    QUERIES[f"overview_series_{window}"] = lambda s, d: overview.series(overview.within(_summary(s, d), anchor, window), window)
     SQL[f"overview_series_{window}"] = f"WITH {_SUMMARY} SELECT processed_at // {b} * {b} AS time, {counts} FROM summary WHERE {where} GROUP BY 1"
-    QUERIES[f"overview_series_gapfilled_{window}"] = lambda s, d: overview.series_filled(overview.within(_summary(s, d), ANCHOR_MS, window), window, ANCHOR_MS)
-    last = ANCHOR_MS // b * b
+    QUERIES[f"overview_series_gapfilled_{window}"] = lambda s, d: overview.series_filled(overview.within(_summary(s, d), anchor, window), window, anchor)
+    last = anchor // b * b
     SQL[f"overview_series_gapfilled_{window}"] = f"""WITH {_SUMMARY}, s AS (SELECT processed_at // {b} * {b} AS time, {counts} FROM summary WHERE {where} GROUP BY 1)
 SELECT time, coalesce(approved, 0) AS approved, coalesce(review, 0) AS review, coalesce(rejected, 0) AS rejected FROM (SELECT unnest(range({last - 30 * b}, {last + 1}, {b})) AS time) LEFT JOIN s USING (time)"""
 
@@ -443,7 +468,7 @@ def customers_filtered(spark, d):
 
 @query(f"WITH {_SUMMARY} SELECT evaluation_id, event_time, transaction_id, decision, amount_minor FROM summary WHERE customer_id = 'cus-0000001' AND (event_time < 1747000000000 OR (event_time = 1747000000000 AND evaluation_id < 'eval_8')) ORDER BY event_time DESC, evaluation_id DESC LIMIT 21")
 def timeline_page(spark, d):
-    return overview.timeline_page(store.decisions_current(_evals(spark, d)), "cus-0000001", (1_747_000_000_000, "eval_8")).select("evaluation_id", "event_time", "transaction_id", "decision", "amount_minor")
+    return overview.timeline_page(store.decisions_of(_evals(spark, d), "cus-0000001"), "cus-0000001", (1_747_000_000_000, "eval_8")).select("evaluation_id", "event_time", "transaction_id", "decision", "amount_minor")
 
 
 @query(f"WITH {_SUMMARY} SELECT customer_id, {_COUNTS} FROM summary GROUP BY 1")
@@ -472,18 +497,26 @@ def rule_updates_latest(spark, d):
     return policy.latest_rules(table(spark, d, "risk_rules")).select("policy_id", "rule_id", "version", "policy_version", "score", "threshold", "source_offset")
 
 
-@query("SELECT source_offset, 'INVALID_RULE_CONFIGURATION' AS error_code FROM risk_rules WHERE currency IS NULL OR currency <> 'EUR' OR (type <> 'NEW_DEVICE_HIGH_AMOUNT' AND window_seconds > 3600)")
+_KNOWN = ", ".join(f"'{t}'" for t in ("TX_COUNT_VELOCITY", "AMOUNT_VELOCITY", "UNIQUE_DEVICES", "NEW_DEVICE_HIGH_AMOUNT", "DECLINE_THEN_APPROVAL"))
+
+
+@query(f"""SELECT source_offset, error_code FROM (SELECT source_offset, CASE
+  WHEN version IS NULL OR score IS NULL OR window_seconds IS NULL OR threshold IS NULL OR updated_at IS NULL THEN 'INVALID_RULE_CONFIGURATION' WHEN NOT coalesce(type IN ({_KNOWN}), false) THEN 'UNKNOWN_RULE_TYPE'
+  WHEN NOT coalesce(regexp_full_match(rule_id, 'R00[1-5]') AND version >= 1 AND score BETWEEN 0 AND 100 AND window_seconds BETWEEN 1 AND CASE WHEN type = 'NEW_DEVICE_HIGH_AMOUNT' THEN 2592000 ELSE 3600 END
+    AND threshold >= 0 AND enabled IS NOT NULL AND currency = 'EUR' AND updated_at >= 0, false) THEN 'INVALID_RULE_CONFIGURATION' END AS error_code FROM risk_rules) WHERE error_code IS NOT NULL""")
 def rules_invalid(spark, d):
     r = table(spark, d, "risk_rules").withColumn("error_code", policy.rule_error_column())
     return r.where(F.col("error_code").isNotNull()).select("source_offset", "error_code")
 
 
-@query("""WITH p AS (SELECT event_id, 'shop-eur-main' AS policy_id, min(source_timestamp) AS at FROM payments WHERE event_id IS NOT NULL GROUP BY 1)
-SELECT p.event_id, r.rule_id, max(r.version) AS version FROM p JOIN risk_rules r ON r.policy_id = p.policy_id AND greatest(r.updated_at, r.source_timestamp) <= p.at GROUP BY 1, 2""")
+@query("""WITH e AS (SELECT event_id, min(policy_id) AS policy_id FROM evaluations WHERE policy_id <> 'dynamic' GROUP BY 1), p AS (SELECT event_id, min(source_timestamp) AS at FROM payments WHERE event_id IS NOT NULL GROUP BY 1)
+SELECT p.event_id, r.policy_id, r.rule_id, max(r.version) AS version FROM p JOIN e USING (event_id) JOIN risk_rules r ON r.policy_id = e.policy_id AND greatest(r.updated_at, r.source_timestamp) <= p.at GROUP BY 1, 2, 3""")
 def policy_asof_admission(spark, d):
-    rects = bitemporal.version_rectangles(table(spark, d, "risk_rules"), ["policy_id", "rule_id"], "version", F.col("updated_at"), F.col("source_timestamp"))
-    p = table(spark, d, "payments").where(F.col("event_id").isNotNull()).groupBy("event_id").agg(F.min("source_timestamp").alias("at")).withColumn("policy_id", F.lit("shop-eur-main"))
-    return bitemporal.locate(p, rects, ["policy_id"], "at", "at").select("event_id", "rule_id", "version")
+    """The rule versions in force when a payment came in, of the policy it was scored by."""
+    rects = materialize(bitemporal.version_rectangles(table(spark, d, "risk_rules"), ["policy_id", "rule_id"], "version", F.col("updated_at"), F.col("source_timestamp")), "rectangles")
+    of = _evals(spark, d).where("policy_id <> 'dynamic'").groupBy("event_id").agg(F.min("policy_id").alias("policy_id"))
+    p = table(spark, d, "payments").where(F.col("event_id").isNotNull()).groupBy("event_id").agg(F.min("source_timestamp").alias("at")).join(of, "event_id")
+    return bitemporal.locate(p, rects, ["policy_id"], "at", "at").select("event_id", "policy_id", "rule_id", "version")
 
 
 # --- reports over both sides --------------------------------------------------------------------

@@ -21,13 +21,30 @@ class GeneratorConfig:
     span_ms: int = 86_400_000
     weights: tuple[int, ...] = (70, 10, 10, 10)
     hot_percent: int = 0  # share of the first customer
+    late_percent: int = 0  # share of payments that arrive three to six hours after they happened
+    shuffled_ms: int = 0  # arrival differs from the order of event times by up to so much
+    malformed_percent: int = 0  # share of payments that lack a field or have one out of range
 
     def __post_init__(self) -> None:
-        good = self.customers >= 1 and self.per_customer >= 1 and 0 <= self.retry_percent <= 50 and 0 <= self.hot_percent <= 90 and self.span_ms > 0 and self.start_ms > 0
+        good = 1 <= self.customers <= 10_000_000 and 1 <= self.per_customer <= 100_000 and 0 <= self.retry_percent <= 50 and 0 <= self.hot_percent <= 90 and self.span_ms > 0 and self.start_ms > 0
+        good = good and all(0 <= x <= 100 for x in (self.late_percent, self.malformed_percent)) and self.shuffled_ms >= 0
         if not good or len(self.weights) != len(PROFILES) or min(self.weights) < 0 or sum(self.weights) != 100:
             raise ValueError("invalid generator settings")
 
 
+# Loads to test with, by name
+SCENARIOS = {
+    "steady": GeneratorConfig(retry_percent=0, weights=(100, 0, 0, 0)),
+    "burst": GeneratorConfig(weights=(0, 100, 0, 0)),
+    "hot-key": GeneratorConfig(hot_percent=33),
+    "high-cardinality": GeneratorConfig(customers=2_000, per_customer=1),
+    "duplicates": GeneratorConfig(retry_percent=50),
+    "out-of-order": GeneratorConfig(shuffled_ms=600_000),
+    "late": GeneratorConfig(late_percent=20),
+    "malformed": GeneratorConfig(malformed_percent=20),
+}
+
+
 def payments(spark: SparkSession, c: GeneratorConfig) -> DataFrame:
     """Deliveries: transactions with coordinates; a retry has its payment's event_id at a later offset."""
     rows = c.customers * c.per_customer
@@ -50,6 +67,13 @@ def payments(spark: SparkSession, c: GeneratorConfig) -> DataFrame:
         F.format_string("merchant-%d", draw("m", 50)).alias("merchant_id"), (draw("a", 120_000) + 1).alias("amount_minor"), F.lit("EUR").alias("currency"), F.lit("IT").alias("country"),
         F.format_string("dev-%d-%d", "c", device).alias("device_id"), F.when(draw("s", 10) < 2, "DECLINED").otherwise("APPROVED").alias("status"), time.alias("event_time"), (time + draw("p", 2_000)).alias("producer_time"),
     )
+    if c.late_percent or c.shuffled_ms:
+        held = draw("j", c.shuffled_ms + 1) + F.when(draw("late", 100) < c.late_percent, 10_800_000 + draw("l", 10_800_000)).otherwise(F.lit(0))
+        tx = tx.withColumn("producer_time", F.col("producer_time") + held)
+    if c.malformed_percent:
+        broken, kind = draw("bad", 100) < c.malformed_percent, draw("kind", 4)
+        for k, (f, v) in enumerate((("customer_id", F.lit(" ")), ("amount_minor", F.lit(0).cast("bigint")), ("currency", F.lit("eur")), ("country", F.lit("XX")))):
+            tx = tx.withColumn(f, F.when(broken & (kind == k), v).otherwise(F.col(f)))
     copies = tx.withColumn("_copy", F.explode(F.when(draw("r", 100) < c.retry_percent, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     return copies.select(
         *[x for x in tx.columns if x != "id"],
@@ -57,10 +81,32 @@ def payments(spark: SparkSession, c: GeneratorConfig) -> DataFrame:
     )
 
 
-def stories(spark: SparkSession, path: str, end_ms: int) -> DataFrame:
+_STORY = "name string, label string, payments array<struct<seconds:bigint,amount_minor:bigint,device:string,merchant:string,status:string>>"
+
+
+def _story(name: str, label: str, *payments: tuple[int, int, str, str]) -> tuple:
+    return name, label, [(s, a, d, "merchant-1", status) for s, a, d, status in payments]
+
+
+OK, NO = "APPROVED", "DECLINED"
+STORIES = (
+    _story("everyday", "LEGITIMATE", (-172_800, 1_250, "phone", OK), (-86_400, 3_475, "phone", OK), (0, 2_160, "phone", OK)),
+    _story("known-device-large", "LEGITIMATE", (-7_200, 2_500, "phone", OK), (0, 96_000, "phone", OK)),
+    _story("new-phone", "LEGITIMATE", (-7_200, 2_500, "phone", OK), (0, 96_000, "new-phone", OK)),
+    _story("account-takeover", "SUSPICIOUS", *[(-108 + 18 * i, 91_000, f"bot-{i}", NO if i < 5 else OK) for i in range(7)]),
+    _story("card-testing", "SUSPICIOUS", *[(-300 + 60 * i, 100, "laptop", NO if i < 5 else OK) for i in range(6)]),
+    _story("multiple-devices", "SUSPICIOUS", *[(-360 + 120 * i, 92_000, f"device-{i}", OK) for i in range(4)]),
+    _story("small-payment-burst", "SUSPICIOUS", *[(-90 + 15 * i, 400, "phone", OK) for i in range(7)]),
+    _story("stolen-trusted-device", "SUSPICIOUS", (-7_200, 1_900, "phone", OK), (0, 64_000, "phone", OK)),
+    _story("legitimate-retry", "LEGITIMATE", (-40, 5_900, "phone", NO), (-20, 5_900, "phone", NO), (0, 5_900, "phone", OK)),
+)
+
+
+def stories(spark: SparkSession, path: str | None, end_ms: int) -> DataFrame:
     """Authored stories (name, label, payments[seconds, amount_minor, device, merchant, status]) as
-    payments before end_ms; `target` marks the last one of each, which the label is about."""
-    s = spark.read.option("multiLine", True).json(path)
+    payments before end_ms; `target` marks the last one of each, which the label is about. Those of
+    this module if there is no path to a JSON file of others."""
+    s = spark.read.option("multiLine", True).json(path) if path else spark.createDataFrame(list(STORIES), _STORY)
     p = s.select("name", "label", F.size("payments").alias("_n"), F.posexplode("payments").alias("i", "p"))
     t = (F.lit(end_ms) + F.col("p.seconds") * 1000).cast("bigint")
     return p.select(

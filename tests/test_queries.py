@@ -3,11 +3,11 @@
 import pytest
 
 from compare import compare, duck
-from ledgerlens.plans import problems, reference
+from ledgerlens.plans import checks, problems, reference
 
 SF = "/root/testdata/sf0.001"
-ALL = {**reference.QUERIES, **problems.QUERIES}
-SQL = {**reference.SQL, **problems.SQL}
+ALL = {**reference.QUERIES, **checks.QUERIES, **problems.QUERIES}
+SQL = {**reference.SQL, **checks.SQL, **problems.SQL}
 
 
 @pytest.fixture(scope="module")
