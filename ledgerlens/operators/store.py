@@ -19,14 +19,14 @@ NARROW = ("transaction_id", "event_id", "amount_minor", "risk_score", "decision"
 
 
 def content_hash() -> Column:
-    """What a delivery says, without where and when it was delivered, as a 256-bit hash: wide texts
-    (snapshot, evidence) are never exchanged as themselves. Every field is written with its length,
-    or as null, so that different contents are different texts."""
-    parts = []
-    for c in CONTENT:
-        text = F.to_json(c) if c in ("matched_rules", "reason_codes") else F.col(c).cast("string")
-        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
-    return F.sha2(F.concat(*parts), 256)
+    """What a delivery says, without where and when it was delivered, as 128 bits: wide texts (snapshot,
+    evidence) are never exchanged as themselves, and only deliveries of one evaluation are held against
+    each other. Which fields are null is hashed too, as the hash function passes over nulls."""
+    fields = [F.to_json(c) if c in ("matched_rules", "reason_codes") else F.col(c) for c in CONTENT]
+    nulls = F.lit(0)
+    for i, c in enumerate(CONTENT):
+        nulls = nulls + F.when(F.col(c).isNull(), 1 << i).otherwise(0)
+    return F.struct(F.xxhash64(nulls, *fields), F.xxhash64(*reversed(fields), nulls))
 
 
 def _identified(deliveries: DataFrame) -> DataFrame:
@@ -83,11 +83,12 @@ def _unambiguous(stored: DataFrame, foreign: DataFrame | None = None) -> DataFra
     that row is the evaluation's only one, so nothing is left to be reduced. foreign: transactions
     known to be ambiguous by other rows. Rows without a transaction are left out."""
     many = stored.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("transaction_id")
-    torn = stored.join(if_small(_conflicts(stored)), "evaluation_id", "left_semi").select("transaction_id")
+    torn = stored.select("evaluation_id", "transaction_id").join(_conflicts(stored), "evaluation_id", "left_semi").select("transaction_id")
     bad = many.unionByName(torn)
     if foreign is not None:
         bad = bad.unionByName(foreign)
-    return stored.where(F.col("transaction_id").isNotNull()).join(if_small(bad.distinct()), "transaction_id", "left_anti")
+    bad = materialize(bad.distinct(), "ambiguous")
+    return stored.where(F.col("transaction_id").isNotNull()).join(if_small(bad), "transaction_id", "left_anti")
 
 
 def decisions_current(deliveries: DataFrame, columns: tuple[str, ...] = WIDE) -> DataFrame:

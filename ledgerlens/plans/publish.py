@@ -10,8 +10,10 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from ledgerlens.operators import overview, reconcile, store
 from ledgerlens.session import delete, exists
 
 CONTENT_TTL_MS, MARKER_TTL_MS, MAX_AGE_MS, SKEW_MS = 600_000, 86_400_000, 120_000, 5_000
+WRITERS = 6
 _MARKER = "generation string, started_at bigint, status string, assessments bigint, deliveries bigint, source_offsets string, build_ms bigint, reason string"
 _SERVED = ("decision_id", "event_id", "transaction_id", "customer_id", "amount_minor", "currency", "risk_score", "decision", "matched_rules", "reason_codes", "rules_fingerprint", "event_time", "processed_at", "source_partition", "source_offset", "source_topic", "engine_version", "policy_id", "policy_version", "policy_snapshot", "rule_evidence", "input_sha256")
 
@@ -59,14 +62,19 @@ def publish(deliveries: DataFrame, root: str, started_ms: int, rejections: DataF
             raise Unavailable(f"{check.conflicts} conflicts, {ambiguous} ambiguous transactions, {rejected} quarantined")
         # one row per partition of the source
         offsets = json.dumps([[r.source_topic, r.source_partition, r.max_offset] for r in reconcile.source_offsets(rows).orderBy("source_topic", "source_partition").collect()])
-        overview.customers(rows).repartitionByRange("customer_id").sortWithinPartitions("customer_id").write.parquet(f"{root}/customers/generation={generation}")
+        derived = [lambda: overview.customers(rows).repartitionByRange("customer_id").sortWithinPartitions("customer_id").write.parquet(f"{root}/customers/generation={generation}")]
         for window in overview.WINDOWS:
             new = overview.within(rows, started_ms, window) if recent else rows
             at = f"window={window}/generation={generation}"
-            overview.totals(new).coalesce(1).write.parquet(f"{root}/totals/{at}")
-            overview.series(new, window).coalesce(1).write.parquet(f"{root}/series/{at}")
-            overview.rule_matches(new).coalesce(1).write.parquet(f"{root}/rules/{at}")
-            overview.latest(new.drop("policy_snapshot", "rule_evidence")).coalesce(1).write.parquet(f"{root}/latest/{at}")
+            derived += [
+                lambda new=new, at=at: overview.totals(new).coalesce(1).write.parquet(f"{root}/totals/{at}"),
+                lambda new=new, at=at, window=window: overview.series(new, window).coalesce(1).write.parquet(f"{root}/series/{at}"),
+                lambda new=new, at=at: overview.rule_matches(new).coalesce(1).write.parquet(f"{root}/rules/{at}"),
+                lambda new=new, at=at: overview.latest(new.drop("policy_snapshot", "rule_evidence")).coalesce(1).write.parquet(f"{root}/latest/{at}"),
+            ]
+        with ThreadPoolExecutor(WRITERS) as pool:  # small jobs side by side; all have ended before the marker is written
+            for done in [pool.submit(inheritable_thread_target(spark)(d)) for d in derived]:
+                done.result()
     except Unavailable as e:
         status, reason = "BLOCKED", str(e)
     marker = [(generation, started_ms, status, n["assessments"], n["deliveries"], offsets, int((time.time() - began) * 1000), reason)]
