@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.identity import canonical, sha256_text
 
+DYNAMIC = "dynamic"  # the id of rules that are updated one by one; its version is 0
 HISTORY_S, DEVICE_S = 3_600, 2_592_000
 # The kinds of rules and the comparison each makes
 TYPES = {
@@ -91,7 +92,7 @@ class Policy:
         object.__setattr__(self, "rules", tuple(sorted(self.rules, key=lambda r: r.rule_id)))
         good = (
             re.fullmatch(r"[a-zA-Z0-9._-]{1,128}", self.policy_id)
-            and self.version >= 1
+            and (self.version >= 1 or (self.policy_id == DYNAMIC and self.version == 0))
             and len({r.rule_id for r in self.rules}) == len(self.rules)
             and 1 <= self.review < self.reject <= 100
             and all(rule_error(asdict(r)) is None for r in self.rules)
@@ -112,6 +113,19 @@ class Policy:
         return sha256_text(f"{self.review}:{self.reject}:" + canonical({r.rule_id: canonical(asdict(r)) for r in self.rules}))
 
 
+def updated(base: Policy, log: DataFrame) -> Policy:
+    """The rules of base with the updates of a log: of every rule the valid row with the highest version,
+    if that is above the one of base. A handful of rows reach the driver."""
+    good = log.where(rule_error_column().isNull()).select("rule_id", "version", "type", "enabled", "score", "window_seconds", "threshold", "currency", "updated_at")
+    rest = F.struct(*[c for c in good.columns if c != "rule_id"])  # version first; of equal versions the greatest row
+    newest = good.groupBy("rule_id").agg(F.max(rest).alias("r")).select("rule_id", "r.*").collect()
+    rules = {r.rule_id: r for r in base.rules}
+    for r in newest:
+        if r.rule_id not in rules or r.version > rules[r.rule_id].version:
+            rules[r.rule_id] = Rule(**r.asDict())
+    return Policy(DYNAMIC, 0, tuple(rules.values()), base.review, base.reject)
+
+
 RULES = 5
 
 

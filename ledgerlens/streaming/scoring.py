@@ -9,11 +9,11 @@ operators give the same observations; tests hold them against each other.
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict
 from typing import Any
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,6 +25,8 @@ from ledgerlens.operators.identity_conflicts import IdentityConflict
 OUT_OF_ORDER_MS = 10_000
 DEDUP_TTL_MS = 86_400_000
 MAX_PENDING, MAX_HISTORY, MAX_DEVICES = 100_000, 100_000, 10_000
+MAX_TOTALS, MAX_POLICIES = 32, 32
+HOUR_MS = 3_600_000
 _PAYMENT = "event_id string, transaction_id string, customer_id string, merchant_id string, amount_minor bigint, currency string, country string, device_id string, status string, event_time bigint, producer_time bigint"
 _FIELDS = [f.split()[0] for f in _PAYMENT.split(", ")]
 SCORED = _PAYMENT + ", kind string, watermark bigint, lateness_ms bigint, risk_score int, decision string, matched_rules array<string>, observed array<bigint>, reason_codes array<string>, rules_fingerprint string, processed_at bigint, policy_snapshot string, policy_id string, policy_version bigint"
@@ -47,11 +49,12 @@ def observe(rule: Rule, tx: dict[str, Any], history: Sequence[dict[str, Any]], l
     return sum(h["status"] == "DECLINED" for h in near), tx["status"] == "APPROVED"
 
 
-def evidence(policy: Policy, tx: dict[str, Any], history: Sequence[dict[str, Any]], last_seen: int | None) -> list[Row]:
-    """One entry per rule in the schema of schemas.EVIDENCE, as operators.score makes them."""
+def judged(policy: Policy, seen: Callable[[Rule], tuple[int, bool]]) -> list[Row]:
+    """One entry per rule in the schema of schemas.EVIDENCE, as operators.score makes them; seen gives
+    what a rule observes and whether it applies."""
     out = []
     for r in policy.rules:
-        o, eligible = observe(r, tx, history, last_seen)
+        o, eligible = seen(r)
         matched = r.enabled and eligible and (o > r.threshold if TYPES[r.type] == ">" else o >= r.threshold)
         out.append(Row(rule_id=r.rule_id, rule_version=r.version, type=r.type, enabled=r.enabled, window_seconds=r.window_seconds, threshold=r.threshold, observed=o, eligible=eligible, matched=matched, score_contribution=r.score if matched else 0))
     return out
@@ -62,24 +65,48 @@ def _decided(policy: Policy, entries: Sequence[Row]) -> dict[str, Any]:
     return {"risk_score": score, "decision": "REJECT" if score >= policy.reject else "REVIEW" if score >= policy.review else "APPROVE", "matched_rules": [e.rule_id for e in entries if e.matched], "observed": [e.observed for e in entries]}
 
 
+def evidence(policy: Policy, tx: dict[str, Any], history: Sequence[dict[str, Any]], last_seen: int | None) -> list[Row]:
+    return judged(policy, lambda r: observe(r, tx, history, last_seen))
+
+
 def decide(policy: Policy, tx: dict[str, Any], history: Sequence[dict[str, Any]], last_seen: int | None) -> dict[str, Any]:
     return _decided(policy, evidence(policy, tx, history, last_seen))
 
 
+def policy_text(policy: Policy) -> str:
+    """A policy as the text that waits with a payment; Policy.read makes it a policy again."""
+    return canonical({"policy_id": policy.policy_id, "version": policy.version, "review_threshold": policy.review, "reject_threshold": policy.reject, "rules": [asdict(r) for r in policy.rules]})
+
+
+def _key(rule: Rule) -> str:
+    """What of a rule its running totals depend on: rules of one kind, window and currency share them."""
+    return f"{rule.type}|{rule.window_seconds}|{rule.currency if rule.type == 'AMOUNT_VELOCITY' else ''}"
+
+
 class Customer(StatefulProcessor):
-    """State of a customer: payments waiting for the watermark by (time, place), earlier
-    payments within the longest window, when each device was last seen, and the last time that
-    was finalised. A payment at or before the watermark or that time is LATE and changes nothing. A payment waits with the policy in force when it was
-    admitted and is scored by it, though the query may have started again with another; so
-    history and devices are kept for the longest windows that any policy may have."""
+    """State of a customer: payments waiting for the watermark by (time, place), earlier payments
+    within the longest window, when each device was last seen, and the last time that was
+    finalised. A payment at or before the watermark or that time is LATE and changes nothing.
+
+    A payment waits with the policy in force when it was admitted (its column `policy`, else the
+    policy of the query) and is scored by it, though another may have come since.
+
+    Payments are finalised in the order of (time, event_id), so that the earlier ones are a log with
+    ascending numbers. Every kind of window has running totals and the number of the oldest payment
+    inside: a new payment is added at the end, what has left the window is taken off at the front,
+    each once. Totals of a window that a policy brings anew are built from the log. Devices last seen
+    within an hour are listed under it, and an hour's list is looked through once, when it expires. A
+    customer without payments and devices in any window leaves no state behind."""
 
     def __init__(self, policy: Policy):
-        self.text = canonical({"policy_id": policy.policy_id, "version": policy.version, "review_threshold": policy.review, "reject_threshold": policy.reject, "rules": [asdict(r) for r in policy.rules]})
+        self.text = policy_text(policy)
         self.policies: dict[str, tuple[Policy, dict[str, Any]]] = {}
         self.reach, self.device_reach = HISTORY_S * 1000, DEVICE_S * 1000
 
     def _policy(self, text: str) -> tuple[Policy, dict[str, Any]]:
         if text not in self.policies:
+            if len(self.policies) >= MAX_POLICIES:
+                self.policies.clear()
             p = Policy.read(text)
             self.policies[text] = p, {"rules_fingerprint": p.fingerprint(), "policy_snapshot": p.snapshot(), "policy_id": p.policy_id, "policy_version": p.version}
         return self.policies[text]
@@ -88,67 +115,174 @@ class Customer(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "t bigint, i int", _PAYMENT + ", policy string")
         self.counts = handle.getMapState("counts", "t bigint", "n int")
-        self.history = handle.getMapState("history", "t bigint, id string", "amount_minor bigint, currency string, device_id string, status string")
+        self.log = handle.getMapState("log", "i bigint", "t bigint, amount_minor bigint, currency string, device_id string, declined boolean")
+        self.totals = handle.getMapState("totals", "rule string", "head bigint, n bigint, amount bigint, declined bigint, devices bigint")
+        self.inside = handle.getMapState("inside", "rule string, device_id string", "n bigint")
         self.devices = handle.getMapState("devices", "device_id string", "t bigint")
-        self.finalised = handle.getValueState("finalised", "t bigint")
+        self.hours = handle.getMapState("hours", "hour bigint", "devices array<string>")
+        # pending, first and next number of the log, devices known, last time finalised, time of the next sweep
+        self.at = handle.getValueState("at", "pending bigint, first bigint, next bigint, devices bigint, finalised bigint, sweep bigint")
+
+    def _at(self) -> dict[str, int]:
+        names = ("pending", "first", "next", "devices", "finalised", "sweep")
+        return dict(zip(names, self.at.get() if self.at.exists() else (0, 0, 0, 0, -1, -1)))
 
     def _out(self, tx: dict[str, Any], **more: Any) -> Row:
         return Row(**{**dict.fromkeys(_SCORED), **tx, **more})
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        done = self.finalised.get()[0] if self.finalised.exists() else -1
-        frontier = max(watermark, done)
-        total = sum(v[0] for v in self.counts.values())
+        s = self._at()
+        frontier = max(timerValues.getCurrentWatermarkInMs(), s["finalised"])
+        admitted = 0
         for r in rows:
             tx = {f: r[f] for f in _FIELDS}
             t = tx["event_time"]
             if t <= frontier:
                 yield self._out(tx, kind="LATE", watermark=frontier, lateness_ms=frontier - t)
                 continue
-            total += 1
-            if total > MAX_PENDING:
+            admitted += 1
+            if s["pending"] + admitted > MAX_PENDING:
                 raise RuntimeError(f"more than {MAX_PENDING} payments of a customer wait")
             n = self.counts.getValue((t,))[0] if self.counts.containsKey((t,)) else 0
-            self.waiting.updateValue((t, n), (*(tx[f] for f in _FIELDS), self.text))
+            self.waiting.updateValue((t, n), (*(tx[f] for f in _FIELDS), r["policy"] or self.text))
             self.counts.updateValue((t,), (n + 1,))
             if not n:
                 self.handle.registerTimer(t)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        t = expiredTimerInfo.getExpiryTimeInMs()
-        if not self.counts.containsKey((t,)):
-            return
-        past = []
-        for k, v in list(self.history.iterator()):
-            if k[0] <= t - self.reach:
-                self.history.removeKey((k[0], k[1]))
+        if admitted:
+            s["pending"] += admitted
+            self.at.update(tuple(s.values()))
+
+    def _move(self, name: str, item: tuple, by: int, sums: list[int]) -> None:
+        """Adds (by 1) or takes off (by -1) a payment of the log; sums: n, amount, declined, devices."""
+        kind, _, currency = name.split("|")
+        if kind == "UNIQUE_DEVICES":
+            k = (name, item[3])
+            n = (self.inside.getValue(k)[0] if self.inside.containsKey(k) else 0) + by
+            if n:
+                self.inside.updateValue(k, (n,))
             else:
-                past.append({"event_time": k[0], "amount_minor": v[0], "currency": v[1], "device_id": v[2], "status": v[3]})
-        items = []
-        for i in range(self.counts.getValue((t,))[0]):
-            items.append(tuple(self.waiting.getValue((t, i))))
-            self.waiting.removeKey((t, i))
-        self.counts.removeKey((t,))
-        if len(past) + len(items) > MAX_HISTORY:
-            raise RuntimeError(f"more than {MAX_HISTORY} payments of a customer are in its windows")
-        for item in sorted(items, key=lambda x: x[0]):
-            tx, (policy, named) = dict(zip(_FIELDS, item)), self._policy(item[-1])
-            d = tx["device_id"]
-            seen = self.devices.getValue((d,))[0] if self.devices.containsKey((d,)) else None
-            entries = evidence(policy, tx, past, seen)
-            codes = [e.type for e in entries if e.matched]
-            yield self._out(tx, kind="DECISION", watermark=timerValues.getCurrentWatermarkInMs(), **_decided(policy, entries), reason_codes=codes, processed_at=int(time.time() * 1000), rule_evidence=entries, **named)
-            past.append(tx)
-            self.history.updateValue((t, tx["event_id"]), (tx["amount_minor"], tx["currency"], d, tx["status"]))
-            self.devices.updateValue((d,), (t,))
-        known = list(self.devices.iterator())
-        for k, v in known:
-            if v[0] <= t - self.device_reach:
-                self.devices.removeKey((k[0],))
-        if len(known) > MAX_DEVICES:
+                self.inside.removeKey(k)
+            sums[3] += (n == 1) if by > 0 else -(n == 0)
+            return
+        sums[0] += by
+        sums[2] += by * bool(item[4])
+        if item[2] == currency:
+            sums[1] += by * item[1]
+
+    def _window(self, name: str, t: int, s: dict[str, int]) -> list[int]:
+        """[head, n, amount, declined, devices] of the window that ends at t, before the payment there."""
+        edge = t - int(name.split("|")[1]) * 1000
+        if self.totals.containsKey((name,)):
+            head, *sums = self.totals.getValue((name,))
+        else:  # new with this policy
+            head, sums = s["next"], [0, 0, 0, 0]
+            while head > s["first"] and (item := tuple(self.log.getValue((head - 1,))))[0] > edge:
+                self._move(name, item, 1, sums)
+                head -= 1
+        while head < s["next"] and (item := tuple(self.log.getValue((head,))))[0] <= edge:
+            self._move(name, item, -1, sums)
+            head += 1
+        return [head, *sums]
+
+    def _drop(self, name: str) -> None:
+        self.totals.removeKey((name,))
+        for k in [k for k in self.inside.keys() if k[0] == name]:
+            self.inside.removeKey((k[0], k[1]))
+
+    def _observe(self, rule: Rule, tx: dict[str, Any], window: list[int], last_seen: int | None) -> tuple[int, bool]:
+        _, n, amount, declined, devices = window
+        if rule.type == "TX_COUNT_VELOCITY":
+            return 1 + n, True
+        if rule.type == "AMOUNT_VELOCITY":
+            return tx["amount_minor"] + amount, tx["currency"] == rule.currency
+        if rule.type == "UNIQUE_DEVICES":
+            return devices + (not self.inside.containsKey((_key(rule), tx["device_id"]))), True
+        if rule.type == "NEW_DEVICE_HIGH_AMOUNT":
+            return tx["amount_minor"], last_seen is None or last_seen <= tx["event_time"] - rule.window_seconds * 1000
+        return declined, tx["status"] == "APPROVED"
+
+    def _score(self, tx: dict[str, Any], text: str, s: dict[str, int], watermark: int) -> Row:
+        policy, named = self._policy(text)
+        t, d = tx["event_time"], tx["device_id"]
+        used = {_key(r) for r in policy.rules if r.type != "NEW_DEVICE_HIGH_AMOUNT"}
+        kept = {k[0] for k in self.totals.keys()}
+        if len(kept | used) > MAX_TOTALS:  # those of policies of long ago
+            for name in kept - used:
+                self._drop(name)
+            kept &= used
+        windows = {name: self._window(name, t, s) for name in used}
+        seen = self.devices.getValue((d,))[0] if self.devices.containsKey((d,)) else None
+        entries = judged(policy, lambda r: self._observe(r, tx, windows.get(_key(r), [0] * 5), seen))
+        item = (t, tx["amount_minor"], tx["currency"], d, tx["status"] == "DECLINED")
+        self.log.updateValue((s["next"],), item)
+        s["next"] += 1
+        # other windows see the payment when they are used again: their front has not been reached yet
+        for name in kept | used:
+            w = windows.get(name) or list(self.totals.getValue((name,)))
+            sums = w[1:]
+            self._move(name, item, 1, sums)
+            self.totals.updateValue((name,), (w[0], *sums))
+        hour = t // HOUR_MS
+        if seen is None or seen // HOUR_MS != hour:
+            listed = list(self.hours.getValue((hour,))[0]) if self.hours.containsKey((hour,)) else []
+            if not listed:
+                self.handle.registerTimer((hour + 1) * HOUR_MS + self.device_reach)
+            self.hours.updateValue((hour,), ([*listed, d],))
+        self.devices.updateValue((d,), (t,))
+        s["devices"] += seen is None
+        if s["devices"] > MAX_DEVICES:
             raise RuntimeError(f"more than {MAX_DEVICES} devices of a customer")
-        self.finalised.update((t,))
+        if s["next"] - s["first"] > MAX_HISTORY:
+            raise RuntimeError(f"more than {MAX_HISTORY} payments of a customer are in its windows")
+        codes = [e.type for e in entries if e.matched]
+        return self._out(tx, kind="DECISION", watermark=watermark, **_decided(policy, entries), reason_codes=codes, processed_at=int(time.time() * 1000), rule_evidence=entries, **named)
+
+    def _forget(self, t: int, s: dict[str, int]) -> None:
+        """Removes what no window after t reaches: payments at the front of the log, and devices of the hour that expires."""
+        first = s["first"]
+        while first < s["next"] and self.log.getValue((first,))[0] <= t - self.reach:
+            first += 1
+        if first > s["first"]:
+            for (name,) in [tuple(k) for k in self.totals.keys()]:
+                head, *sums = self.totals.getValue((name,))
+                while head < first:
+                    self._move(name, tuple(self.log.getValue((head,))), -1, sums)
+                    head += 1
+                self.totals.updateValue((name,), (head, *sums))
+            for i in range(s["first"], first):
+                self.log.removeKey((i,))
+            s["first"] = first
+        hour = (t - self.device_reach) // HOUR_MS - 1
+        if self.hours.containsKey((hour,)):
+            for d in self.hours.getValue((hour,))[0]:
+                if self.devices.containsKey((d,)) and self.devices.getValue((d,))[0] // HOUR_MS <= hour:
+                    self.devices.removeKey((d,))
+                    s["devices"] -= 1
+            self.hours.removeKey((hour,))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        t, s = expiredTimerInfo.getExpiryTimeInMs(), self._at()
+        self._forget(t, s)
+        if self.counts.containsKey((t,)):
+            items = []
+            for i in range(self.counts.getValue((t,))[0]):
+                items.append(tuple(self.waiting.getValue((t, i))))
+                self.waiting.removeKey((t, i))
+            self.counts.removeKey((t,))
+            s["pending"] -= len(items)
+            for item in sorted(items, key=lambda x: x[0]):
+                yield self._score(dict(zip(_FIELDS, item)), item[-1], s, timerValues.getCurrentWatermarkInMs())
+            s["finalised"] = t
+        if s["next"] == s["first"]:
+            for (name,) in [tuple(k) for k in self.totals.keys()]:
+                self._drop(name)
+        elif s["sweep"] <= t:
+            s["sweep"] = t + self.reach + 1
+            self.handle.registerTimer(s["sweep"])
+        if s["next"] == s["first"] and not s["pending"] and not s["devices"]:
+            self.at.clear()  # the watermark has passed what was finalised
+        else:
+            self.at.update(tuple(s.values()))
 
     def close(self) -> None:
         pass
@@ -157,9 +291,11 @@ class Customer(StatefulProcessor):
 def score_stream(payments: DataFrame, policy: Policy, out_of_order_ms: int = OUT_OF_ORDER_MS) -> DataFrame:
     """Tagged rows (kind DECISION, with all fields of schemas.DECISION, or LATE) of a stream of valid payments. The delay is one
     millisecond more than the allowed disorder: a time is final once the highest time exceeds it
-    by more than that. Payments behind the last watermark stay buffered; nothing is flushed."""
-    timed = payments.select(*_FIELDS).withColumn("ts", F.timestamp_millis("event_time")).withWatermark("ts", f"{out_of_order_ms + 1} milliseconds")
-    timed = timed.select(*_FIELDS)  # without the watermark's column, so that Spark hands late rows over instead of dropping them
+    by more than that. Payments behind the last watermark stay buffered; nothing is flushed. Payments with
+    a column `policy` (policy_text) are scored by it, others by the policy given."""
+    stamped = F.col("policy") if "policy" in payments.columns else F.lit(None).cast("string").alias("policy")
+    timed = payments.select(*_FIELDS, stamped).withColumn("ts", F.timestamp_millis("event_time")).withWatermark("ts", f"{out_of_order_ms + 1} milliseconds")
+    timed = timed.select(*_FIELDS, "policy")  # without the watermark's column, so that Spark hands late rows over instead of dropping them
     scored = timed.groupBy("customer_id").transformWithState(statefulProcessor=Customer(policy), outputStructType=SCORED, outputMode="Append", timeMode="EventTime")
     engine = F.lit(identity.ENGINE)
     named = {
@@ -171,10 +307,11 @@ def score_stream(payments: DataFrame, policy: Policy, out_of_order_ms: int = OUT
 
 class Once(StatefulProcessor):
     """Passes a payment on once per identity and time-to-live (not refreshed); another content
-    under the same identity is a conflict: an error, or a row of kind CONFLICT."""
+    under the same identity is a conflict: an error, or a row of kind CONFLICT. Rows of another kind
+    than FIRST pass as they are."""
 
-    def __init__(self, ttl_ms: int, strict: bool):
-        self.ttl_ms, self.strict = ttl_ms, strict
+    def __init__(self, ttl_ms: int, strict: bool, names: Sequence[str]):
+        self.ttl_ms, self.strict, self.names = ttl_ms, strict, list(names)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "print string", self.ttl_ms)
@@ -182,21 +319,43 @@ class Once(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         known = self.seen.get()[0] if self.seen.exists() else None
         for r in rows:
-            tx = {f: r[f] for f in _FIELDS}
-            if known is None:
+            out = {n: r[n] for n in self.names}
+            if r["kind"] != "FIRST":
+                yield Row(**out)
+            elif known is None:
                 known = r["print"]
                 self.seen.update((known,))
-                yield Row(**tx, kind="FIRST")
+                yield Row(**out)
             elif known != r["print"]:
                 if self.strict:
                     raise IdentityConflict(f"another payment under {key}")
-                yield Row(**tx, kind="CONFLICT")
+                yield Row(**{**out, "kind": "CONFLICT"})
 
     def close(self) -> None:
         pass
 
 
-def once_stream(payments: DataFrame, key: str = "event_id", ttl_ms: int = DEDUP_TTL_MS, strict: bool = False) -> DataFrame:
+def _print() -> Column:
     facts = [f for f in _FIELDS if f != "producer_time"]
-    printed = payments.select(*_FIELDS).withColumn("print", F.sha2(F.to_json(F.struct(*facts), {"ignoreNullFields": "false"}), 256))
-    return printed.groupBy(key).transformWithState(statefulProcessor=Once(ttl_ms, strict), outputStructType=_PAYMENT + ", kind string", outputMode="Append", timeMode="ProcessingTime")
+    return F.sha2(F.to_json(F.struct(*facts), {"ignoreNullFields": "false"}), 256)
+
+
+def once_stream(payments: DataFrame, key: str = "event_id", ttl_ms: int = DEDUP_TTL_MS, strict: bool = False) -> DataFrame:
+    """Rows of kind FIRST or CONFLICT of a stream of valid payments."""
+    kept = payments.select(*_FIELDS).withColumns({"kind": F.lit("FIRST"), "print": _print()})
+    names = [*_FIELDS, "kind"]
+    return kept.groupBy(key).transformWithState(statefulProcessor=Once(ttl_ms, strict, names), outputStructType=_PAYMENT + ", kind string", outputMode="Append", timeMode="ProcessingTime")
+
+
+def first_only(tagged: DataFrame, keys: Sequence[str], ttl_ms: int = DEDUP_TTL_MS, strict: bool = False) -> DataFrame:
+    """A stream of payments with error_code, once per value of each key in turn. kind is FIRST, CONFLICT
+    or INVALID; invalid rows are not held against anything and keep their payload."""
+    kind = F.when(F.col("error_code").isNull(), "FIRST").otherwise("INVALID")
+    df = tagged.withColumns({"kind": kind, "print": _print()})
+    schema, names = df.schema, df.columns
+    place = F.concat_ws(":", "source_topic", "source_partition", "source_offset")
+    for k in keys:
+        own = F.when(F.col("kind") == "FIRST", F.concat(F.lit("="), F.col(k))).otherwise(F.concat(F.lit("@"), place))
+        grouped = df.withColumn("_id", own).groupBy("_id")
+        df = grouped.transformWithState(statefulProcessor=Once(ttl_ms, strict, names), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime")
+    return df.drop("print")

@@ -1,17 +1,18 @@
 """Streams against the batch operators."""
 
+import json
 import time
-from dataclasses import replace
+from dataclasses import asdict, replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import late_periods, lookback, sessions
+from ledgerlens.operators import late_periods, lookback, sessions, validate
 from ledgerlens.operators.payments import counted_payments
 from ledgerlens.operators.score import score
 from ledgerlens.plans.reference import POLICY
-from ledgerlens.sources import generator, schemas, streams
-from ledgerlens.streaming import periods, scoring
+from ledgerlens.sources import avro, generator, schemas, streams
+from ledgerlens.streaming import periods, pipeline, scoring
 
 NAMES = [f.name for f in schemas.TRANSACTION.fields]
 
@@ -161,4 +162,77 @@ def test_frames_json_and_replay(spark, tmp_path):
     assert streams.replay(df, ranges, target, execute=True)["written"] == 3 == spark.read.parquet(target).count()
     with pytest.raises(ValueError):
         streams.replay(df, ranges, target, True, most=2)
-    assert df.agg(streams.first_offsets_are_zero(df)).first()[0] and F is not None
+    assert df.agg(streams.first_offsets_are_zero(df)).first()[0]
+
+
+def run_out(q, rows):
+    """Waits until a stream has read so many new rows and one batch more is through: in processing time it never ends by itself."""
+    for _ in range(480):
+        seen = [p["numInputRows"] for p in q.recentProgress]
+        if not q.isActive or sum(seen) >= rows and seen[-1] == 0:
+            break
+        time.sleep(0.25)
+    q.stop()
+    assert q.exception() is None, q.exception()
+
+
+def wired(spark, rows, topic, encode, offset=0):
+    """Wire records of payloads, as a broker keeps them."""
+    df = spark.createDataFrame([(topic, i % 3, offset + i, 1_700_000_500_000, b"k", encode(r) if not isinstance(r, bytes | None) else r, []) for i, r in enumerate(rows)], pipeline.WIRE)
+    return df.coalesce(1)
+
+
+@pytest.mark.parametrize("binary", [False, True])
+def test_pipeline_from_wire_records_to_the_store(spark, tmp_path, binary):
+    t0, names = 1_700_000_000_000, [f.name for f in schemas.TRANSACTION.fields]
+    schema, rule_schema = avro.record("Transaction", schemas.TRANSACTION), avro.record("RiskRule", schemas.RULE)
+
+    def encode(r):
+        value = dict(zip(names, r)) if isinstance(r, tuple) else asdict(r)
+        if binary:
+            return b"\x00\x00\x00\x00" + bytes([7 if isinstance(r, tuple) else 8]) + avro.write(schema if isinstance(r, tuple) else rule_schema, value)
+        return b"\x00\x00\x00\x00\x07" + json.dumps(value).encode()
+
+    valid = [tx(i, t0 + i * 3_000, 70_000, f"d{i % 4}") for i in range(9)]
+    other = list(valid[0])
+    other[4] = 71_000
+    another = list(tx("other", t0 + 28_000))
+    another[1] = "txn-3"  # a known transaction under another event
+    broken = [b"\x01abc", None, b"\x00\x00\x00\x00\x63x" if binary else b"\x00\x00\x00\x00\x07[]", b"\x00" + b"x" * (validate.MAX_PAYLOAD + 1), tx("bad", t0, 0), tx("future", t0 + 10**9)]
+    p = pipeline.Pipeline(spark, str(tmp_path), POLICY, writers={7: schema} if binary else None, rule_writers={8: json.dumps(rule_schema)} if binary else None)
+    raw, control = str(tmp_path / "raw"), str(tmp_path / "control")
+    put = lambda df, path: df.write.mode("append").parquet(path)
+    stream = lambda path: streams.file_stream(spark, path, pipeline.WIRE)
+
+    def run(rows):
+        run_out(p.admit(stream(raw)), rows)
+        p.score().awaitTermination(240)
+
+    put(wired(spark, [*valid, valid[2], tuple(other), tuple(another), *broken], "payments.raw", encode), raw)
+    run(18)
+    strict = replace(POLICY.rules[0], version=2, threshold=0, score=70)
+    put(wired(spark, [strict, replace(strict, version=1, threshold=9), replace(strict, version=9, currency="USD")], "risk.rules", encode), control)
+    p.rules(stream(control)).awaitTermination(240)
+    put(wired(spark, [tx("new", t0 + 40_000, 5)], "payments.raw", encode, 100), raw)
+    run(1)
+    put(wired(spark, [tx("end", t0 + 200_000, 5)], "payments.raw", encode, 200), raw)
+    run(1)
+    put(wired(spark, [tx("late", t0 + 1_000, 5), tx("end2", t0 + 201_000, 5)], "payments.raw", encode, 300), raw)
+    run(2)
+    p.archive(stream(raw)).awaitTermination(240)
+    for name in ("decisions", "dlq", "late"):
+        p.materialise(name).awaitTermination(240)
+    read = lambda t: spark.read.parquet(f"{tmp_path}/{t}")
+    assert read("admitted").count() == 9 + 4 and sorted(r.event_id for r in read("conflicts").collect()) == ["0", "other"]
+    codes = sorted(r.error_code for r in read("dlq").collect())
+    want = ["DESERIALIZATION_ERROR", "DESERIALIZATION_ERROR", "SCHEMA_ERROR" if binary else "DESERIALIZATION_ERROR", "INVALID_AMOUNT", "INVALID_EVENT_TIME", "PAYLOAD_TOO_LARGE"]
+    assert codes == sorted(want) and [r.error_code for r in read("dlq-rules").collect()] == ["INVALID_RULE_CONFIGURATION"]
+    got = {r.event_id: r for r in read("store/evaluations").collect()}
+    assert set(got) == {*(r[0] for r in valid), "new"}
+    assert got["8"].policy_id == "default" and got["new"].policy_id == "dynamic" and "R001" in got["new"].matched_rules and "R001" not in got["3"].matched_rules
+    batch = {r.event_id: r.risk_score for r in score(spark.createDataFrame(valid, schemas.TRANSACTION), POLICY, F.lit(0)).collect()}
+    assert {e: got[e].risk_score for e in batch} == batch
+    outcomes = read("store/processing_outcomes").groupBy("outcome").count().collect()
+    assert {r[0]: r[1] for r in outcomes} == {"INVALID": 6, "LATE": 1}
+    assert read("store/payment_ingress").count() == 9 + 3 + 6 + 4 and read("store/payment_ingress").where("value_is_null").count() == 1
+    assert read("store/materializer_rejections").count() == 0
