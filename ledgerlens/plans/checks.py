@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import policy
-from ledgerlens.operators import reconcile, store, validate
+from ledgerlens.operators import metrics, reconcile, store, validate
 from ledgerlens.operators.score import score
 from ledgerlens.plans import publish, reference
 from ledgerlens.sources import generator
@@ -148,3 +148,11 @@ def blocked_generation(spark, d):
     root = f"{checkpoint_dir(spark).rstrip('/')}/ledgerlens/generations-{uuid.uuid4().hex}"
     p = publish.publish(table(spark, d, "evaluations"), root, 1 << 62)
     return spark.createDataFrame([(p.status, p.assessments)], "status string, assessments bigint")
+
+
+@query(f"""WITH w AS (SELECT epoch_ms(archived_at) // 21600000 * 21600000 AS time, count(*) FILTER (code IS NOT NULL) AS value FROM (SELECT *, {reference._CODE} AS code FROM payments) WHERE archived_at IS NOT NULL GROUP BY 1)
+SELECT time, CAST(value AS DOUBLE) AS value, coalesce(value > 1 AND (SELECT count(*) FROM w b WHERE b.time = w.time - 21600000 AND b.value > 1) = 1, false) AS raised FROM w""")
+def invalid_input_alerts(spark, d):
+    """More than one invalid delivery in a quarter of a day, and in the quarter before it."""
+    p = table(spark, d, "payments").withColumn("invalid", validate.error_code(F.col("producer_time")).isNotNull()).withColumn("at", F.unix_millis(F.col("archived_at").cast("timestamp")))
+    return metrics.raised(p, "at", "invalid", metrics.Alert("invalid_input", "invalid", 1, window_s=21_600, for_s=21_600))

@@ -99,5 +99,17 @@ def test_counters_and_alerts(spark):
     df = spark.createDataFrame([("DECISION", "APPROVE", 5), ("DECISION", "REJECT", 7), ("LATE", None, 9)], "kind string, decision string, amount_minor long")
     seen, o = metrics.observed(df, "job")
     assert seen.count() == 3
-    assert o.get == {"rows": 3, "late": 1, "approve": 1, "review": 0, "reject": 1, "amount_minor": 12}
+    want = {"rows": 3, "late": 1, "approve": 1, "review": 0, "reject": 1, "amount_minor": 12}
+    assert {k: o.get[k] for k in want} == want and sum(o.get.values()) == 18
     assert metrics.alerts(o.get, {"late": 0, "rows": 3, "lag": 1}) == ["lag", "late"]
+
+
+def test_alerts_need_their_windows_and_the_watchdog_its_time(spark):
+    from ledgerlens.operators import metrics
+
+    rows = [(t * 300_000 + i, True) for t, n in ((0, 400), (1, 400), (2, 100), (3, 400), (5, 400)) for i in range(n)]
+    log = spark.createDataFrame(rows, "at long, invalid boolean")
+    got = {r.time // 300_000: r.raised for r in metrics.raised(log, "at", "invalid", metrics.ALERTS[0]).collect()}
+    assert got == {0: False, 1: True, 2: False, 3: False, 5: False}
+    w = metrics.Watchdog(1_000)
+    assert [w.look("q", m, at, n) for m, at, n in (("a", 0, 5), ("a", 900, 5), ("a", 1_100, 0), ("a", 1_200, 5), ("b", 1_300, 5), ("b", 2_400, 5))] == [False, False, False, True, False, True] and w.overdue == 2
