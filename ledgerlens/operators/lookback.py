@@ -2,8 +2,11 @@
 
 A rule looks back over the half-open stretch (t - window, t] of its customer's earlier
 payments; earlier means a smaller (event_time, event_id), so that of payments at the same time
-those with a smaller event_id count as history. The frames are two disjoint ones, a RANGE
-frame over smaller times and a ROWS frame over equal times, which no single frame can say.
+those with a smaller event_id count as history. No single frame can say that; it is the
+difference of two, all earlier payments (ROWS) and those that have left the window (RANGE). Both
+begin with the partition, so that Spark carries their sums along, and a burst of payments costs
+no more than as many payments apart. Distinct devices are sums too: of devices met, left and
+come back.
 
 A customer may hold a third of all payments. Payments are therefore partitioned by (customer,
 cell of time) instead of customer, and each cell is given a halo: the payments of the stretch
@@ -21,7 +24,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.policy import TYPES, Rule
 
-CELL_MS = 86_400_000
+CELL_MS = 86_400_000  # of the time that a device was last seen
+CELLS = 4
 
 
 def _cells(payments: DataFrame, reach_ms: int, cell_ms: int) -> DataFrame:
@@ -41,38 +45,54 @@ def last_seen(payments: DataFrame, cell_ms: int = CELL_MS) -> DataFrame:
     return inside.join(tops, [*keys, "_c"], "left").withColumn("last_seen", F.coalesce("_in", "_start")).drop("_c", "_in", "_start")
 
 
-def observations(payments: DataFrame, rules: Sequence[Rule], cell_ms: int = CELL_MS) -> DataFrame:
+def observations(payments: DataFrame, rules: Sequence[Rule], cell_ms: int | None = None) -> DataFrame:
     """payments with o_<rule_id>, e_<rule_id> and m_<rule_id> (observed, eligible, matched) per
     rule. Rules of one kind and window share their frames. Disabled rules are observed too, but
     never matched. Needs event_id, customer_id, device_id, amount_minor, currency, status,
-    event_time, none of them null; event_ids are distinct."""
+    event_time, none of them null; event_ids are distinct.
+
+    cell_ms: the length of a cell, CELLS windows of the longest rule if None."""
     windows = [r.window_seconds * 1000 for r in rules if r.type != "NEW_DEVICE_HIGH_AMOUNT"]
-    df = last_seen(payments, cell_ms) if any(r.type == "NEW_DEVICE_HIGH_AMOUNT" for r in rules) else payments
-    df = _cells(df, max(windows, default=1) - 1, cell_ms)
-    part = Window.partitionBy("customer_id", "_cell")
-    same = Window.partitionBy("customer_id", "_cell", "event_time").orderBy("event_id")
-    upto, before = same.rowsBetween(Window.unboundedPreceding, 0), same.rowsBetween(Window.unboundedPreceding, -1)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    declined = F.when(F.col("status") == "DECLINED", 1).otherwise(0)
-    amount = F.col("amount_minor")
+    df = last_seen(payments) if any(r.type == "NEW_DEVICE_HIGH_AMOUNT" for r in rules) else payments
+    df = _cells(df, max(windows, default=1) - 1, cell_ms or CELLS * max(windows, default=CELL_MS // CELLS))
+    key = ["customer_id", "_cell"]
+    order = Window.partitionBy(*key).orderBy("event_time", "event_id")
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    times = Window.partitionBy(*key).orderBy("event_time")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+
+    def within(what: Column, w: int) -> Column:
+        """The sum over earlier payments in the window: all earlier ones less those that have left it. Both
+        sums only grow along the order, so that a window costs the same however many payments it holds."""
+        return zero(F.sum(what).over(before)) - zero(F.sum(what).over(times.rangeBetween(Window.unboundedPreceding, -w)))
+
+    device_windows = {r.window_seconds * 1000 for r in rules if r.type == "UNIQUE_DEVICES"}
+    if device_windows:
+        # both partitionings below are served by this exchange
+        same = Window.partitionBy(*key, "device_id").orderBy("event_time", "event_id")
+        df = df.repartition(*key).withColumns({"_prev": F.lag("event_time").over(same), "_next": F.lead("event_time").over(same)})
+    one, declined = F.lit(1), F.when(F.col("status") == "DECLINED", 1).otherwise(0)
+    amount, t = F.col("amount_minor"), F.col("event_time")
     out: dict[str, Column] = {}
     for r in rules:
         w = r.window_seconds * 1000
-        strict = part.orderBy("event_time").rangeBetween(-(w - 1), -1)
         eligible: Column = F.lit(True)
         if r.type == "TX_COUNT_VELOCITY":
-            seen = F.count(F.lit(1)).over(strict) + F.count(F.lit(1)).over(upto)
+            seen = within(one, w) + 1
         elif r.type == "AMOUNT_VELOCITY":
-            mine = F.when(F.col("currency") == r.currency, amount)
-            seen = amount + zero(F.sum(mine).over(strict)) + zero(F.sum(mine).over(before))
+            seen = amount + within(F.when(F.col("currency") == r.currency, amount), w)
             eligible = F.col("currency") == r.currency
         elif r.type == "UNIQUE_DEVICES":
-            seen = F.size(F.array_union(F.collect_set("device_id").over(strict), F.collect_set("device_id").over(upto))).cast("bigint")
+            # devices met so far, less those whose last payment has left the window, plus those that came back since
+            met = F.sum(F.when(F.col("_prev").isNull(), 1).otherwise(0)).over(upto)
+            back = F.sum(F.when(t - F.col("_prev") >= w, 1).otherwise(0)).over(upto)
+            left = F.sum(F.when(F.col("_next").isNull() | (F.col("_next") - t >= w), 1).otherwise(0)).over(times.rangeBetween(Window.unboundedPreceding, -w))
+            seen = met + back - zero(left)
         elif r.type == "NEW_DEVICE_HIGH_AMOUNT":
             seen = amount
-            eligible = F.col("last_seen").isNull() | (F.col("last_seen") <= F.col("event_time") - w)
+            eligible = F.col("last_seen").isNull() | (F.col("last_seen") <= t - w)
         elif r.type == "DECLINE_THEN_APPROVAL":
-            seen = zero(F.sum(declined).over(strict)) + zero(F.sum(declined).over(before))
+            seen = within(declined, w)
             eligible = F.col("status") == "APPROVED"
         else:
             raise ValueError(f"unknown kind of rule {r.type}")
@@ -82,4 +102,4 @@ def observations(payments: DataFrame, rules: Sequence[Rule], cell_ms: int = CELL
     for r in rules:
         o = F.col(f"o_{r.rule_id}")
         hits[f"m_{r.rule_id}"] = F.lit(r.enabled) & F.col(f"e_{r.rule_id}") & (o > r.threshold if TYPES[r.type] == ">" else o >= r.threshold)
-    return df.withColumns(hits).where("_own").drop("_own", "_cell", "last_seen")
+    return df.withColumns(hits).where("_own").drop("_own", "_cell", "last_seen", "_prev", "_next")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.ranks import nearest_ranks
+from ledgerlens.session import if_small
 
 
 def outcomes(inputs: DataFrame, evaluated: DataFrame, invalid: DataFrame, late: DataFrame) -> DataFrame:
@@ -106,12 +107,12 @@ def offset_gaps(records: DataFrame) -> DataFrame:
 
 
 def position_digest(records: DataFrame, block: int = 65_536) -> DataFrame:
-    """(source_topic, source_partition, records, repeated, first, last, digest): tells whether two
+    """(source_topic, source_partition, records, repeated, first, last, state, digest): tells whether two
     readers read the same positions, whatever the order of arrival.
 
     A hash tree: the sorted offsets of a block are hashed together, then the hashes of 65,536
-    neighbouring blocks, three times over, so that no task lists more than a block. Repeated
-    offsets count in `repeated`; rows without coordinates are left out."""
+    neighbouring blocks, three times over, so that no task lists more than a block. A partition with
+    a repeated offset has state REPEATED and no digest; rows without coordinates are left out."""
     keys = ["source_topic", "source_partition"]
     o = records.where(F.col("source_offset").isNotNull()).groupBy(*keys, "source_offset").agg(F.count(F.lit(1)).alias("_n"))
     level = o.groupBy(*keys, F.expr(f"source_offset div {int(block)}").alias("_b")).agg(
@@ -124,7 +125,8 @@ def position_digest(records: DataFrame, block: int = 65_536) -> DataFrame:
             F.sha2(F.array_join(F.transform(below, lambda x: x["_h"]), "\n"), 256).alias("_h"),
             F.sum("records").alias("records"), F.sum("repeated").alias("repeated"), F.min("first").alias("first"), F.max("last").alias("last"),
         ).withColumnRenamed("_up", "_b")
-    return level.select(*keys, "records", "repeated", "first", "last", F.col("_h").alias("digest"))
+    state = F.when(F.col("repeated") > 0, "REPEATED").otherwise("WHOLE")
+    return level.select(*keys, "records", "repeated", "first", "last", state.alias("state"), F.when(F.col("repeated") == 0, F.col("_h")).alias("digest"))
 
 
 def leg_percentiles(payments: DataFrame, evaluations: DataFrame, p: float = 0.95) -> DataFrame:
@@ -147,3 +149,19 @@ def whole_customers(customers: DataFrame, most: int = 1_000) -> DataFrame:
     top = customers.where(F.col("payments") > 0).select("customer_id", "payments").orderBy("customer_id").limit(most)
     running = F.sum("payments").over(Window.partitionBy(F.lit(0)).orderBy("customer_id").rowsBetween(Window.unboundedPreceding, 0))
     return top.withColumn("_sum", running).where(F.col("_sum") <= most).drop("_sum")
+
+
+def export(decisions: DataFrame, most: int = 1_000) -> tuple[DataFrame, DataFrame]:
+    """(decisions, policies) of a bounded export: the decisions of whole customers, each with the hash of its
+    policy's snapshot instead of the text, and every snapshot once."""
+    per = decisions.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(F.count(F.lit(1)).alias("payments"))
+    chosen = decisions.join(if_small(whole_customers(per, most).select("customer_id")), "customer_id", "left_semi")
+    hashed = chosen.withColumn("policy_hash", F.when(F.col("policy_snapshot") != "", F.sha2("policy_snapshot", 256)))
+    policies = hashed.where(F.col("policy_hash").isNotNull()).groupBy("policy_hash").agg(F.min("policy_snapshot").alias("policy_snapshot"), F.count(F.lit(1)).alias("decisions"))
+    return hashed.drop("policy_snapshot"), policies
+
+
+def gate(conflicts: DataFrame, rejections: DataFrame) -> DataFrame:
+    """(unresolved, conflicts, rejections): what keeps results from being served, counted in one plan."""
+    both = conflicts.select(F.lit("c").alias("k")).unionByName(rejections.select(F.lit("r").alias("k")))
+    return both.agg(F.count(F.lit(1)).alias("unresolved"), F.count_if(F.col("k") == "c").alias("conflicts"), F.count_if(F.col("k") == "r").alias("rejections"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import policy
-from ledgerlens.operators import metrics, reconcile, store, validate
+from ledgerlens.operators import lookback, metrics, reconcile, store, validate
 from ledgerlens.operators.score import score
 from ledgerlens.plans import publish, reference
 from ledgerlens.sources import generator
@@ -156,3 +156,20 @@ def invalid_input_alerts(spark, d):
     """More than one invalid delivery in a quarter of a day, and in the quarter before it."""
     p = table(spark, d, "payments").withColumn("invalid", validate.error_code(F.col("producer_time")).isNotNull()).withColumn("at", F.unix_millis(F.col("archived_at").cast("timestamp")))
     return metrics.raised(p, "at", "invalid", metrics.Alert("invalid_input", "invalid", 1, window_s=21_600, for_s=21_600))
+
+
+def _hot_payments(spark: SparkSession, d: str) -> DataFrame:
+    hot = F.when(F.col("customer_id").isin(*[f"cust-{i}" for i in range(0, 3_000, 3)]), "cust-hot").otherwise(F.col("customer_id"))
+    return reference.card_payments(spark, d).withColumn("customer_id", hot)
+
+
+_HOT = reference._CARD.replace("'cust-' || user_id AS customer_id", "CASE WHEN user_id % 3 = 0 AND user_id < 3000 THEN 'cust-hot' ELSE 'cust-' || user_id END AS customer_id")
+
+
+@query(f"""WITH {_HOT}, w AS (SELECT event_id, count(*) OVER (PARTITION BY customer_id ORDER BY event_time, event_id ROWS UNBOUNDED PRECEDING) - coalesce(count(*) OVER (PARTITION BY customer_id ORDER BY event_time RANGE BETWEEN UNBOUNDED PRECEDING AND 120000 PRECEDING), 0) AS payments,
+  customer_id, device_id, event_time FROM card), pairs AS (SELECT customer_id, device_id, event_time, event_id, lead(event_time) OVER (PARTITION BY customer_id, device_id ORDER BY event_time, event_id) AS nt, lead(event_id) OVER (PARTITION BY customer_id, device_id ORDER BY event_time, event_id) AS ne FROM card)
+SELECT w.event_id, w.payments, (SELECT count(*) FROM pairs p WHERE p.customer_id = w.customer_id AND p.event_time > w.event_time - 900000 AND (p.event_time, p.event_id) <= (w.event_time, w.event_id) AND (p.nt IS NULL OR (p.nt, p.ne) > (w.event_time, w.event_id))) AS devices FROM w""")
+def hot_customer(spark, d):
+    """A third of all payments under one customer: counts and devices in the windows before each."""
+    seen = lookback.observations(_hot_payments(spark, d), [r for r in reference.POLICY.rules if r.type in ("TX_COUNT_VELOCITY", "UNIQUE_DEVICES")])
+    return seen.select("event_id", F.col("o_R001").alias("payments"), F.col("o_R003").alias("devices"))

@@ -95,7 +95,7 @@ def _seen(rule: Rule) -> str:
     if rule.type == "NEW_DEVICE_HIGH_AMOUNT":
         near = _BEFORE
     sign = policy.TYPES[rule.type]
-    return f"""SELECT event_id, '{rule.rule_id}' AS rule_id, '{rule.type}' AS kind, observed, eligible, eligible AND observed {sign} {rule.threshold} AS matched, {rule.score} AS score FROM (
+    return f"""SELECT event_id, '{rule.rule_id}' AS rule_id, '{rule.type}' AS kind, observed, eligible, {str(rule.enabled).lower()} AND eligible AND observed {sign} {rule.threshold} AS matched, {rule.score} AS score FROM (
   SELECT c.event_id, {by[0]} AS observed, {by[1]} AS eligible FROM card c LEFT JOIN card h ON {near}
   GROUP BY c.event_id, c.amount_minor, c.device_id, c.status, c.event_time)"""
 
@@ -121,6 +121,7 @@ def _rule_query(name: str, rule: Rule) -> None:
 for _r in POLICY.rules:
     _rule_query(_r.type.lower(), _r)
 _rule_query("unique_devices_6", Rule("R003", 1, "UNIQUE_DEVICES", True, 20, 900, 6))
+_rule_query("disabled_rule", Rule("R002", 1, "AMOUNT_VELOCITY", False, 35, 600, 300_000))
 _rule_query("amount_hour", Rule("R002", 1, "AMOUNT_VELOCITY", True, 35, 3_600, 900_000))
 
 
@@ -290,7 +291,7 @@ def offset_gaps(spark, d):
 
 @query("""WITH b AS (
   SELECT source_topic, source_partition, source_offset // 65536 AS b, sha256(string_agg(CAST(source_offset AS VARCHAR), chr(10) ORDER BY source_offset)) AS h, count(*) AS n, min(source_offset) AS lo, max(source_offset) AS hi FROM payments GROUP BY 1, 2, 3)
-SELECT source_topic, source_partition, CAST(sum(n) AS BIGINT) AS records, CAST(0 AS BIGINT) AS repeated, min(lo) AS first, max(hi) AS last, sha256(sha256(sha256(string_agg(h, chr(10) ORDER BY b)))) AS digest FROM b GROUP BY 1, 2""")
+SELECT source_topic, source_partition, CAST(sum(n) AS BIGINT) AS records, CAST(0 AS BIGINT) AS repeated, 'WHOLE' AS state, min(lo) AS first, max(hi) AS last, sha256(sha256(sha256(string_agg(h, chr(10) ORDER BY b)))) AS digest FROM b GROUP BY 1, 2""")
 def source_position_digest(spark, d):
     return reconcile.position_digest(table(spark, d, "payments"))
 
@@ -530,3 +531,18 @@ def latency_legs(spark, d):
 @query(f"WITH {_SUMMARY}, c AS (SELECT customer_id, count(*) AS payments FROM summary WHERE customer_id IS NOT NULL GROUP BY 1), r AS (SELECT *, sum(payments) OVER (ORDER BY customer_id) AS s FROM c) SELECT customer_id, payments FROM r WHERE s <= 1000")
 def export_customers(spark, d):
     return reconcile.whole_customers(overview.customers(_summary(spark, d)).where(F.col("customer_id").isNotNull()))
+
+
+_EXPORT = f"""WITH {_SUMMARY}, c AS (SELECT customer_id, count(*) AS payments FROM summary WHERE customer_id IS NOT NULL GROUP BY 1), r AS (SELECT *, sum(payments) OVER (ORDER BY customer_id) AS s FROM c)"""
+
+
+@query(f"{_EXPORT} SELECT sha256(policy_snapshot) AS policy_hash, count(*) AS decisions FROM summary WHERE customer_id IN (SELECT customer_id FROM r WHERE s <= 1000) AND policy_snapshot <> '' GROUP BY 1")
+def export_policies(spark, d):
+    return reconcile.export(store.decisions_current(_evals(spark, d)))[1].select("policy_hash", "decisions")
+
+
+@query(f"""WITH {_INTEGRITY}, j AS (SELECT count(*) AS n FROM (SELECT DISTINCT observed_at FROM late_events WHERE observed_at IS NOT NULL))
+SELECT (SELECT count(*) FROM integrity WHERE evaluations > 1 OR content_variants > 1) + (SELECT n FROM j) AS unresolved, (SELECT count(*) FROM integrity WHERE evaluations > 1 OR content_variants > 1) AS conflicts, (SELECT n FROM j) AS rejections""")
+def integrity_gate(spark, d):
+    rejected = table(spark, d, "late_events").where(F.col("observed_at").isNotNull()).select(F.lit("payments.late").alias("source_topic"), F.lit(0).alias("source_partition"), F.col("observed_at").alias("source_offset"), "observed_at")
+    return reconcile.gate(store.integrity_conflicts(_evals(spark, d)), store.rejections_latest(rejected))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.operators.reconcile import position_digest
+
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", max_files: int = 64) -> DataFrame:
     """A directory as an append-only topic. max_files bounds a micro-batch."""
@@ -31,14 +33,19 @@ def bounded(records: DataFrame, ranges: dict[tuple[str, int], tuple[int, int]])
     return records.where(where)
 
 
-def replay(records: DataFrame, ranges: dict[tuple[str, int], tuple[int, int]], target: str, execute: bool = False, most: int = 1_000_000) -> dict[str, int]:
-    """Appends the records of the ranges to a Parquet directory; counts only, unless execute. More than `most` records are refused whole."""
+def replay(records: DataFrame, ranges: dict[tuple[str, int], tuple[int, int]], target: str, execute: bool = False, most: int = 1_000_000, audit: str | None = None, files: int | None = None) -> dict[str, int]:
+    """Appends the records of the ranges to a Parquet directory; counts only, unless execute. More than `most`
+    records are refused whole. audit: a directory to which what was read is appended, per partition of the
+    source its records, its first and last offset and the digest of its positions. files: records are
+    written as so many files, of which a stream takes a bounded number at a time (maxFilesPerTrigger)."""
     part = bounded(records, ranges)
     n = part.limit(most + 1).count()
     if n > most:
         raise ValueError(f"more than {most} records to replay")
+    if audit:
+        position_digest(part).withColumns({"target": F.lit(target), "executed": F.lit(execute), "at": F.current_timestamp()}).coalesce(1).write.mode("append").parquet(audit)
     if execute:
-        part.write.mode("append").parquet(target)
+        (part.repartition(files) if files else part).write.mode("append").parquet(target)
     return {"records": n, "written": n if execute else 0}
 
 

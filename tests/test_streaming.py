@@ -159,7 +159,11 @@ def test_frames_json_and_replay(spark, tmp_path):
     target = str(tmp_path / "r")
     ranges = {("t", 0): (1, 4)}
     assert streams.replay(df, ranges, target) == {"records": 3, "written": 0}
-    assert streams.replay(df, ranges, target, execute=True)["written"] == 3 == spark.read.parquet(target).count()
+    audit = str(tmp_path / "audit")
+    assert streams.replay(df, ranges, str(tmp_path / "none"), audit=audit)["written"] == 0
+    seen = spark.read.parquet(audit).first()
+    assert (seen.records, seen.first, seen.last, seen.state, seen.executed, len(seen.digest)) == (3, 1, 3, "WHOLE", False, 64)
+    assert streams.replay(df, ranges, target, execute=True, files=2)["written"] == 3 == spark.read.parquet(target).count()
     with pytest.raises(ValueError):
         streams.replay(df, ranges, target, True, most=2)
     assert df.agg(streams.first_offsets_are_zero(df)).first()[0]
