@@ -8,13 +8,15 @@ sizes of words: a text costs one pass of the pattern and a look-up per word.
 from __future__ import annotations
 
 import base64
+import os
 import re
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,12 +58,28 @@ class _Sizes(dict):
         return n
 
 
+def _local(path: str) -> str:
+    """The vocabulary file on this machine: where it lies, or the copy that the driver sent along."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
+def _send(path: str) -> None:
+    """Sends the driver's vocabulary file to all workers, once per context; on one machine it is there already."""
+    sc = SparkSession.active().sparkContext
+    sent = getattr(sc, "_ledgerlens_sent", None)
+    if sent is None:
+        sent = sc._ledgerlens_sent = set()  # type: ignore[attr-defined]
+    if path not in sent and os.path.exists(path) and not sc.master.startswith("local["):
+        sc.addFile(path)
+        sent.add(path)
+
+
 @lru_cache(4)
 def counter(path: str = VOCABULARY) -> Callable[[str], int]:
     """A function that counts the tokens of a text, as encode_ordinary does."""
     import tiktoken
 
-    with open(path, "rb") as f:
+    with open(_local(path), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encoding = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     ascii_words = _pattern("a-zA-Z", "0-9", r"\t\n\x0b\x0c\r ").findall
@@ -84,6 +102,7 @@ def counter(path: str = VOCABULARY) -> Callable[[str], int]:
 
 def token_count(text: Column, path: str = VOCABULARY) -> Column:
     """Tokens of a whole text; 0 for a null or empty one."""
+    _send(path)
 
     @F.pandas_udf(T.LongType())
     def size(texts: pd.Series) -> pd.Series:
