@@ -113,7 +113,7 @@ def decisions_of(deliveries: DataFrame, customer: str, columns: tuple[str, ...]
     others = ids.where(~F.coalesce(F.col("customer_id") == customer, F.lit(False)))
     own = mine.select("evaluation_id", "transaction_id")
     shared = others.join(if_small(own.select("evaluation_id").distinct()), "evaluation_id", "left_semi").select("evaluation_id").distinct()
-    by_evaluation = own.join(if_small(shared), "evaluation_id", "left_semi").select("transaction_id")
+    by_evaluation = own.join(shared, "evaluation_id", "left_semi").select("transaction_id")
     by_transaction = others.join(if_small(own.select("transaction_id").distinct()), "transaction_id", "left_semi").select("transaction_id")
     return _unambiguous(mine, by_evaluation.unionByName(by_transaction))
 
