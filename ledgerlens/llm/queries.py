@@ -57,8 +57,14 @@ def p10_labels(spark: SparkSession, d: str) -> DataFrame:
     return spam.label_pages(_table(spark, d, "documents"))
 
 
+def p10_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Per page its length, and whether every character of it has exactly one label."""
+    p = spam.label_pages(_table(spark, d, "documents"))
+    return p.select("doc_id", "chars", (sum((p[x] for x in spam.LABELS), p["chars"] * 0) == p["chars"]).alias("whole"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p5_found, p5_percentiles, p8_found, p8_containers, p8_invariants, p9_found, p9_shares, p9_records, p9_invariants, p10_found, p10_labels)
+    f.__name__: f for f in (p5_found, p5_percentiles, p8_found, p8_containers, p8_invariants, p9_found, p9_shares, p9_records, p9_invariants, p10_found, p10_labels, p10_invariants)
 }
 _KEPT = """kept AS (
   SELECT * FROM (
@@ -76,6 +82,7 @@ SQL: dict[str, str] = {
     "p8_found": f"SELECT doc_id FROM documents WHERE {_SIZE} > 4096",
     "p8_invariants": f"SELECT count(*) AS documents, count(*) AS packed, count(*) FILTER ({_SIZE} > 4096) AS split, 0 AS broken, 0 AS overfull, false AS slack FROM documents",
     "p9_found": f"{_SIZED} SELECT source FROM t WHERE size * max_repeats < target_share * total",
+    "p10_invariants": "SELECT doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS chars, true AS whole FROM documents",
     "p9_invariants": f"{_SIZED} SELECT source, target_share, records, false AS over, false AS off, size * max_repeats < target_share * total AS short FROM t",
     "p5_found": f"{_LATENCY}, m AS (SELECT decision, quantile_disc(latency, 0.5) AS med FROM lat GROUP BY 1) SELECT evaluation_id FROM lat JOIN m USING (decision) WHERE latency > 10 * med",
     "p5_percentiles": f"""{_LATENCY}, ranked AS (
