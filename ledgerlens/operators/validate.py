@@ -22,7 +22,7 @@ CODES = (
 @lru_cache(1)
 def iso_countries() -> tuple[str, ...]:
     """The two-letter codes of ISO 3166 that the session's Java runtime knows."""
-    spark = SparkSession.active()
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     return tuple(sorted(spark.sparkContext._jvm.java.util.Locale.getISOCountries()))
 
 

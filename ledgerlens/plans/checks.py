@@ -13,9 +13,10 @@ from ledgerlens.functions import policy
 from ledgerlens.operators import lookback, metrics, reconcile, store, validate
 from ledgerlens.operators.score import score
 from ledgerlens.plans import publish, reference
-from ledgerlens.sources import generator
+from ledgerlens.sources import avro, generator, schemas, streams
 from ledgerlens.sources.tables import table
 from ledgerlens.session import checkpoint_dir, materialize
+from ledgerlens.streaming import periods, scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -173,3 +174,48 @@ def hot_customer(spark, d):
     """A third of all payments under one customer: counts and devices in the windows before each."""
     seen = lookback.observations(_hot_payments(spark, d), [r for r in reference.POLICY.rules if r.type in ("TX_COUNT_VELOCITY", "UNIQUE_DEVICES")])
     return seen.select("event_id", F.col("o_R001").alias("payments"), F.col("o_R003").alias("devices"))
+
+
+@query("SELECT source_topic, source_partition, source_offset FROM payments WHERE source_partition = 0 AND source_offset BETWEEN 100 AND 299 OR source_partition = 2 AND source_offset < 50")
+def bounded_log(spark, d):
+    ranges = {("payments.raw", 0): (100, 300), ("payments.raw", 2): (0, 50)}
+    return streams.bounded(table(spark, d, "payments"), ranges).select("source_topic", "source_partition", "source_offset")
+
+
+_FIELDS = ", ".join(schemas.TRANSACTION.names)
+
+
+@query(f"SELECT source_partition, source_offset, {_FIELDS}, NULL::VARCHAR AS decode_error FROM payments WHERE {' AND '.join(f'{f} IS NOT NULL' for f in schemas.TRANSACTION.names)}")
+def binary_records(spark, d):
+    """Payments written as framed binary records and read again; those that lack a field cannot be written."""
+    schema = avro.record("Transaction", schemas.TRANSACTION)
+    p = table(spark, d, "payments")
+    wire = p.select("source_partition", "source_offset", avro.encoded(F.struct(*schemas.TRANSACTION.names), schema, 7).alias("payload")).where(F.col("payload").isNotNull())
+    return wire.select("source_partition", "source_offset", avro.decoded(F.col("payload"), {7: schema}, schemas.TRANSACTION).alias("r")).select("source_partition", "source_offset", "r.*")
+
+
+@query(f"""WITH good AS (SELECT rule_id, version, type, enabled, score, window_seconds, threshold FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY version DESC, type DESC, enabled DESC, score DESC, window_seconds DESC, threshold DESC, currency DESC, updated_at DESC) AS rn
+    FROM risk_rules WHERE policy_id = 'shop-eur-main' AND coalesce({_VALID}, false)) WHERE rn = 1 AND version > 1)
+SELECT * FROM good UNION ALL SELECT * FROM (VALUES {', '.join(f"('{r.rule_id}', {r.version}, '{r.type}', true, {r.score}, {r.window_seconds}, {r.threshold})" for r in reference.POLICY.rules)}) b WHERE col0 NOT IN (SELECT rule_id FROM good)""")
+def policy_in_force(spark, d):
+    """The default rules with the updates of a control topic: strictly higher versions of valid rules."""
+    p = policy.updated(reference.POLICY, table(spark, d, "risk_rules").where("policy_id = 'shop-eur-main'"))
+    rows = [(r.rule_id, r.version, r.type, r.enabled, r.score, r.window_seconds, r.threshold) for r in p.rules]
+    return spark.createDataFrame(rows, "rule_id string, version bigint, type string, enabled boolean, score int, window_seconds bigint, threshold bigint")
+
+
+@query(f"{reference._SCORED} SELECT event_id, risk_score, decision, matched_rules FROM decided")
+def stream_scores(spark, d):
+    """The same payments through the stateful scorer: a stream over files, the last of which moves the watermark past all others."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/ledgerlens/stream-{uuid.uuid4().hex}"
+    p = reference.card_payments(spark, d)
+    p.write.parquet(f"{root}/in")
+    out = scoring.score_stream(streams.file_stream(spark, f"{root}/in", schemas.TRANSACTION, max_files=1 << 30), reference.POLICY)
+    run = lambda: periods.route(out, f"{root}/out", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    run()
+    end = p.limit(1).withColumns({"event_id": F.lit("end"), "customer_id": F.lit("nobody"), "event_time": F.lit(reference.ANCHOR_MS)})
+    for _ in range(2):  # a batch sees the watermark of the one before
+        end.write.mode("append").parquet(f"{root}/in")
+        run()
+    scored = spark.read.parquet(f"{root}/out").where("kind = 'DECISION'")
+    return scored.select("event_id", "risk_score", "decision", F.array_join("matched_rules", ",").alias("matched_rules"))

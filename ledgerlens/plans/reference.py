@@ -521,9 +521,10 @@ def policy_asof_admission(spark, d):
 
 
 # --- reports over both sides --------------------------------------------------------------------
-@query("""WITH s AS (SELECT event_id, min(producer_time) AS sent FROM payments WHERE event_id IS NOT NULL GROUP BY 1), d AS (SELECT event_id, min(processed_at) AS done, min(epoch_ms(ingested_at)) AS stored FROM evaluations WHERE event_id IS NOT NULL GROUP BY 1),
-l AS (SELECT unnest(['producer_to_result', 'result_to_storage', 'producer_to_storage']) AS leg, unnest([done - sent, stored - done, stored - sent]) AS ms FROM s JOIN d USING (event_id))
-SELECT leg, quantile_disc(ms, 0.95) AS value, count(*) AS count FROM l WHERE ms IS NOT NULL GROUP BY 1""")
+@query("""WITH s AS (SELECT event_id, min(producer_time) AS sent, min(source_timestamp) AS ack FROM payments WHERE event_id IS NOT NULL GROUP BY 1), d AS (SELECT event_id, min(processed_at) AS done, min(epoch_ms(ingested_at)) AS stored FROM evaluations WHERE event_id IS NOT NULL GROUP BY 1),
+l AS (SELECT unnest(['producer_to_source', 'producer_to_result', 'result_to_storage', 'producer_to_storage']) AS leg, unnest([ack - sent, done - sent, stored - done, stored - sent]) AS ms FROM s JOIN d USING (event_id)),
+r AS (SELECT leg, ms, row_number() OVER (PARTITION BY leg ORDER BY ms) AS rn, count(*) OVER (PARTITION BY leg) AS count FROM l WHERE ms IS NOT NULL)
+SELECT leg, p, ms AS value, count FROM r, (SELECT unnest([0.5, 0.95, 0.99])::DOUBLE AS p) WHERE rn = greatest(1, CAST(ceil(p * count) AS BIGINT))""")
 def latency_legs(spark, d):
     return reconcile.leg_percentiles(table(spark, d, "payments"), _evals(spark, d))
 

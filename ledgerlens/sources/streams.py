@@ -9,9 +9,11 @@ from pyspark.sql import types as T
 from ledgerlens.operators.reconcile import position_digest
 
 
-def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", max_files: int = 64) -> DataFrame:
-    """A directory as an append-only topic. max_files bounds a micro-batch."""
-    return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files).load(path)
+def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", max_files: int = 64, max_bytes: int | None = None) -> DataFrame:
+    """A directory as an append-only topic. max_files, or max_bytes if given, bounds a micro-batch; a
+    file above max_bytes is a batch of its own."""
+    limit = ("maxBytesPerTrigger", max_bytes) if max_bytes else ("maxFilesPerTrigger", max_files)
+    return spark.readStream.schema(schema).format(fmt).option(*limit).load(path)
 
 
 def kafka_stream(spark: SparkSession, servers: str, topic: str, starting: str = "earliest") -> DataFrame:
