@@ -65,7 +65,7 @@ def _local(path: str) -> str:
 
 def _send(path: str) -> None:
     """Sends the driver's vocabulary file to all workers, once per context; on one machine it is there already."""
-    sc = SparkSession.active().sparkContext
+    sc = (SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()).sparkContext
     sent = getattr(sc, "_ledgerlens_sent", None)
     if sent is None:
         sent = sc._ledgerlens_sent = set()  # type: ignore[attr-defined]
