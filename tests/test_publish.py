@@ -55,6 +55,9 @@ def test_publish_and_read(spark, clean, tmp_path):
     assert publish(bad, root, NOW + 90_000, generation="g3").status == "BLOCKED"
     with pytest.raises(Unavailable):
         reader.publication(NOW + 91_000, "g2")
+    # content goes however old it is when this runs, markers after a day, the newest stays
+    assert retain(spark, root, NOW + 3 * 86_400_000) == ["g2"] and retain(spark, root, NOW + 3 * 86_400_000) == []
+    assert [r.generation for r in spark.read.parquet(f"{root}/publications").collect()] == ["g3"]
 
 
 def test_conflicts_hide_rows(spark):
