@@ -91,7 +91,8 @@ def admit(
     """
     stored = materialize(arrivals(deliveries, period_ms, batch_rows), "arrivals")
     states = closings(stored, cutoff_ms, reached).select(*_BATCH, "period_start", "start", "state")
-    states = states.withColumn("_look", F.max((F.col("state") == "CLOSING").cast("int")).over(Window.partitionBy(*_BATCH)))
+    # a row per batch and period, read four times below
+    states = materialize(states.withColumn("_look", F.max((F.col("state") == "CLOSING").cast("int")).over(Window.partitionBy(*_BATCH))), "states")
     batches = if_small(states.select(*_BATCH, "_look", "start").distinct())
     periods = if_small(states.select(*_BATCH, "period_start", "state"))
     rows = _placed(deliveries, batch_rows, period_ms, columns).join(periods, [*_BATCH, "period_start"], "left").join(batches, list(_BATCH), "left")
