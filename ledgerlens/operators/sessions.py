@@ -55,19 +55,20 @@ class Intervals:
         self.keys, self.gap_ms, self.cell_ms = list(keys), gap_ms, cell_ms
         self.named = [f"_key{i}" for i in range(len(self.keys))]  # so that no input column can clash
 
-    def opened(self, events: DataFrame, time: str = "event_time") -> DataFrame:
-        """The interval of every key and time of events."""
-        rows = events.select(*[F.col(k).alias(v) for k, v in zip(self.keys, self.named)], F.col(time).cast("bigint").alias("started_at")).dropna()
-        points = rows.groupBy(*self.named, "started_at").agg(F.count(F.lit(1)).alias("n"))
+    def opened(self, events: DataFrame, time: str = "event_time", *by: str) -> DataFrame:
+        """The interval of every key and time of events, and of every value of other columns (`by`), which
+        must not be null."""
+        rows = events.select(*[F.col(k).alias(v) for k, v in zip(self.keys, self.named)], *by, F.col(time).cast("bigint").alias("started_at")).dropna()
+        points = rows.groupBy(*self.named, *by, "started_at").agg(F.count(F.lit(1)).alias("n"))
         until = F.coalesce(F.try_add("started_at", F.lit(self.gap_ms)), F.lit(TOP))
         return points.withColumns({"ended_at": F.col("started_at"), "until": until, "_cell": F.floor(F.col("started_at") / F.lit(self.cell_ms))})
 
-    def merged(self, *states: DataFrame) -> DataFrame:
-        """One state of several: intervals merge within their key and cell."""
+    def merged(self, *states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+        """One state of several: intervals merge within their key and cell, and values of `by`."""
         every = states[0]
         for s in states[1:]:
             every = every.unionByName(s)
-        return merge_intervals(every, [*self.named, "_cell"])
+        return merge_intervals(every, [*self.named, "_cell", *by])
 
     def read(self, state: DataFrame, watermark: int | None = None) -> DataFrame:
         """(keys..., started_at, ended_at, duration_ms, n, final): sessions across cells. A session is
@@ -101,8 +102,8 @@ def device_sessions(deliveries: DataFrame, gap_ms: int = GAP_MS, cell_ms: int =
     at = late_periods.admit(deliveries, *fields, cutoff_ms=lateness_ms).where("usable").select(*fields, "refused")
     lost = deliveries.where(F.col("source_partition").isNull() | F.col("source_offset").isNull()).where(usable_event_time())
     counted = at.unionByName(lost.select(*fields, F.lit(False).alias("refused"))).where(F.col("event_id").isNotNull() & F.col("device_id").isNotNull() & (F.trim("customer_id") != ""))
-    paid = materialize(counted.groupBy(*fields).agg(F.min("refused").alias("late")), "counted", compression="zstd")
+    paid = counted.groupBy(*fields).agg(F.min("refused").alias("late"))
     i = Intervals(["customer_id", "device_id"], gap_ms, cell_ms)
-    state = materialize(i.merged(i.opened(paid.where("NOT late"))), "intervals", compression="zstd")
-    late = i.merged(i.opened(paid.where("late")))
-    return i.read(i.merged(state, late)).drop("final")
+    # both batches are written at once, each merged by itself
+    state = materialize(i.merged(i.opened(paid, "event_time", "late"), by=["late"]), "intervals", compression="zstd")
+    return i.read(i.merged(state.where("NOT late").drop("late"), state.where("late").drop("late"))).drop("final")
