@@ -91,17 +91,16 @@ def admit(
     """
     stored = materialize(arrivals(deliveries, period_ms, batch_rows), "arrivals")
     states = closings(stored, cutoff_ms, reached).select(*_BATCH, "period_start", "start", "state")
-    # a row per batch and period, read four times below
+    # a row per batch and period
     states = materialize(states.withColumn("_look", F.max((F.col("state") == "CLOSING").cast("int")).over(Window.partitionBy(*_BATCH))), "states")
-    batches = if_small(states.select(*_BATCH, "_look", "start").distinct())
-    periods = if_small(states.select(*_BATCH, "period_start", "state"))
-    rows = _placed(deliveries, batch_rows, period_ms, columns).join(periods, [*_BATCH, "period_start"], "left").join(batches, list(_BATCH), "left")
+    # every usable delivery has a partial; the others move nothing and are not refused
+    rows = _placed(deliveries, batch_rows, period_ms, columns).join(if_small(states), [*_BATCH, "period_start"], "left")
     out = ["source_partition", "source_offset", "event_time", "arrival_batch", "period_start", "usable", *[c for c in columns if c not in ("source_partition", "source_offset", "event_time")]]
     closed = F.coalesce(F.col("state") == "CLOSED", F.lit(False))
     # batches without a closing period are settled by their states alone, and are not exchanged
     settled = rows.where(F.coalesce("_look", F.lit(0)) == 0).select(*out, closed.alias("refused"))
     within = Window.partitionBy(*_BATCH).orderBy("source_offset").rowsBetween(Window.unboundedPreceding, -1)
-    frontier = F.greatest(F.max(F.when(F.col("usable"), F.col("event_time"))).over(within), F.col("start"))
+    frontier = F.greatest(F.max("event_time").over(within), F.col("start"))
     late = (F.col("state") == "CLOSING") & (F.col("event_time") <= frontier - F.lit(cutoff_ms))
     looked = rows.where("_look = 1").select(*out, (closed | F.coalesce(late, F.lit(False))).alias("refused"))
     return settled.unionByName(looked)
