@@ -129,17 +129,30 @@ def position_digest(records: DataFrame, block: int = 65_536) -> DataFrame:
     return level.select(*keys, "records", "repeated", "first", "last", state.alias("state"), F.when(F.col("repeated") == 0, F.col("_h")).alias("digest"))
 
 
-def leg_percentiles(payments: DataFrame, evaluations: DataFrame, probabilities=(0.5, 0.95, 0.99)) -> DataFrame:
-    """(leg, p, value, count): exact percentiles in ms of the ways from the producer to its acknowledgement by
-    the source, to the result and to storage, and from result to storage, over first deliveries of both sides."""
-    sent = payments.where(F.col("event_id").isNotNull()).groupBy("event_id").agg(F.min("producer_time").alias("sent"), F.min("source_timestamp").alias("acknowledged"))
+LEGS = {"producer_to_result": ("done", "sent"), "result_to_storage": ("stored", "done"), "producer_to_storage": ("stored", "sent")}
+
+
+def leg_percentiles(payments: DataFrame, evaluations: DataFrame, p: float = 0.95) -> DataFrame:
+    """(leg, value, count): the exact p-th percentile in ms of the ways from producer to result, from
+    result to storage and from producer to storage, over first deliveries of both sides."""
+    return nearest_ranks(_legs(payments, evaluations, LEGS), "leg", "ms", [p]).drop("p")
+
+
+def leg_report(payments: DataFrame, evaluations: DataFrame, probabilities=(0.5, 0.95, 0.99)) -> DataFrame:
+    """(leg, p, value, count): the same of several percentiles, with the way from the producer to its
+    acknowledgement by the source."""
+    return nearest_ranks(_legs(payments, evaluations, {"producer_to_source": ("acknowledged", "sent"), **LEGS}), "leg", "ms", probabilities)
+
+
+def _legs(payments: DataFrame, evaluations: DataFrame, legs: dict[str, tuple[str, str]]) -> DataFrame:
+    took = [F.min("producer_time").alias("sent")]
+    if any("acknowledged" in x for x in legs.values()):
+        took.append(F.min("source_timestamp").alias("acknowledged"))
+    sent = payments.where(F.col("event_id").isNotNull()).groupBy("event_id").agg(*took)
     stored = F.unix_millis(F.col("ingested_at").cast("timestamp"))
     done = evaluations.where(F.col("event_id").isNotNull()).groupBy("event_id").agg(F.min("processed_at").alias("done"), F.min(stored).alias("stored"))
-    j = sent.join(done, "event_id")
-    legs = {"producer_to_source": ("acknowledged", "sent"), "producer_to_result": ("done", "sent"), "result_to_storage": ("stored", "done"), "producer_to_storage": ("stored", "sent")}
     one = F.array(*[F.struct(F.lit(k).alias("leg"), F.try_subtract(b, a).alias("ms")) for k, (b, a) in legs.items()])
-    long = j.select(F.explode(one).alias("x")).select("x.leg", "x.ms").where(F.col("ms").isNotNull())
-    return nearest_ranks(long, "leg", "ms", probabilities)
+    return sent.join(done, "event_id").select(F.explode(one).alias("x")).select("x.leg", "x.ms").where(F.col("ms").isNotNull())
 
 
 def whole_customers(customers: DataFrame, most: int = 1_000) -> DataFrame:

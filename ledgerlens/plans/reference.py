@@ -526,7 +526,7 @@ l AS (SELECT unnest(['producer_to_source', 'producer_to_result', 'result_to_stor
 r AS (SELECT leg, ms, row_number() OVER (PARTITION BY leg ORDER BY ms) AS rn, count(*) OVER (PARTITION BY leg) AS count FROM l WHERE ms IS NOT NULL)
 SELECT leg, p, ms AS value, count FROM r, (SELECT unnest([0.5, 0.95, 0.99])::DOUBLE AS p) WHERE rn = greatest(1, CAST(ceil(p * count) AS BIGINT))""")
 def latency_legs(spark, d):
-    return reconcile.leg_percentiles(table(spark, d, "payments"), _evals(spark, d))
+    return reconcile.leg_report(table(spark, d, "payments"), _evals(spark, d))
 
 
 @query(f"WITH {_SUMMARY}, c AS (SELECT customer_id, count(*) AS payments FROM summary WHERE customer_id IS NOT NULL GROUP BY 1), r AS (SELECT *, sum(payments) OVER (ORDER BY customer_id) AS s FROM c) SELECT customer_id, payments FROM r WHERE s <= 1000")
