@@ -15,7 +15,7 @@ from ledgerlens.operators.score import score
 from ledgerlens.plans import publish, reference
 from ledgerlens.sources import avro, generator, schemas, streams
 from ledgerlens.sources.tables import table
-from ledgerlens.session import checkpoint_dir, materialize
+from ledgerlens.session import checkpoint_dir, materialize, stateful
 from ledgerlens.streaming import periods, scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,7 +211,11 @@ def stream_scores(spark, d):
     p = reference.card_payments(spark, d)
     p.write.parquet(f"{root}/in")
     out = scoring.score_stream(streams.file_stream(spark, f"{root}/in", schemas.TRANSACTION, max_files=1 << 30), reference.POLICY)
-    run = lambda: periods.route(out, f"{root}/out", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    def run() -> None:
+        with stateful(spark):
+            periods.route(out, f"{root}/out", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
     run()
     end = p.limit(1).withColumns({"event_id": F.lit("end"), "customer_id": F.lit("nobody"), "event_time": F.lit(reference.ANCHOR_MS)})
     for _ in range(2):  # a batch sees the watermark of the one before

@@ -7,12 +7,17 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benches on one machine; on a cluster, use the cluster's own."""
@@ -27,7 +32,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, **conf: str)
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        STATE_PROVIDER: ROCKSDB,
     } | conf
     spark = b.config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -37,7 +42,8 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, **conf: str)
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the session's Python workers, once per context: functions that run
-    there are found by name, wherever the driver was started."""
+    there are found by name, wherever the driver was started. The driver's own worker, which looks at
+    a stateful stream's functions first, knows no sent files, only PYTHONPATH."""
     sc = spark.sparkContext
     if getattr(sc, "_ledgerlens_shipped", False):
         return
@@ -47,9 +53,26 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
     sc.addPyFile(str(archive))
+    sc.environment["PYTHONPATH"] = os.pathsep.join([str(archive), *filter(None, [sc.environment.get("PYTHONPATH")])])
     sc._ledgerlens_shipped = True  # type: ignore[attr-defined]
 
 
+@contextmanager
+def stateful(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Streams that start inside keep their state on RocksDB, whatever the session's setting: Spark's own
+    default has no transformWithState. A stream takes its settings along when it starts; the session's
+    come back."""
+    wanted = {STATE_PROVIDER: ROCKSDB} | conf
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir); a temporary one only where
     the setting is absent and Spark runs in a single process."""
