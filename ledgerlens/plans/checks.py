@@ -15,11 +15,12 @@ from ledgerlens.operators.score import score
 from ledgerlens.plans import publish, reference
 from ledgerlens.sources import avro, generator, schemas, streams
 from ledgerlens.sources.tables import table
-from ledgerlens.session import checkpoint_dir, materialize, stateful
+from ledgerlens.session import checkpoint_dir, delete, materialize, spread, stateful
 from ledgerlens.streaming import periods, scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+PAYMENTS_A_TASK = 100_000  # of a stream
 
 
 def query(sql: str):
@@ -206,20 +207,20 @@ def policy_in_force(spark, d):
 
 @query(f"{reference._SCORED} SELECT event_id, risk_score, decision, matched_rules FROM decided")
 def stream_scores(spark, d):
-    """The same payments through the stateful scorer: a stream over files, the last of which moves the watermark past all others."""
+    """The same payments through the stateful scorer: a stream over files, one of which moves the watermark past
+    all others and past their windows, so that the batch after it finalises them and leaves no state."""
     root = f"{checkpoint_dir(spark).rstrip('/')}/ledgerlens/stream-{uuid.uuid4().hex}"
-    p = reference.card_payments(spark, d)
-    p.write.parquet(f"{root}/in")
+    spread(reference.card_payments(spark, d)).write.parquet(f"{root}/in")
+    n, top = spark.read.schema(schemas.TRANSACTION).parquet(f"{root}/in").agg(F.count(F.lit(1)), F.max("event_time")).first()
+    last = max(reference.ANCHOR_MS, (top or 0) + 2 * policy.DEVICE_S * 1000)
+    end = ("end", "end", "nobody", "end", 1, "EUR", "IT", "end", "APPROVED", last, last)
+    spark.createDataFrame([end], schemas.TRANSACTION).coalesce(1).write.mode("append").parquet(f"{root}/in")
     out = scoring.score_stream(streams.file_stream(spark, f"{root}/in", schemas.TRANSACTION, max_files=1 << 30), reference.POLICY)
-
-    def run() -> None:
-        with stateful(spark):
-            periods.route(out, f"{root}/out", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-
-    run()
-    end = p.limit(1).withColumns({"event_id": F.lit("end"), "customer_id": F.lit("nobody"), "event_time": F.lit(reference.ANCHOR_MS)})
-    for _ in range(2):  # a batch sees the watermark of the one before
-        end.write.mode("append").parquet(f"{root}/in")
-        run()
-    scored = spark.read.parquet(f"{root}/out").where("kind = 'DECISION'")
+    out = out.select("kind", "event_id", "risk_score", "decision", "matched_rules")
+    parts = spark.sparkContext.defaultParallelism + n // PAYMENTS_A_TASK
+    with stateful(spark, **{"spark.sql.shuffle.partitions": str(parts), "spark.sql.streaming.noDataMicroBatches.enabled": "true"}):
+        periods.route(out, f"{root}/out", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    for done in ("in", "checkpoint"):
+        delete(spark, f"{root}/{done}")
+    scored = spark.read.schema("event_id string, risk_score int, decision string, matched_rules array<string>, kind string").parquet(f"{root}/out").where("kind = 'DECISION'")
     return scored.select("event_id", "risk_score", "decision", F.array_join("matched_rules", ",").alias("matched_rules"))

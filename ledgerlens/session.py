@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -60,9 +61,9 @@ def ship(spark: SparkSession) -> None:
 @contextmanager
 def stateful(spark: SparkSession, **conf: str) -> Iterator[None]:
     """Streams that start inside keep their state on RocksDB, whatever the session's setting: Spark's own
-    default has no transformWithState. A stream takes its settings along when it starts; the session's
+    default has no transformWithState. Of a micro-batch they write what changed. A stream takes its settings along when it starts; the session's
     come back."""
-    wanted = {STATE_PROVIDER: ROCKSDB} | conf
+    wanted = {STATE_PROVIDER: ROCKSDB, CHANGELOG: "true"} | conf
     before = {k: spark.conf.get(k, None) for k in wanted}
     try:
         for k, v in wanted.items():

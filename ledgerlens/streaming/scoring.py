@@ -8,7 +8,9 @@ operators give the same observations; tests hold them against each other.
 
 from __future__ import annotations
 
+import json
 import time
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict
 from typing import Any
@@ -26,12 +28,14 @@ OUT_OF_ORDER_MS = 10_000
 DEDUP_TTL_MS = 86_400_000
 MAX_PENDING, MAX_HISTORY, MAX_DEVICES = 100_000, 100_000, 10_000
 MAX_TOTALS, MAX_POLICIES = 32, 32
+CHUNK = 1_000
 HOUR_MS = 3_600_000
 _PAYMENT = "event_id string, transaction_id string, customer_id string, merchant_id string, amount_minor bigint, currency string, country string, device_id string, status string, event_time bigint, producer_time bigint"
 _FIELDS = [f.split()[0] for f in _PAYMENT.split(", ")]
 SCORED = _PAYMENT + ", kind string, watermark bigint, lateness_ms bigint, risk_score int, decision string, matched_rules array<string>, observed array<bigint>, reason_codes array<string>, rules_fingerprint string, processed_at bigint, policy_snapshot string, policy_id string, policy_version bigint"
 SCORED += ", rule_evidence array<struct<rule_id:string,rule_version:bigint,type:string,enabled:boolean,window_seconds:bigint,threshold:bigint,observed:bigint,eligible:boolean,matched:boolean,score_contribution:int>>"
-_SCORED = [f.split()[0] for f in SCORED.split(", ")]
+_NOTHING = dict.fromkeys(f.split()[0] for f in SCORED.split(", "))
+_T = _FIELDS.index("event_time")
 
 
 def observe(rule: Rule, tx: dict[str, Any], history: Sequence[dict[str, Any]], last_seen: int | None) -> tuple[int, bool]:
@@ -83,14 +87,49 @@ def _key(rule: Rule) -> str:
     return f"{rule.type}|{rule.window_seconds}|{rule.currency if rule.type == 'AMOUNT_VELOCITY' else ''}"
 
 
+class _Kept:
+    """A map of a customer's state during one call: an entry is read when it is first asked for, and
+    what has changed is written at the end. void: nothing is stored there."""
+
+    def __init__(self, state: Any, void: bool = False):
+        self.state, self.void = state, void
+        self.was: dict[tuple, tuple | None] = {}
+        self.now: dict[tuple, tuple | None] = {}
+
+    def get(self, k: tuple) -> tuple | None:
+        if k not in self.now:
+            self.was[k] = self.now[k] = None if self.void or not self.state.containsKey(k) else tuple(self.state.getValue(k))
+        return self.now[k]
+
+    def put(self, k: tuple, v: tuple | None, new: bool = False) -> None:
+        """None takes the entry away. new: nothing is stored under k."""
+        if k not in self.now:
+            self.was[k] = None if new else self.get(k)
+        self.now[k] = v
+
+    def keys(self) -> list[tuple]:
+        stored = [] if self.void else [tuple(k) for k in self.state.keys()]
+        return [k for k in stored if k not in self.now] + [k for k, v in self.now.items() if v is not None]
+
+    def write(self) -> None:
+        for k, v in self.now.items():
+            if v != self.was[k]:
+                self.state.removeKey(k) if v is None else self.state.updateValue(k, v)
+
+
 class Customer(StatefulProcessor):
-    """State of a customer: payments waiting for the watermark by (time, place), earlier payments
-    within the longest window, when each device was last seen, and the last time that was
-    finalised. A payment at or before the watermark or that time is LATE and changes nothing.
+    """State of a customer: payments waiting for the watermark, earlier payments within the longest
+    window, when each device was last seen, and the last time that was finalised. A payment at or
+    before the watermark or that time is LATE and changes nothing.
 
     A payment waits with the policy in force when it was admitted (its column `policy`, else the
     policy of the query) and is scored by it, though another may have come since.
 
+    A call to the state costs far more than a payment in memory. What a micro-batch admits waits as
+    lists (JSON) of up to CHUNK payments; there is one timer, at the earliest time that waits, and
+    when it is due all payments up to the watermark are finalised, in memory; what is left of them
+    is written once.
+
     Payments are finalised in the order of (time, event_id), so that the earlier ones are a log with
     ascending numbers. Every kind of window has running totals and the number of the oldest payment
     inside: a new payment is added at the end, what has left the window is taken off at the front,
@@ -100,68 +139,95 @@ class Customer(StatefulProcessor):
 
     def __init__(self, policy: Policy):
         self.text = policy_text(policy)
-        self.policies: dict[str, tuple[Policy, dict[str, Any]]] = {}
+        self.policies: dict[str, tuple[Policy, dict[str, Any], set[str]]] = {}
         self.reach, self.device_reach = HISTORY_S * 1000, DEVICE_S * 1000
 
-    def _policy(self, text: str) -> tuple[Policy, dict[str, Any]]:
+    def _policy(self, text: str) -> tuple[Policy, dict[str, Any], set[str]]:
         if text not in self.policies:
             if len(self.policies) >= MAX_POLICIES:
                 self.policies.clear()
             p = Policy.read(text)
-            self.policies[text] = p, {"rules_fingerprint": p.fingerprint(), "policy_snapshot": p.snapshot(), "policy_id": p.policy_id, "policy_version": p.version}
+            used = {_key(r) for r in p.rules if r.type != "NEW_DEVICE_HIGH_AMOUNT"}
+            self.policies[text] = p, {"rules_fingerprint": p.fingerprint(), "policy_snapshot": p.snapshot(), "policy_id": p.policy_id, "policy_version": p.version}, used
         return self.policies[text]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "t bigint, i int", _PAYMENT + ", policy string")
-        self.counts = handle.getMapState("counts", "t bigint", "n int")
-        self.log = handle.getMapState("log", "i bigint", "t bigint, amount_minor bigint, currency string, device_id string, declined boolean")
-        self.totals = handle.getMapState("totals", "rule string", "head bigint, n bigint, amount bigint, declined bigint, devices bigint")
-        self.inside = handle.getMapState("inside", "rule string, device_id string", "n bigint")
-        self.devices = handle.getMapState("devices", "device_id string", "t bigint")
-        self.hours = handle.getMapState("hours", "hour bigint", "devices array<string>")
-        # pending, first and next number of the log, devices known, last time finalised, time of the next sweep
-        self.at = handle.getValueState("at", "pending bigint, first bigint, next bigint, devices bigint, finalised bigint, sweep bigint")
+        # [policies, payments]: a payment has the values of _FIELDS and the place of its policy
+        self.stored = {
+            "waiting": handle.getMapState("waiting", "i bigint", "payments string"),
+            "log": handle.getMapState("log", "i bigint", "t bigint, amount_minor bigint, currency string, device_id string, declined boolean"),
+            "totals": handle.getMapState("totals", "rule string", "head bigint, n bigint, amount bigint, declined bigint, devices bigint"),
+            "inside": handle.getMapState("inside", "rule string, device_id string", "n bigint"),
+            "devices": handle.getMapState("devices", "device_id string", "t bigint"),
+            "hours": handle.getMapState("hours", "hour bigint", "devices array<string>"),
+        }
+        # pending, first and next number of the log, devices known, last time finalised, time of the next sweep, next number of a list, earliest time that waits
+        self.at = handle.getValueState("at", "pending bigint, first bigint, next bigint, devices bigint, finalised bigint, sweep bigint, list bigint, due bigint")
 
     def _at(self) -> dict[str, int]:
-        names = ("pending", "first", "next", "devices", "finalised", "sweep")
-        return dict(zip(names, self.at.get() if self.at.exists() else (0, 0, 0, 0, -1, -1)))
+        names = ("pending", "first", "next", "devices", "finalised", "sweep", "list", "due")
+        return dict(zip(names, self.at.get() if self.at.exists() else (0, 0, 0, 0, -1, -1, 0, -1)))
 
     def _out(self, tx: dict[str, Any], **more: Any) -> Row:
-        return Row(**{**dict.fromkeys(_SCORED), **tx, **more})
+        return Row(**{**_NOTHING, **tx, **more})
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         s = self._at()
         frontier = max(timerValues.getCurrentWatermarkInMs(), s["finalised"])
-        admitted = 0
+        before, known, policies, admitted = s["pending"], s["due"], {}, []
         for r in rows:
             tx = {f: r[f] for f in _FIELDS}
             t = tx["event_time"]
             if t <= frontier:
                 yield self._out(tx, kind="LATE", watermark=frontier, lateness_ms=frontier - t)
                 continue
-            admitted += 1
-            if s["pending"] + admitted > MAX_PENDING:
+            s["pending"] += 1
+            if s["pending"] > MAX_PENDING:
                 raise RuntimeError(f"more than {MAX_PENDING} payments of a customer wait")
-            n = self.counts.getValue((t,))[0] if self.counts.containsKey((t,)) else 0
-            self.waiting.updateValue((t, n), (*(tx[f] for f in _FIELDS), r["policy"] or self.text))
-            self.counts.updateValue((t,), (n + 1,))
-            if not n:
-                self.handle.registerTimer(t)
-        if admitted:
-            s["pending"] += admitted
+            if s["due"] < 0 or t < s["due"]:
+                s["due"] = t
+            admitted.append([*tx.values(), policies.setdefault(r["policy"] or self.text, len(policies))])
+            if len(admitted) == CHUNK:
+                self._wait(policies, admitted, s)
+                policies, admitted = {}, []
+        if s["pending"] > before:
+            if admitted:
+                self._wait(policies, admitted, s)
+            if s["due"] != known:
+                self.handle.registerTimer(s["due"])
             self.at.update(tuple(s.values()))
 
+    def _wait(self, policies: dict[str, int], payments: list[list[Any]], s: dict[str, int]) -> None:
+        self.stored["waiting"].updateValue((s["list"],), (json.dumps([list(policies), payments]),))
+        s["list"] += 1
+
+    def _due(self, until: int, s: dict[str, int]) -> list[tuple[dict[str, Any], str]]:
+        """Takes the payments up to that time from those that wait, each with its policy, in order."""
+        out, rest, waiting = [], [], self.stored["waiting"]
+        for k, (text,) in list(waiting.iterator()):
+            policies, payments = json.loads(text)
+            later = []
+            for p in payments:
+                if p[_T] <= until:
+                    out.append((dict(zip(_FIELDS, p)), policies[p[-1]]))
+                else:
+                    later.append(p)
+            if not later:
+                waiting.removeKey(tuple(k))
+            elif len(later) < len(payments):
+                waiting.updateValue(tuple(k), (json.dumps([policies, later]),))
+            rest += [p[_T] for p in later]
+        s["pending"], s["due"] = len(rest), min(rest, default=-1)
+        return sorted(out, key=lambda x: (x[0]["event_time"], x[0]["event_id"]))
+
     def _move(self, name: str, item: tuple, by: int, sums: list[int]) -> None:
         """Adds (by 1) or takes off (by -1) a payment of the log; sums: n, amount, declined, devices."""
         kind, _, currency = name.split("|")
         if kind == "UNIQUE_DEVICES":
             k = (name, item[3])
-            n = (self.inside.getValue(k)[0] if self.inside.containsKey(k) else 0) + by
-            if n:
-                self.inside.updateValue(k, (n,))
-            else:
-                self.inside.removeKey(k)
+            n = (self.inside.get(k) or (0,))[0] + by
+            self.inside.put(k, (n,) if n else None)
             sums[3] += (n == 1) if by > 0 else -(n == 0)
             return
         sums[0] += by
@@ -172,22 +238,24 @@ class Customer(StatefulProcessor):
     def _window(self, name: str, t: int, s: dict[str, int]) -> list[int]:
         """[head, n, amount, declined, devices] of the window that ends at t, before the payment there."""
         edge = t - int(name.split("|")[1]) * 1000
-        if self.totals.containsKey((name,)):
-            head, *sums = self.totals.getValue((name,))
+        if found := self.totals.get((name,)):
+            head, *sums = found
         else:  # new with this policy
             head, sums = s["next"], [0, 0, 0, 0]
-            while head > s["first"] and (item := tuple(self.log.getValue((head - 1,))))[0] > edge:
+            while head > s["first"] and (item := self.log.get((head - 1,)))[0] > edge:
                 self._move(name, item, 1, sums)
                 head -= 1
-        while head < s["next"] and (item := tuple(self.log.getValue((head,))))[0] <= edge:
+        while head < s["next"] and (item := self.log.get((head,)))[0] <= edge:
             self._move(name, item, -1, sums)
             head += 1
         return [head, *sums]
 
-    def _drop(self, name: str) -> None:
-        self.totals.removeKey((name,))
-        for k in [k for k in self.inside.keys() if k[0] == name]:
-            self.inside.removeKey((k[0], k[1]))
+    def _drop(self, names: set[str]) -> None:
+        for name in names:
+            self.totals.put((name,), None)
+        for k in self.inside.keys():
+            if k[0] in names:
+                self.inside.put(k, None)
 
     def _observe(self, rule: Rule, tx: dict[str, Any], window: list[int], last_seen: int | None) -> tuple[int, bool]:
         _, n, amount, declined, devices = window
@@ -196,39 +264,36 @@ class Customer(StatefulProcessor):
         if rule.type == "AMOUNT_VELOCITY":
             return tx["amount_minor"] + amount, tx["currency"] == rule.currency
         if rule.type == "UNIQUE_DEVICES":
-            return devices + (not self.inside.containsKey((_key(rule), tx["device_id"]))), True
+            return devices + (not self.inside.get((_key(rule), tx["device_id"]))), True
         if rule.type == "NEW_DEVICE_HIGH_AMOUNT":
             return tx["amount_minor"], last_seen is None or last_seen <= tx["event_time"] - rule.window_seconds * 1000
         return declined, tx["status"] == "APPROVED"
 
     def _score(self, tx: dict[str, Any], text: str, s: dict[str, int], watermark: int) -> Row:
-        policy, named = self._policy(text)
+        policy, named, used = self._policy(text)
         t, d = tx["event_time"], tx["device_id"]
-        used = {_key(r) for r in policy.rules if r.type != "NEW_DEVICE_HIGH_AMOUNT"}
         kept = {k[0] for k in self.totals.keys()}
         if len(kept | used) > MAX_TOTALS:  # those of policies of long ago
-            for name in kept - used:
-                self._drop(name)
+            self._drop(kept - used)
             kept &= used
         windows = {name: self._window(name, t, s) for name in used}
-        seen = self.devices.getValue((d,))[0] if self.devices.containsKey((d,)) else None
+        seen = (self.devices.get((d,)) or (None,))[0]
         entries = judged(policy, lambda r: self._observe(r, tx, windows.get(_key(r), [0] * 5), seen))
         item = (t, tx["amount_minor"], tx["currency"], d, tx["status"] == "DECLINED")
-        self.log.updateValue((s["next"],), item)
+        self.log.put((s["next"],), item, new=True)
         s["next"] += 1
         # other windows see the payment when they are used again: their front has not been reached yet
         for name in kept | used:
-            w = windows.get(name) or list(self.totals.getValue((name,)))
+            w = windows.get(name) or list(self.totals.get((name,)))
             sums = w[1:]
             self._move(name, item, 1, sums)
-            self.totals.updateValue((name,), (w[0], *sums))
+            self.totals.put((name,), (w[0], *sums))
         hour = t // HOUR_MS
         if seen is None or seen // HOUR_MS != hour:
-            listed = list(self.hours.getValue((hour,))[0]) if self.hours.containsKey((hour,)) else []
-            if not listed:
-                self.handle.registerTimer((hour + 1) * HOUR_MS + self.device_reach)
-            self.hours.updateValue((hour,), ([*listed, d],))
-        self.devices.updateValue((d,), (t,))
+            if not self.listed or self.listed[-1] != hour:
+                self.listed.append(hour)
+            self.hours.put((hour,), ([*(self.hours.get((hour,)) or ([],))[0], d],))
+        self.devices.put((d,), (t,))
         s["devices"] += seen is None
         if s["devices"] > MAX_DEVICES:
             raise RuntimeError(f"more than {MAX_DEVICES} devices of a customer")
@@ -238,47 +303,60 @@ class Customer(StatefulProcessor):
         return self._out(tx, kind="DECISION", watermark=watermark, **_decided(policy, entries), reason_codes=codes, processed_at=int(time.time() * 1000), rule_evidence=entries, **named)
 
     def _forget(self, t: int, s: dict[str, int]) -> None:
-        """Removes what no window after t reaches: payments at the front of the log, and devices of the hour that expires."""
+        """Removes what no window after t reaches: payments at the front of the log, and devices of the hours that expire."""
         first = s["first"]
-        while first < s["next"] and self.log.getValue((first,))[0] <= t - self.reach:
+        while first < s["next"] and self.log.get((first,))[0] <= t - self.reach:
             first += 1
         if first > s["first"]:
-            for (name,) in [tuple(k) for k in self.totals.keys()]:
-                head, *sums = self.totals.getValue((name,))
+            for (name,) in self.totals.keys():
+                head, *sums = self.totals.get((name,))
                 while head < first:
-                    self._move(name, tuple(self.log.getValue((head,))), -1, sums)
+                    self._move(name, self.log.get((head,)), -1, sums)
                     head += 1
-                self.totals.updateValue((name,), (head, *sums))
+                self.totals.put((name,), (head, *sums))
             for i in range(s["first"], first):
-                self.log.removeKey((i,))
+                self.log.put((i,), None)
             s["first"] = first
-        hour = (t - self.device_reach) // HOUR_MS - 1
-        if self.hours.containsKey((hour,)):
-            for d in self.hours.getValue((hour,))[0]:
-                if self.devices.containsKey((d,)) and self.devices.getValue((d,))[0] // HOUR_MS <= hour:
-                    self.devices.removeKey((d,))
+        while self.listed and self.listed[0] <= (t - self.device_reach) // HOUR_MS - 1:
+            hour = self.listed.popleft()
+            for d in self.hours.get((hour,))[0]:
+                if (last := self.devices.get((d,))) and last[0] // HOUR_MS <= hour:
+                    self.devices.put((d,), None)
                     s["devices"] -= 1
-            self.hours.removeKey((hour,))
+            self.hours.put((hour,), None)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        t, s = expiredTimerInfo.getExpiryTimeInMs(), self._at()
-        self._forget(t, s)
-        if self.counts.containsKey((t,)):
-            items = []
-            for i in range(self.counts.getValue((t,))[0]):
-                items.append(tuple(self.waiting.getValue((t, i))))
-                self.waiting.removeKey((t, i))
-            self.counts.removeKey((t,))
-            s["pending"] -= len(items)
-            for item in sorted(items, key=lambda x: x[0]):
-                yield self._score(dict(zip(_FIELDS, item)), item[-1], s, timerValues.getCurrentWatermarkInMs())
-            s["finalised"] = t
+        s, watermark = self._at(), timerValues.getCurrentWatermarkInMs()
+        until = max(watermark, expiredTimerInfo.getExpiryTimeInMs())
+        if s["finalised"] >= until or not (s["pending"] or s["devices"] or s["next"] > s["first"]):
+            return  # an earlier timer of this micro-batch did it all
+        due = self._due(until, s) if 0 <= s["due"] <= until else []
+        no_log, no_devices = s["first"] == s["next"], not s["devices"]
+        self.log, self.inside = (_Kept(self.stored[n], no_log) for n in ("log", "inside"))
+        self.devices, self.hours = (_Kept(self.stored[n], no_devices) for n in ("devices", "hours"))
+        self.totals = _Kept(self.stored["totals"], True)  # all that are stored
+        if not no_log:
+            self.totals.was = {tuple(k): tuple(v) for k, v in self.stored["totals"].iterator()}
+            self.totals.now = dict(self.totals.was)
+        self.listed = deque(sorted(h for (h,) in self.hours.keys()))
+        timed = set(self.listed)
+        for tx, text in due:
+            self._forget(tx["event_time"], s)
+            yield self._score(tx, text, s, watermark)
+        self._forget(until, s)
+        s["finalised"] = until
         if s["next"] == s["first"]:
-            for (name,) in [tuple(k) for k in self.totals.keys()]:
-                self._drop(name)
-        elif s["sweep"] <= t:
-            s["sweep"] = t + self.reach + 1
+            self._drop({k[0] for k in self.totals.keys()})
+        elif s["sweep"] <= until:
+            s["sweep"] = until + self.reach + 1
             self.handle.registerTimer(s["sweep"])
+        for hour in self.listed:
+            if hour not in timed:
+                self.handle.registerTimer((hour + 1) * HOUR_MS + self.device_reach)
+        if due and s["pending"]:
+            self.handle.registerTimer(s["due"])
+        for kept in (self.log, self.totals, self.inside, self.devices, self.hours):
+            kept.write()
         if s["next"] == s["first"] and not s["pending"] and not s["devices"]:
             self.at.clear()  # the watermark has passed what was finalised
         else:
