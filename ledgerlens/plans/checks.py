@@ -215,8 +215,8 @@ def stream_scores(spark, d):
     last = max(reference.ANCHOR_MS, (top or 0) + 2 * policy.DEVICE_S * 1000)
     end = ("end", "end", "nobody", "end", 1, "EUR", "IT", "end", "APPROVED", last, last)
     spark.createDataFrame([end], schemas.TRANSACTION).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    out = scoring.score_stream(streams.file_stream(spark, f"{root}/in", schemas.TRANSACTION, max_files=1 << 30), reference.POLICY)
-    out = out.select("kind", "event_id", "risk_score", "decision", "matched_rules")
+    given = streams.file_stream(spark, f"{root}/in", schemas.TRANSACTION, max_files=1 << 30)
+    out = scoring.score_stream(given, reference.POLICY, fields=("kind", "event_id", "risk_score", "decision", "matched_rules"))
     parts = spark.sparkContext.defaultParallelism + n // PAYMENTS_A_TASK
     with stateful(spark, **{"spark.sql.shuffle.partitions": str(parts), "spark.sql.streaming.noDataMicroBatches.enabled": "true"}):
         periods.route(out, f"{root}/out", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()

@@ -61,8 +61,8 @@ def ship(spark: SparkSession) -> None:
 @contextmanager
 def stateful(spark: SparkSession, **conf: str) -> Iterator[None]:
     """Streams that start inside keep their state on RocksDB, whatever the session's setting: Spark's own
-    default has no transformWithState. Of a micro-batch they write what changed. A stream takes its settings along when it starts; the session's
-    come back."""
+    default has no transformWithState. A micro-batch stores its changes only. A stream takes its settings
+    along when it starts; the session's come back."""
     wanted = {STATE_PROVIDER: ROCKSDB, CHANGELOG: "true"} | conf
     before = {k: spark.conf.get(k, None) for k in wanted}
     try:

@@ -13,11 +13,13 @@ import time
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict
+from functools import lru_cache
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from ledgerlens.functions import identity
 from ledgerlens.functions.identity import canonical
@@ -36,6 +38,8 @@ SCORED = _PAYMENT + ", kind string, watermark bigint, lateness_ms bigint, risk_s
 SCORED += ", rule_evidence array<struct<rule_id:string,rule_version:bigint,type:string,enabled:boolean,window_seconds:bigint,threshold:bigint,observed:bigint,eligible:boolean,matched:boolean,score_contribution:int>>"
 _NOTHING = dict.fromkeys(f.split()[0] for f in SCORED.split(", "))
 _T = _FIELDS.index("event_time")
+_NO_WINDOW = [0] * 5
+_ENTRY = Row("rule_id", "rule_version", "type", "enabled", "window_seconds", "threshold", "observed", "eligible", "matched", "score_contribution")
 
 
 def observe(rule: Rule, tx: dict[str, Any], history: Sequence[dict[str, Any]], last_seen: int | None) -> tuple[int, bool]:
@@ -53,28 +57,30 @@ def observe(rule: Rule, tx: dict[str, Any], history: Sequence[dict[str, Any]], l
     return sum(h["status"] == "DECLINED" for h in near), tx["status"] == "APPROVED"
 
 
-def judged(policy: Policy, seen: Callable[[Rule], tuple[int, bool]]) -> list[Row]:
-    """One entry per rule in the schema of schemas.EVIDENCE, as operators.score makes them; seen gives
+def judged(policy: Policy, seen: Callable[[Rule], tuple[int, bool]]) -> list[tuple]:
+    """One entry per rule in the order of schemas.EVIDENCE, as operators.score makes them; seen gives
     what a rule observes and whether it applies."""
     out = []
     for r in policy.rules:
         o, eligible = seen(r)
         matched = r.enabled and eligible and (o > r.threshold if TYPES[r.type] == ">" else o >= r.threshold)
-        out.append(Row(rule_id=r.rule_id, rule_version=r.version, type=r.type, enabled=r.enabled, window_seconds=r.window_seconds, threshold=r.threshold, observed=o, eligible=eligible, matched=matched, score_contribution=r.score if matched else 0))
+        out.append((r.rule_id, r.version, r.type, r.enabled, r.window_seconds, r.threshold, o, eligible, matched, r.score if matched else 0))
     return out
 
 
-def _decided(policy: Policy, entries: Sequence[Row]) -> dict[str, Any]:
-    score = min(100, sum(e.score_contribution for e in entries))
-    return {"risk_score": score, "decision": "REJECT" if score >= policy.reject else "REVIEW" if score >= policy.review else "APPROVE", "matched_rules": [e.rule_id for e in entries if e.matched], "observed": [e.observed for e in entries]}
+def _decided(policy: Policy, entries: Sequence[tuple]) -> dict[str, Any]:
+    score = min(100, sum(e[9] for e in entries))
+    return {"risk_score": score, "decision": "REJECT" if score >= policy.reject else "REVIEW" if score >= policy.review else "APPROVE", "matched_rules": [e[0] for e in entries if e[8]], "observed": [e[6] for e in entries], "reason_codes": [e[2] for e in entries if e[8]]}
 
 
 def evidence(policy: Policy, tx: dict[str, Any], history: Sequence[dict[str, Any]], last_seen: int | None) -> list[Row]:
-    return judged(policy, lambda r: observe(r, tx, history, last_seen))
+    return [_ENTRY(*e) for e in judged(policy, lambda r: observe(r, tx, history, last_seen))]
 
 
 def decide(policy: Policy, tx: dict[str, Any], history: Sequence[dict[str, Any]], last_seen: int | None) -> dict[str, Any]:
-    return _decided(policy, evidence(policy, tx, history, last_seen))
+    d = _decided(policy, evidence(policy, tx, history, last_seen))
+    del d["reason_codes"]
+    return d
 
 
 def policy_text(policy: Policy) -> str:
@@ -87,6 +93,13 @@ def _key(rule: Rule) -> str:
     return f"{rule.type}|{rule.window_seconds}|{rule.currency if rule.type == 'AMOUNT_VELOCITY' else ''}"
 
 
+@lru_cache(4096)
+def _parts(name: str) -> tuple[str, int, str]:
+    """Kind, length in ms and currency of a key of totals."""
+    kind, seconds, currency = name.split("|")
+    return kind, int(seconds) * 1000, currency
+
+
 class _Kept:
     """A map of a customer's state during one call: an entry is read when it is first asked for, and
     what has changed is written at the end. void: nothing is stored there."""
@@ -137,18 +150,20 @@ class Customer(StatefulProcessor):
     within an hour are listed under it, and an hour's list is looked through once, when it expires. A
     customer without payments and devices in any window leaves no state behind."""
 
-    def __init__(self, policy: Policy):
-        self.text = policy_text(policy)
-        self.policies: dict[str, tuple[Policy, dict[str, Any], set[str]]] = {}
+    def __init__(self, policy: Policy, fields: Sequence[str] = tuple(_NOTHING)):
+        self.text, self.fields, self.made = policy_text(policy), tuple(fields), Row(*fields)
+        self.reasoned = "rule_evidence" in self.fields
+        self.policies: dict[str, tuple[Policy, dict[str, Any], dict[str, str], set[str]]] = {}
         self.reach, self.device_reach = HISTORY_S * 1000, DEVICE_S * 1000
 
-    def _policy(self, text: str) -> tuple[Policy, dict[str, Any], set[str]]:
+    def _policy(self, text: str) -> tuple[Policy, dict[str, Any], dict[str, str], set[str]]:
         if text not in self.policies:
             if len(self.policies) >= MAX_POLICIES:
                 self.policies.clear()
             p = Policy.read(text)
-            used = {_key(r) for r in p.rules if r.type != "NEW_DEVICE_HIGH_AMOUNT"}
-            self.policies[text] = p, {"rules_fingerprint": p.fingerprint(), "policy_snapshot": p.snapshot(), "policy_id": p.policy_id, "policy_version": p.version}, used
+            keys = {r.rule_id: _key(r) for r in p.rules}
+            used = {keys[r.rule_id] for r in p.rules if r.type != "NEW_DEVICE_HIGH_AMOUNT"}
+            self.policies[text] = p, {"rules_fingerprint": p.fingerprint(), "policy_snapshot": p.snapshot(), "policy_id": p.policy_id, "policy_version": p.version}, keys, used
         return self.policies[text]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -170,14 +185,16 @@ class Customer(StatefulProcessor):
         return dict(zip(names, self.at.get() if self.at.exists() else (0, 0, 0, 0, -1, -1, 0, -1)))
 
     def _out(self, tx: dict[str, Any], **more: Any) -> Row:
-        return Row(**{**_NOTHING, **tx, **more})
+        all_of = {**_NOTHING, **tx, **more}
+        return self.made(*[all_of[f] for f in self.fields])
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         s = self._at()
         frontier = max(timerValues.getCurrentWatermarkInMs(), s["finalised"])
         before, known, policies, admitted = s["pending"], s["due"], {}, []
         for r in rows:
-            tx = {f: r[f] for f in _FIELDS}
+            tx = r.asDict()
+            text = tx.pop("policy") or self.text
             t = tx["event_time"]
             if t <= frontier:
                 yield self._out(tx, kind="LATE", watermark=frontier, lateness_ms=frontier - t)
@@ -187,7 +204,7 @@ class Customer(StatefulProcessor):
                 raise RuntimeError(f"more than {MAX_PENDING} payments of a customer wait")
             if s["due"] < 0 or t < s["due"]:
                 s["due"] = t
-            admitted.append([*tx.values(), policies.setdefault(r["policy"] or self.text, len(policies))])
+            admitted.append([*[tx[f] for f in _FIELDS], policies.setdefault(text, len(policies))])
             if len(admitted) == CHUNK:
                 self._wait(policies, admitted, s)
                 policies, admitted = {}, []
@@ -223,7 +240,7 @@ class Customer(StatefulProcessor):
 
     def _move(self, name: str, item: tuple, by: int, sums: list[int]) -> None:
         """Adds (by 1) or takes off (by -1) a payment of the log; sums: n, amount, declined, devices."""
-        kind, _, currency = name.split("|")
+        kind, _, currency = _parts(name)
         if kind == "UNIQUE_DEVICES":
             k = (name, item[3])
             n = (self.inside.get(k) or (0,))[0] + by
@@ -237,7 +254,7 @@ class Customer(StatefulProcessor):
 
     def _window(self, name: str, t: int, s: dict[str, int]) -> list[int]:
         """[head, n, amount, declined, devices] of the window that ends at t, before the payment there."""
-        edge = t - int(name.split("|")[1]) * 1000
+        edge = t - _parts(name)[1]
         if found := self.totals.get((name,)):
             head, *sums = found
         else:  # new with this policy
@@ -270,7 +287,7 @@ class Customer(StatefulProcessor):
         return declined, tx["status"] == "APPROVED"
 
     def _score(self, tx: dict[str, Any], text: str, s: dict[str, int], watermark: int) -> Row:
-        policy, named, used = self._policy(text)
+        policy, named, keys, used = self._policy(text)
         t, d = tx["event_time"], tx["device_id"]
         kept = {k[0] for k in self.totals.keys()}
         if len(kept | used) > MAX_TOTALS:  # those of policies of long ago
@@ -278,7 +295,7 @@ class Customer(StatefulProcessor):
             kept &= used
         windows = {name: self._window(name, t, s) for name in used}
         seen = (self.devices.get((d,)) or (None,))[0]
-        entries = judged(policy, lambda r: self._observe(r, tx, windows.get(_key(r), [0] * 5), seen))
+        entries = judged(policy, lambda r: self._observe(r, tx, windows.get(keys[r.rule_id], _NO_WINDOW), seen))
         item = (t, tx["amount_minor"], tx["currency"], d, tx["status"] == "DECLINED")
         self.log.put((s["next"],), item, new=True)
         s["next"] += 1
@@ -299,8 +316,7 @@ class Customer(StatefulProcessor):
             raise RuntimeError(f"more than {MAX_DEVICES} devices of a customer")
         if s["next"] - s["first"] > MAX_HISTORY:
             raise RuntimeError(f"more than {MAX_HISTORY} payments of a customer are in its windows")
-        codes = [e.type for e in entries if e.matched]
-        return self._out(tx, kind="DECISION", watermark=watermark, **_decided(policy, entries), reason_codes=codes, processed_at=int(time.time() * 1000), rule_evidence=entries, **named)
+        return self._out(tx, kind="DECISION", watermark=watermark, **_decided(policy, entries), processed_at=int(time.time() * 1000), rule_evidence=[_ENTRY(*e) for e in entries] if self.reasoned else None, **named)
 
     def _forget(self, t: int, s: dict[str, int]) -> None:
         """Removes what no window after t reaches: payments at the front of the log, and devices of the hours that expire."""
@@ -366,15 +382,20 @@ class Customer(StatefulProcessor):
         pass
 
 
-def score_stream(payments: DataFrame, policy: Policy, out_of_order_ms: int = OUT_OF_ORDER_MS) -> DataFrame:
+def score_stream(payments: DataFrame, policy: Policy, out_of_order_ms: int = OUT_OF_ORDER_MS, fields: Sequence[str] | None = None) -> DataFrame:
     """Tagged rows (kind DECISION, with all fields of schemas.DECISION, or LATE) of a stream of valid payments. The delay is one
     millisecond more than the allowed disorder: a time is final once the highest time exceeds it
     by more than that. Payments behind the last watermark stay buffered; nothing is flushed. Payments with
-    a column `policy` (policy_text) are scored by it, others by the policy given."""
+    a column `policy` (policy_text) are scored by it, others by the policy given. fields: the columns of
+    SCORED that are wanted; the rest, and the identities, are not handed over from Python then."""
     stamped = F.col("policy") if "policy" in payments.columns else F.lit(None).cast("string").alias("policy")
     timed = payments.select(*_FIELDS, stamped).withColumn("ts", F.timestamp_millis("event_time")).withWatermark("ts", f"{out_of_order_ms + 1} milliseconds")
     timed = timed.select(*_FIELDS, "policy")  # without the watermark's column, so that Spark hands late rows over instead of dropping them
-    scored = timed.groupBy("customer_id").transformWithState(statefulProcessor=Customer(policy), outputStructType=SCORED, outputMode="Append", timeMode="EventTime")
+    kinds = StructType.fromDDL(SCORED)
+    wanted = tuple(fields or kinds.names)
+    scored = timed.groupBy("customer_id").transformWithState(statefulProcessor=Customer(policy, wanted), outputStructType=StructType([kinds[f] for f in wanted]), outputMode="Append", timeMode="EventTime")
+    if fields:
+        return scored
     engine = F.lit(identity.ENGINE)
     named = {
         "decision_id": identity.decision_id(F.col("transaction_id")), "engine_version": engine, "input_sha256": identity.input_hash(),
